@@ -322,7 +322,7 @@ def _pending(chunk: Chunk, cuts: np.ndarray, again: np.ndarray, compare: np.ndar
     return spans, np.concatenate(name), np.concatenate(where, axis=1), np.concatenate(doc)
 
 
-def repeated(docs: DataFrame, length: int = 50, texts: bool = False, chunk_bytes: int = 8 << 20, stretch: int = 1 << 20) -> DataFrame:
+def repeated(docs: DataFrame, length: int = 50, texts: bool = False, chunk_bytes: int = 8 << 20, stretch: int = 1 << 18) -> DataFrame:
     """Per document: doc_id, n_bytes, spans (array of start, end of removed bytes), kept_sha256, kept.
 
     ``kept``, with ``texts``, is the remaining text; bytes of a character that was cut are left out of it.
