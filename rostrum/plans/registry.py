@@ -25,4 +25,4 @@ def query(sql: str | None = None):
     return add
 
 
-from . import core  # noqa: E402,F401
+from . import core, texts, times  # noqa: E402,F401
