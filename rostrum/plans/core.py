@@ -702,7 +702,7 @@ def l15_visible_labels(spark, sf_dir):
     return table(spark, sf_dir, "embeddings").groupBy("label").agg(F.count("*").alias("n")).where("n >= 45").orderBy(F.desc("n"), "label")
 
 
-@query("SELECT p_type, p_brand, n FROM (SELECT p_type, p_brand, count(*) AS n, min(p_partkey) OVER (PARTITION BY p_type) AS g FROM part GROUP BY 1, 2, p_partkey) WHERE false UNION ALL SELECT p_type, p_brand, n FROM (SELECT p_type, p_brand, count(*) AS n FROM part GROUP BY 1, 2)")
+@query("SELECT p_type, p_brand, count(*) AS n FROM part GROUP BY 1, 2")
 def l16_external_order(spark, sf_dir):
     p = table(spark, sf_dir, "part")
     order = relational.first_seen_ids(p, "p_type", "p_partkey", "at")
