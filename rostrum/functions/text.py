@@ -63,7 +63,7 @@ def classify_fragment(fragment: Column, text: Column) -> Column:
     readings of that are ambiguous.
     """
     n = occurrences(text, fragment)
-    parts = F.filter(F.transform(F.split(fragment, r"\s*(?:\.\.\.|…)\s*"), F.trim), lambda p: p != "")
+    parts = F.filter(F.transform(F.split(fragment, r"\s*(?:\.\.\.|…)\s*"), lambda x: F.trim(x)), lambda p: p != "")
     quoted = F.transform(parts, lambda p: F.regexp_replace(p, r"([\\\[\](){}.*+?^$|])", r"\\$1"))
     m = F.regexp_count(text, F.concat(F.lit("(?s)"), F.array_join(quoted, ".*?")))
     many = F.size(parts) > 1

@@ -12,7 +12,7 @@ def top_ancestors(edges: DataFrame, nodes: DataFrame, limit: int = 64) -> DataFr
     """node, top, depth: the root above each node (itself for a root), by pointer doubling.
 
     ``edges``: (child, parent), one parent each.  Rounds grow with the logarithm of the depth; a cycle
-    never settles and raises.
+    raises.
     """
     up = nodes.select("node").join(edges.select(F.col("child").alias("node"), "parent"), "node", "left")
     cur = scratch(up.select("node", F.coalesce("parent", "node").alias("top"), F.when(F.col("parent").isNull(), 0).otherwise(1).alias("depth")), "graph")
@@ -23,7 +23,10 @@ def top_ancestors(edges: DataFrame, nodes: DataFrame, limit: int = 64) -> DataFr
         cur = new.drop("moved")
         cur._rostrum_path = new._rostrum_path
         if new.where("moved").isEmpty():
-            return cur
+            break
+    # What settled on a node that has a parent itself went round in a cycle.
+    if cur.join(edges.select(F.col("child").alias("top")), "top", "left_semi").isEmpty():
+        return cur
     raise ValueError("the support relations hold a cycle")
 
 

@@ -17,7 +17,7 @@ CUE = r"(?:(\d+):)?(\d{2}):(\d{2})\.(\d{3})\s+-->\s+(?:(\d+):)?(\d{2}):(\d{2})\.
 
 
 def _seconds(s: Column, first: int) -> Column:
-    g = [F.coalesce(F.try_to_number(F.nullif(F.regexp_extract(s, CUE, first + i), F.lit("")), F.lit("999999")).cast("double"), F.lit(0.0)) for i in range(4)]
+    g = [F.coalesce(F.regexp_extract(s, CUE, first + i).try_cast("double"), F.lit(0.0)) for i in range(4)]
     return g[0] * 3600 + g[1] * 60 + g[2] + g[3] / 1000
 
 
@@ -25,7 +25,7 @@ def vtt_cues(df: DataFrame, text: str, *keep: str) -> DataFrame:
     """One row per cue of WebVTT texts: pos, start, end (seconds), text (lines joined by a space)."""
     blocks = F.filter(F.split(F.regexp_replace(text, "\r\n?", "\n"), r"\n[ \t]*\n+"), lambda b: b.rlike(CUE))
     c = df.select(*keep, F.posexplode(blocks).alias("pos", "b"))
-    body = F.array_join(F.filter(F.transform(F.split(F.regexp_replace("b", r"(?s)^.*?-->[^\n]*\n?", ""), "\n"), F.trim), lambda x: x != ""), " ")
+    body = F.array_join(F.filter(F.transform(F.split(F.regexp_replace("b", r"(?s)^.*?-->[^\n]*\n?", ""), "\n"), lambda x: F.trim(x)), lambda x: x != ""), " ")
     return c.select(*keep, "pos", _seconds(F.col("b"), 1).alias("start"), _seconds(F.col("b"), 5).alias("end"), body.alias("text"))
 
 
@@ -34,7 +34,7 @@ def vtt_cues(df: DataFrame, text: str, *keep: str) -> DataFrame:
 
 def playlist_uris(text: Column) -> Column:
     """Lines of a playlist that are no tags or blank."""
-    return F.filter(F.transform(F.split(text, r"\r?\n"), F.trim), lambda x: (x != "") & ~x.startswith("#"))
+    return F.filter(F.transform(F.split(text, r"\r?\n"), lambda x: F.trim(x)), lambda x: (x != "") & ~x.startswith("#"))
 
 
 def first_variant(text: Column) -> Column:

@@ -65,8 +65,7 @@ def point_geometry(x: Column, y: Column) -> Column:
 
 
 def ring_geometry(xs: Column, ys: Column) -> Column:
-    ring = F.arrays_zip(xs, ys)
-    pts = F.transform(ring, lambda p: F.array(p[0], p[1]))
+    pts = F.zip_with(xs, ys, lambda a, b: F.array(a, b))
     return F.struct(F.lit("Polygon").alias("type"), F.array(F.concat(pts, F.slice(pts, 1, 1))).alias("coordinates"))
 
 

@@ -16,7 +16,7 @@ def test_vtt(spark):
 def test_transcripts(spark, tmp_path):
     x = '<?xml version="1.0"?><m:meeting xmlns:m="urn:m"><m:activity id="1"><m:title>Stikstof</m:title><m:turn kind="speech"><m:speaker>A</m:speaker><m:text>een</m:text></m:turn><m:turn><m:speaker>B</m:speaker></m:turn></m:activity><m:activity id="2"><m:title>Zorg</m:title><m:turn><m:speaker>C</m:speaker><m:text>over Stikstof</m:text></m:turn><m:turn><m:speaker>D</m:speaker><m:text>niets</m:text></m:turn></m:activity></m:meeting>'
     (tmp_path / "t.xml").write_text(x)
-    t = readers.transcript_turns(spark, [str(tmp_path / "t.xml")], "m:activity")
+    t = readers.transcript_turns(spark, [str(tmp_path / "t.xml")])
     assert sorted((r.activity, r.pos, r.speaker, r.text) for r in t.collect()) == [("1", 0, "A", "een"), ("2", 0, "C", "over Stikstof"), ("2", 1, "D", "niets")]
     assert sorted(r.speaker for r in readers.topic_turns(t, "stikstof").collect()) == ["A", "C"]
 
