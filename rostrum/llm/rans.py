@@ -47,7 +47,7 @@ class Table:
         over = int(freq.sum()) - size
         while over > 0:  # take from the most frequent, never below one slot
             order = np.argsort(-freq, kind="stable")
-            take = np.minimum(freq[order] - 1, np.maximum(1, freq[order] * over // freq.sum()))
+            take = np.minimum(np.maximum(freq[order] - 1, 0), np.maximum(1, freq[order] * over // freq.sum()))
             take = np.where(np.cumsum(take) <= over, take, np.maximum(0, over - (np.cumsum(take) - take)))
             freq[order] -= take
             over = int(freq.sum()) - size
