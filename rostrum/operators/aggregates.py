@@ -72,8 +72,9 @@ def median_rates(rates: DataFrame, entities: int, tag: str) -> DataFrame:
 
 def lift(counts: DataFrame, entity: str, tag: str, n: str) -> DataFrame:
     """Over-representation: share of a tag within an entity over its share overall."""
-    all_n = F.sum(n).over(Window.partitionBy())
-    out = counts.withColumn("entity_total", F.sum(n).over(Window.partitionBy(entity))).withColumn("tag_total", F.sum(n).over(Window.partitionBy(tag))).withColumn("all_total", all_n)
+    out = counts.join(counts.groupBy(entity).agg(F.sum(n).alias("entity_total")), entity)
+    out = out.join(counts.groupBy(tag).agg(F.sum(n).alias("tag_total")), tag)
+    out = out.crossJoin(F.broadcast(counts.agg(F.sum(n).alias("all_total"))))  # one row
     share = F.col(n) / F.col("entity_total")
     return out.withColumn("share", share).withColumn("lift", share / (F.col("tag_total") / F.col("all_total")))
 

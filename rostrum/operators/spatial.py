@@ -39,7 +39,8 @@ def blur(grid: DataFrame, sigma: float, by: list[str] = ()) -> DataFrame:
 def density(points: DataFrame, size: float, sigma: float, gamma: float = 0.5) -> DataFrame:
     """ix, iy, value in 0..1: smoothed counts over their maximum, to a power."""
     g = blur(cells(points, size), sigma)
-    return g.select("ix", "iy", F.pow(F.col("n") / F.max("n").over(Window.partitionBy()), gamma).alias("value"))
+    top = g.agg(F.max("n").alias("top"))
+    return g.crossJoin(F.broadcast(top)).select("ix", "iy", F.pow(F.col("n") / F.col("top"), gamma).alias("value"))  # one row
 
 
 def sample(points: DataFrame, grid: DataFrame, size: float) -> DataFrame:
@@ -59,7 +60,8 @@ def relative_density(points: DataFrame, group: Column, size: float, sigma: float
     total = blur(cells(p, size), sigma)
     part = blur(cells(p.where("inside = 1"), size), sigma).withColumnRenamed("n", "g")
     share = p.agg(F.avg("inside").alias("share"))
-    t = total.withColumn("top", F.max("n").over(Window.partitionBy())).where(F.col("n") >= floor * F.col("top"))
+    top = total.agg(F.max("n").alias("top"))
+    t = total.crossJoin(F.broadcast(top)).where(F.col("n") >= floor * F.col("top"))  # one row
     r = t.join(part, ["ix", "iy"]).crossJoin(F.broadcast(share)).withColumn("ratio", F.col("g") / F.col("n") / F.col("share"))  # one row
     lev = sum(F.when(F.col("ratio") >= x, 1).otherwise(0) for x in levels)
     return r.select("ix", "iy", F.round("ratio", 7).alias("ratio"), lev.alias("level")).where("level > 0")

@@ -376,8 +376,9 @@ def m11_palette(spark, sf_dir):
   FROM (SELECT *, pow(10.0, floor(log10(o_totalprice))) AS p, o_totalprice / pow(10.0, floor(log10(o_totalprice))) AS r FROM orders)""")
 def m12_m13_scales(spark, sf_dir):
     o = table(spark, sf_dir, "orders")
-    top = F.max("o_totalprice").over(Window.partitionBy())
-    return o.select("o_orderkey", maths.nice_ceiling(F.col("o_totalprice")).alias("top"), F.round(maths.sqrt_width(F.col("o_totalprice"), top), 6).alias("width"))
+    most = o.agg(F.max("o_totalprice").alias("most"))
+    top = F.col("most")
+    return o.crossJoin(F.broadcast(most)).select("o_orderkey", maths.nice_ceiling(F.col("o_totalprice")).alias("top"), F.round(maths.sqrt_width(F.col("o_totalprice"), top), 6).alias("width"))
 
 
 # JSON
