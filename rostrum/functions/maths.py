@@ -83,8 +83,9 @@ def point_radius(density: Column, target: float, least: float, most: float) -> C
 
 
 def uniform_from_id(key: Column, seed: int = 0) -> Column:
-    """A repeatable number in (0, 1] per key."""
-    return (F.shiftrightunsigned(F.xxhash64(key, F.lit(seed)), 11) + 1) / float(1 << 53)
+    """A repeatable number in (0, 1] per key: 52 bits of the MD5 of seed and key, so SQL can repeat it."""
+    h = F.substring(F.md5(F.concat(F.lit(f"{seed}:"), key.cast("string"))), 1, 13)
+    return (F.conv(h, 16, 10).cast("double") + 1) / float(1 << 52)
 
 
 def polygon_area(xs: Column, ys: Column) -> Column:

@@ -10,6 +10,7 @@ from ..operators.relational import best_per_group
 from .core import TAG, tagged
 from ..session import scratch
 from .registry import query
+from .texts import U
 
 
 def points(spark, sf_dir):
@@ -101,21 +102,30 @@ def c32_distance_to_cluster(spark, sf_dir):
 # Space
 
 
-@query(f"""WITH c AS (SELECT CAST(floor(x / 0.25) AS BIGINT) AS ix, CAST(floor(y / 0.25) AS BIGINT) AS iy, count(*) AS n FROM {_PTS} GROUP BY 1, 2), k AS (SELECT d, exp(-(d * d) / 2.0) AS w FROM (SELECT unnest(range(-3, 4)) AS d)), kn AS (SELECT d, w / (SELECT sum(w) FROM k) AS w FROM k),
-  a AS (SELECT ix + d AS ix, iy, sum(n * w) AS n FROM c, kn GROUP BY 1, 2), b AS (SELECT ix, iy + d AS iy, sum(n * w) AS n FROM a, kn GROUP BY 1, 2) SELECT ix, iy, round(sqrt(n / max(n) OVER ()), 7) AS value FROM b""")
+_DENSITY = f"""WITH c AS (SELECT CAST(floor(x / 0.25) AS BIGINT) AS ix, CAST(floor(y / 0.25) AS BIGINT) AS iy, count(*) AS n FROM {_PTS} GROUP BY 1, 2), k AS (SELECT d, exp(-(d * d) / 2.0) AS w FROM (SELECT unnest(range(-3, 4)) AS d)), kn AS (SELECT d, w / (SELECT sum(w) FROM k) AS w FROM k),
+  a AS (SELECT ix + d AS ix, iy, sum(n * w) AS n FROM c, kn GROUP BY 1, 2), b AS (SELECT ix, iy + d AS iy, sum(n * w) AS n FROM a, kn GROUP BY 1, 2) SELECT ix, iy, sqrt(n / max(n) OVER ()) AS value FROM b"""
+
+
+@query(f"SELECT ix, iy, round(value, 7) AS value FROM ({_DENSITY})")
 def c20_density_grid(spark, sf_dir):
     return spatial.density(points(spark, sf_dir), 0.25, 1.0).select("ix", "iy", F.round("value", 7).alias("value"))
 
 
-@query()
+@query(f"""WITH g AS ({_DENSITY}), q AS (SELECT id, x / 0.25 - 0.5 AS fx, y / 0.25 - 0.5 AS fy FROM {_PTS}), k AS (SELECT id, CAST(floor(fx) AS BIGINT) + a AS ix, CAST(floor(fy) AS BIGINT) + b AS iy,
+  CASE a WHEN 1 THEN fx - floor(fx) ELSE 1 - fx + floor(fx) END * CASE b WHEN 1 THEN fy - floor(fy) ELSE 1 - fy + floor(fy) END AS w FROM q, (SELECT unnest([0, 1]) AS a), (SELECT unnest([0, 1]) AS b))
+  SELECT id, round(sum(w * coalesce(value, 0)), 7) AS value FROM k LEFT JOIN g USING (ix, iy) GROUP BY 1""")
 def c20_bilinear_sample(spark, sf_dir):
     p = points(spark, sf_dir)
-    return spatial.sample(p.select("id", "x", "y"), spatial.density(p, 0.25, 1.0), 0.25)
+    return spatial.sample(p.select("id", "x", "y"), spatial.density(p, 0.25, 1.0), 0.25).select("id", F.round("value", 7).alias("value"))
 
 
-@query()
+_THIN = f"""WITH r AS (SELECT *, row_number() OVER (ORDER BY -ln({U.format(id='id')}), id) AS rank FROM {_PTS}), z AS (SELECT *, CAST(least(greatest(floor((x + 10) / 20 * pow(2, z)), 0), pow(2, z) - 1) AS INT) AS tx, CAST(least(greatest(floor((10 - y) / 20 * pow(2, z)), 0), pow(2, z) - 1) AS INT) AS ty FROM r, (SELECT unnest([0, 1, 2, 3, 4]) AS z)),
+  b AS (SELECT z, max(n) OVER (ORDER BY z) AS budget FROM (SELECT z, count(DISTINCT (tx, ty)) * 20 AS n FROM z GROUP BY 1)) SELECT z, tx, ty, id, x, y, rank FROM z JOIN b USING (z) WHERE rank <= budget"""
+
+
+@query(f"SELECT z, tx, ty, id, rank FROM ({_THIN})")
 def c21_w04_thinning(spark, sf_dir):
-    return spatial.thin(points(spark, sf_dir), [0, 1, 2, 3, 4], 20, -10.0, 10.0, F.lit(1.0))
+    return spatial.thin(points(spark, sf_dir), [0, 1, 2, 3, 4], 20, -10.0, 10.0, F.lit(1.0)).select("z", "tx", "ty", "id", "rank")
 
 
 @query()
@@ -132,7 +142,13 @@ def a37_s16_ink_density(spark, sf_dir):
     return c.groupBy("label").agg(F.count("*").alias("filled"), p(0.5).alias("p50"), p(0.9).alias("p90"), p(0.99).alias("p99"), F.round(F.max("n") / 256, 9).alias("top"))
 
 
-@query()
+def _blurred(where: str) -> str:
+    return f"""(WITH c AS (SELECT CAST(floor(x / 0.5) AS BIGINT) AS ix, CAST(floor(y / 0.5) AS BIGINT) AS iy, count(*) AS n FROM {_PTS} WHERE {where} GROUP BY 1, 2), k AS (SELECT d, exp(-(d * d) / 2.0) AS w FROM (SELECT unnest(range(-3, 4)) AS d)), kn AS (SELECT d, w / (SELECT sum(w) FROM k) AS w FROM k),
+  a AS (SELECT ix + d AS ix, iy, sum(n * w) AS n FROM c, kn GROUP BY 1, 2) SELECT ix, iy + d AS iy, sum(n * w) AS n FROM a, kn GROUP BY 1, 2)"""
+
+
+@query(f"""WITH t AS {_blurred('true')}, g AS {_blurred('label = 1')}, s AS (SELECT avg(CASE WHEN label = 1 THEN 1.0 ELSE 0.0 END) AS share FROM {_PTS}),
+  r AS (SELECT ix, iy, round(g.n / t.n / share, 7) AS ratio, CASE WHEN g.n / t.n / share >= 1.5 THEN 1 ELSE 0 END + CASE WHEN g.n / t.n / share >= 3 THEN 1 ELSE 0 END AS level FROM t JOIN g USING (ix, iy), s WHERE t.n >= 0.02 * (SELECT max(n) FROM t)) SELECT ix, iy, ratio, level FROM r WHERE level > 0""")
 def c23_relative_density(spark, sf_dir):
     return spatial.relative_density(points(spark, sf_dir), F.col("label") == 1, 0.5, 1.0)
 

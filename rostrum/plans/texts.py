@@ -158,7 +158,7 @@ def fnv_reference(s: str) -> str:
     return digits
 
 
-@query()
+@query("SELECT page_id, lower(to_base(list_reduce(list_prepend(CAST(2166136261 AS BIGINT), list_transform(string_split(url, ''), lambda c: CAST(ascii(c) AS BIGINT))), lambda a, c: xor(a, c) * 16777619 % 4294967296), 36)) AS debate_id FROM pages")
 def x12_fnv_ids(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", text.fnv1a36(F.col("url")).alias("debate_id"))
 
@@ -325,10 +325,14 @@ def m02_m03_percentiles(spark, sf_dir):
     )
 
 
-@query()
+#: The sampling number of ``maths.uniform_from_id`` in SQL.
+U = "((CAST(CAST('0x' || substr(md5('0:' || {id}), 1, 13) AS BIGINT) AS DOUBLE) + 1) / 4503599627370496.0)"
+
+
+@query(f"SELECT vec_id, {U.format(id='vec_id')} AS u, round(-ln({U.format(id='vec_id')}) / (1 + label), 9) AS key FROM embeddings")
 def m04_uniform_from_id(spark, sf_dir):
     u = maths.uniform_from_id(F.col("vec_id"))
-    return table(spark, sf_dir, "embeddings").select("vec_id", u.alias("u"), (-F.ln(u) / (1 + F.col("label"))).alias("key"))
+    return table(spark, sf_dir, "embeddings").select("vec_id", u.alias("u"), F.round(-F.ln(u) / (1 + F.col("label")), 9).alias("key"))
 
 
 @query("SELECT vec_id, z, CAST(least(greatest(floor((x + 1) / 2 * pow(2, z)), 0), pow(2, z) - 1) AS INT) AS tx, CAST(least(greatest(floor((1 - y) / 2 * pow(2, z)), 0), pow(2, z) - 1) AS INT) AS ty FROM (SELECT vec_id, CAST(embedding[1] AS DOUBLE) AS x, CAST(embedding[2] AS DOUBLE) AS y, unnest([0, 1, 2, 3, 4]) AS z FROM embeddings)")
@@ -360,7 +364,11 @@ def m07_m09_rotate_clip(spark, sf_dir):
     return e.crossJoin(F.broadcast(s)).select("vec_id", F.round(rx, 6).alias("rx"), F.round(ry, 6).alias("ry"), F.round(c, 6).alias("clipped"))  # one row of statistics
 
 
-@query()
+@query("""WITH p AS (SELECT p_partkey, (CAST(p_size AS DOUBLE) * 2 + 16) / 116 AS fy, CAST(p_partkey % 60 - 30 AS DOUBLE) AS a, CAST(p_partkey % 40 - 20 AS DOUBLE) AS b FROM part), f AS (SELECT p_partkey, fy + a / 500 AS fx, fy, fy - b / 200 AS fz FROM p),
+  i AS (SELECT p_partkey, 0.95047 * CASE WHEN fx > 6.0/29 THEN fx * fx * fx ELSE 3 * pow(6.0/29, 2) * (fx - 4.0/29) END AS x, CASE WHEN fy > 6.0/29 THEN fy * fy * fy ELSE 3 * pow(6.0/29, 2) * (fy - 4.0/29) END AS y, 1.08883 * CASE WHEN fz > 6.0/29 THEN fz * fz * fz ELSE 3 * pow(6.0/29, 2) * (fz - 4.0/29) END AS z FROM f),
+  l AS (SELECT p_partkey, [3.2404542 * x - 1.5371385 * y - 0.4985314 * z, -0.969266 * x + 1.8760108 * y + 0.041556 * z, 0.0556434 * x - 0.2040259 * y + 1.0572252 * z] AS v FROM i),
+  e AS (SELECT p_partkey, list_transform(v, lambda c: CAST(round(255 * least(greatest(CASE WHEN c <= 0.0031308 THEN 12.92 * c ELSE 1.055 * pow(greatest(c, 0.0), 1 / 2.4) - 0.055 END, 0.0), 1.0)) AS INT)) AS w FROM l)
+  SELECT p_partkey, w[1] AS r, w[2] AS g, w[3] AS b FROM e""")
 def m08_lab_to_rgb(spark, sf_dir):
     p = table(spark, sf_dir, "part")
     r, g, b = maths.lab_to_rgb(F.col("p_size").cast("double") * 2, F.col("p_partkey") % 60 - 30.0, F.col("p_partkey") % 40 - 20.0)

@@ -163,7 +163,7 @@ def w07_runs(spark, sf_dir):
     return intervals.runs(table(spark, sf_dir, "events"), ["user_id"], "event_id", "event_type")
 
 
-@query()
+@query("""SELECT user_id, n, unnest(list_reduce(v, lambda acc, x: CASE WHEN len(acc) = 0 OR x - acc[-1] >= 46 THEN list_append(acc, x) ELSE acc END, CAST([] AS DOUBLE[]))) AS kept FROM (SELECT user_id, CAST(count(*) AS INT) AS n, list_sort(list(value)) AS v FROM events GROUP BY 1)""")
 def w08_thinned_markers(spark, sf_dir):
     e = table(spark, sf_dir, "events").groupBy("user_id").agg(F.array_sort(F.collect_list("value")).alias("v"))
     return e.select("user_id", F.size("v").alias("n"), F.explode(intervals.thinned(F.col("v"), 46.0)).alias("kept"))
