@@ -205,17 +205,18 @@ def _unpack_sorted(data: memoryview, n: int) -> tuple[np.ndarray, int]:
 def _message(part: int, chunk: int, key: np.ndarray, second: np.ndarray | None, doc: np.ndarray) -> tuple:
     docs, at = np.unique(doc, return_inverse=True)
     kind = "<u2" if len(docs) <= 1 << 16 else "<u4"
-    head = np.array([len(key), len(docs)], "<i8").tobytes()
-    body = head + docs.astype("<i8").tobytes() + at.astype(kind).tobytes() + (b"" if second is None else second.astype("<u8").tobytes()) + _pack_sorted(key)
+    first = docs[0] if len(docs) else np.int64(0)
+    head = np.array([len(key), len(docs), first], "<i8").tobytes()
+    body = head + _pack_sorted((docs - first).astype(_U)) + at.astype(kind).tobytes() + (b"" if second is None else second.astype("<u8").tobytes()) + _pack_sorted(key)
     return part, chunk, body
 
 
 def _open(body: bytes, second: bool):
     m = memoryview(body)
-    n, k = np.frombuffer(m, "<i8", 2).tolist()
-    at = 16
-    docs = np.frombuffer(m, "<i8", k, at)
-    at += 8 * k
+    n, k, first = np.frombuffer(m, "<i8", 3).tolist()
+    docs, used = _unpack_sorted(m[24:], k)
+    docs = docs.astype(np.int64) + first
+    at = 24 + used
     kind = "<u2" if k <= 1 << 16 else "<u4"
     place = np.frombuffer(m, kind, n, at)
     at += place.nbytes
@@ -322,7 +323,7 @@ def _pending(chunk: Chunk, cuts: np.ndarray, again: np.ndarray, compare: np.ndar
     return spans, np.concatenate(name), np.concatenate(where, axis=1), np.concatenate(doc)
 
 
-def repeated(docs: DataFrame, length: int = 50, texts: bool = False, chunk_bytes: int = 8 << 20, stretch: int = 1 << 18) -> DataFrame:
+def repeated(docs: DataFrame, length: int = 50, texts: bool = False, chunk_bytes: int = 4 << 20, stretch: int = 1 << 18) -> DataFrame:
     """Per document: doc_id, n_bytes, spans (array of start, end of removed bytes), kept_sha256, kept.
 
     ``kept``, with ``texts``, is the remaining text; bytes of a character that was cut are left out of it.
