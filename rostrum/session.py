@@ -7,7 +7,9 @@ executor never loses it.  Only where that setting is missing (tests, laptops) a
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import uuid
 
@@ -37,7 +39,9 @@ def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share; set to a local one only where the cluster names none."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not named:
-        named = "file://" + os.path.join(tempfile.gettempdir(), f"rostrum-{os.getpid()}")
+        local = os.path.join(tempfile.gettempdir(), f"rostrum-{os.getpid()}")
+        atexit.register(shutil.rmtree, local, ignore_errors=True)
+        named = "file://" + local
         spark.sparkContext.setCheckpointDir(named)
     return named.rstrip("/")
 
