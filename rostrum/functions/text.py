@@ -72,6 +72,13 @@ def classify_fragment(fragment: Column, text: Column) -> Column:
     return F.when(fragment.isNull() | (F.trim(fragment) == ""), "none").when(n > 0, single).when(many, multi).otherwise("not_found")
 
 
+def fragment_span(text: Column, pattern: Column) -> Column:
+    """struct(start, end) of the first match of a pattern, offsets from 0; null without one."""
+    hit = F.coalesce(F.regexp_substr(text, pattern), F.lit(""))
+    at = F.instr(text, hit).cast("long") - 1
+    return F.when(hit != "", F.struct(at.alias("start"), (at + F.length(hit)).alias("end")))
+
+
 def strip_speaker(text: Column, surname: Column, chair: str = "De voorzitter") -> Column:
     """Without the speaker's name before the first colon (chair literal, else the surname within 60 characters)."""
     at = F.locate(":", text)

@@ -78,3 +78,9 @@ def first_seen_ids(df: DataFrame, value: str, seq: str, id_name: str) -> DataFra
 def incremental_cutoff(df: DataFrame, day: Column, by: list[str], overlap_days: int) -> DataFrame:
     """Where the next crawl starts: the newest day per group minus an overlap for late corrections."""
     return df.groupBy(*by).agg(F.date_sub(F.max(day), overlap_days).alias("crawl_from"))
+
+
+def parent_names(levels: DataFrame) -> DataFrame:
+    """level, id, name and the name of the parent one level up (null at the top)."""
+    up = levels.select((F.col("level") + 1).alias("level"), F.col("id").alias("parent"), F.col("name").alias("parent_name"))
+    return levels.join(up, ["level", "parent"], "left").select("level", "id", "name", "parent_name")

@@ -25,4 +25,4 @@ def query(sql: str | None = None):
     return add
 
 
-from . import analytics, changes, core, inout, texts, times  # noqa: E402,F401
+from . import analytics, changes, core, extras, inout, texts, times  # noqa: E402,F401

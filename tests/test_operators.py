@@ -238,3 +238,17 @@ def test_cycle_is_an_error_and_deep_chain_settles(spark):
 def test_small_counts_and_lookup(spark):
     df = spark.createDataFrame([("a", 9), ("b", 1), ("c", 2)], "k string, n long")
     assert sorted(map(tuple, relational.small_counts(df, "k", "n", 3, "rest").collect())) == [("a", 9), ("rest", 3)]
+
+
+def test_token_counts(spark):
+    import public_tokenizers as p
+    from tokenizers import Tokenizer
+
+    from rostrum.functions.tokens import token_counter
+
+    t = Tokenizer.from_file(p.path("byte_bpe_50k.json"))
+    data = ["", None, "Hallo wereld, it's fine", "a  b\n\nc", "é" * 50]
+    count = token_counter(p.path("byte_bpe_50k.tiktoken"), p.PATTERN)
+    df = spark.createDataFrame(list(enumerate(data)), "i int, t string")
+    got = {r.i: r.n for r in df.select("i", count("t").alias("n")).collect()}
+    assert got == {i: len(t.encode(x or "").ids) for i, x in enumerate(data)}
