@@ -37,6 +37,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 Q = 24
 MAX_RUN = 27
@@ -128,6 +129,7 @@ class Chunk:
         col = table.column("text").combine_chunks()
         text = [b"" if x is None else x for x in col.cast(pa.binary()).to_pylist()]
         order = sorted(range(len(ids)), key=lambda i: (ids[i], len(text[i]), text[i]))
+        self.order = order
         self.text, self.doc = [text[i] for i in order], np.array([ids[i] for i in order], np.int64)
         self.null = np.array([table.column("doc_id")[i].as_py() is None for i in order], bool)
         self.length, self.stretch = length, stretch
@@ -323,16 +325,18 @@ def _pending(chunk: Chunk, cuts: np.ndarray, again: np.ndarray, compare: np.ndar
     return spans, np.concatenate(name), np.concatenate(where, axis=1), np.concatenate(doc)
 
 
-def repeated(docs: DataFrame, length: int = 50, texts: bool = False, chunk_bytes: int = 4 << 20, stretch: int = 1 << 18) -> DataFrame:
+def repeated(docs: DataFrame, length: int = 50, whole: bool = False, chunk_bytes: int = 4 << 20, stretch: int = 1 << 18) -> DataFrame:
     """Per document: doc_id, n_bytes, spans (array of start, end of removed bytes), kept_sha256, kept.
 
-    ``kept``, with ``texts``, is the remaining text; bytes of a character that was cut are left out of it.
+    With ``whole``, ``kept`` is the remaining text (null for null; bytes of a character that was cut are left
+    out of it) and ``rest`` a struct of the document's other columns; else ``kept`` is null.
     """
     if not Q + 1 <= length <= 96 - MAX_RUN or length < 32:
         raise ValueError("length must be 32 to 69 bytes")
     total = docs.select(F.sum(F.octet_length("text"))).first()[0] or 0
     parts = max(1, -(-total // chunk_bytes))
-    cols = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").cast("binary").alias("text"))
+    cols = [F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").cast("binary").alias("text")]
+    cols = docs.select(*cols, F.struct(*[docs[c] for c in docs.columns if c != "text"]).alias("rest")) if whole else docs.select(*cols)
     # A repeated doc_id is no hot key: the text takes part in the deal.
     cols = cols.withColumn("chunk", F.pmod(F.xxhash64("doc_id", "text"), F.lit(parts)).cast("int")).repartition(parts, "chunk")
 
@@ -361,8 +365,10 @@ def repeated(docs: DataFrame, length: int = 50, texts: bool = False, chunk_bytes
 
     def finish(table: pa.Table, messages: pa.Table) -> pa.Table:
         out = {"doc_id": [], "n_bytes": [], "spans": [], "kept_sha256": [], "kept": []}
+        rest = None
         if table.num_rows:
             chunk = Chunk(table, length, stretch)
+            empty = table.column("text").is_null().combine_chunks().take(pa.array(chunk.order)).to_pylist()
             spans, name, where, doc = settle(chunk, messages)
             w, _, d = _distinct(name, np.zeros(len(name), _U), doc)
             (again,) = _answers(messages, 2, _split(w, parts), 1)
@@ -392,9 +398,12 @@ def repeated(docs: DataFrame, length: int = 50, texts: bool = False, chunk_bytes
                     out["n_bytes"].append(len(text))
                     out["spans"].append([{"start": x, "end": y} for x, y in cut])
                     out["kept_sha256"].append(hashlib.sha256(body).hexdigest())
-                    out["kept"].append(body.decode("utf-8", "ignore") if texts else None)
+                    out["kept"].append(body.decode("utf-8", "ignore") if whole and not empty[i + j] else None)
+            if whole:
+                rest = table.column("rest").combine_chunks().take(pa.array(chunk.order))
         kinds = [pa.int64(), pa.int64(), pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])), pa.string(), pa.string()]
-        return pa.table({k: pa.array(v, t) for (k, v), t in zip(out.items(), kinds, strict=True)})
+        made = pa.table({k: pa.array(v, t) for (k, v), t in zip(out.items(), kinds, strict=True)})
+        return made.append_column("rest", rest if rest is not None else table.column("rest")) if whole else made
 
     by_chunk = cols.groupBy("chunk")
     runs = by_chunk.applyInArrow(send_runs, "part int, chunk int, body binary")
@@ -404,9 +413,10 @@ def repeated(docs: DataFrame, length: int = 50, texts: bool = False, chunk_bytes
     windows = by_chunk.cogroup(first.groupBy("chunk")).applyInArrow(send_windows, "part int, chunk int, body binary")
     second = windows.groupBy("part").applyInArrow(lambda t: _refine(t, False), reply)
     answers = first.unionByName(second).repartition(parts, "chunk")
-    return by_chunk.cogroup(answers.groupBy("chunk")).applyInArrow(
-        finish, "doc_id long, n_bytes long, spans array<struct<start: long, end: long>>, kept_sha256 string, kept string"
-    )
+    result = StructType.fromDDL("doc_id long, n_bytes long, spans array<struct<start: long, end: long>>, kept_sha256 string, kept string")
+    if whole:
+        result = result.add(cols.schema["rest"])
+    return by_chunk.cogroup(answers.groupBy("chunk")).applyInArrow(finish, result)
 
 
 def _stretch_sizes(chunk: Chunk):
@@ -437,10 +447,13 @@ def digest(docs: DataFrame, length: int = 50) -> DataFrame:
 
 
 def strip(docs: DataFrame, length: int = 50) -> DataFrame:
-    """``docs`` (unique doc_id) with the repeated bytes out of ``text``; ``n_chars``, where there, follows."""
-    cut = repeated(docs, length, texts=True).where(F.size("spans") > 0).select(F.col("doc_id").alias("__id"), F.col("kept").alias("__kept"))
-    out = docs.join(cut, docs["doc_id"].eqNullSafe(F.col("__id")), "left")
-    new = {"text": F.coalesce("__kept", docs["text"])}
+    """``docs`` with the repeated bytes out of ``text``; ``n_chars``, where there, follows a text that was cut.
+
+    The other columns travel with the text, so nothing is joined afterwards.
+    """
+    cut = repeated(docs, length, whole=True)
+    new = {"text": F.col("kept")}
     if "n_chars" in docs.columns:
-        new["n_chars"] = F.coalesce(F.length("__kept").cast("long"), docs["n_chars"])
-    return out.select(*[new[c].alias(c) if c in new else docs[c] for c in docs.columns])
+        old = F.col("rest")["n_chars"]
+        new["n_chars"] = F.when(F.size("spans") > 0, F.length("kept").cast(docs.schema["n_chars"].dataType)).otherwise(old)
+    return cut.select(*[new.get(c, F.col("rest")[c]).alias(c) for c in docs.columns])
