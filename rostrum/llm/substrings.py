@@ -230,9 +230,14 @@ def _open(body: bytes, second: bool):
     return key, r, docs[place]
 
 
-def _split(key: np.ndarray, parts: int) -> np.ndarray:
-    """Where each part's share of the sorted keys begins: parts are ranges of the key space."""
-    edge = (np.arange(1, parts, dtype=object) * (1 << 64) // parts).astype(_U) if parts > 1 else np.empty(0, _U)
+def _split(key: np.ndarray, parts: int, draws: int = 1) -> np.ndarray:
+    """Where each part's share of the sorted keys begins: parts are ranges of the key space.
+
+    A key that is the least of ``draws`` identifiers is small more often than not; the ranges are
+    quantiles of that distribution, so parts get equal shares.
+    """
+    p = np.arange(1, parts) / parts
+    edge = (-np.expm1(np.log1p(-p) / draws) * 2.0**64).astype(_U)
     return np.concatenate([[0], np.searchsorted(key, edge), [len(key)]])
 
 
@@ -334,7 +339,7 @@ def repeated(docs: DataFrame, length: int = 50, whole: bool = False, chunk_bytes
     if not Q + 1 <= length <= 96 - MAX_RUN or length < 32:
         raise ValueError("length must be 32 to 69 bytes")
     total = docs.select(F.sum(F.octet_length("text"))).first()[0] or 0
-    parts = max(1, -(-total // chunk_bytes))
+    parts, draws = max(1, -(-total // chunk_bytes)), length - Q + 1
     cols = [F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").cast("binary").alias("text")]
     cols = docs.select(*cols, F.struct(*[docs[c] for c in docs.columns if c != "text"]).alias("rest")) if whole else docs.select(*cols)
     # A repeated doc_id is no hot key: the text takes part in the deal.
@@ -343,13 +348,13 @@ def repeated(docs: DataFrame, length: int = 50, whole: bool = False, chunk_bytes
     def send_runs(table: pa.Table) -> pa.Table:
         c = table.column("chunk")[0].as_py()
         b, r, d = Chunk(table, length, stretch).entries()
-        cuts = _split(b, parts)
+        cuts = _split(b, parts, draws)
         rows = [_message(p, c, b[x:y], r[x:y], d[x:y]) for p, (x, y) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)) if y > x]
         return _rows(rows, ["part", "chunk", "body"])
 
     def settle(chunk: Chunk, messages: pa.Table):
         keys = chunk.entries()
-        cuts = _split(keys[0], parts)
+        cuts = _split(keys[0], parts, draws)
         again, compare = _answers(messages, 1, cuts, 2)
         return _pending(chunk, cuts, again, compare, keys)
 
