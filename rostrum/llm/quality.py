@@ -131,11 +131,22 @@ def _estimates(moments: DataFrame, factor: float) -> DataFrame:
     return moments.mapInArrow(run, "k string, total long, mean array<double>, inv array<double>")
 
 
-def mcd(rows: DataFrame, steps: int = 4) -> DataFrame:
-    """k, total, mean, inv per group key of ``rows`` (k, x0..x4): concentration steps from a robust start."""
+#: Estimates are about 300 bytes a group; up to so many groups (6 MB) they are broadcast, else joined by key.
+BROADCAST_GROUPS = 20_000
+
+
+def _per_group(df: DataFrame, groups: int) -> DataFrame:
+    return F.broadcast(df) if groups <= BROADCAST_GROUPS else df
+
+
+def mcd(rows: DataFrame, steps: int = 4) -> tuple[DataFrame, int]:
+    """k, total, mean, inv per group key of ``rows`` (k, x0..x4), and the number of groups: concentration
+    steps from a robust start."""
     xs = [f"x{i}" for i in range(D)]
     mid = rows.groupBy("k").agg(F.count("*").alias("total"), F.array(*[F.percentile_approx(x, 0.5, 1000) for x in xs]).alias("mean"))
-    mad = rows.join(mid, "k").groupBy("k").agg(
+    mid = scratch(mid, "mcd")
+    groups = mid.count()
+    mad = rows.join(_per_group(mid, groups), "k").groupBy("k").agg(
         F.first("total").alias("total"), F.first("mean").alias("mean"),
         F.array(*[F.percentile_approx(F.abs(F.col(x) - F.col("mean")[i]), 0.5, 1000) for i, x in enumerate(xs)]).alias("mad"),
     )
@@ -144,11 +155,11 @@ def mcd(rows: DataFrame, steps: int = 4) -> DataFrame:
     state = scratch(mad.select("k", "total", "mean", F.array(*[1 / var[i] if i == j else F.lit(0.0) for i in range(D) for j in range(D)]).alias("inv")), "mcd")
     factor = 0.5 / chi2_cdf(chi2_quantile(0.5, D), D + 2)
     for _ in range(steps):
-        near = rows.join(state, "k").withColumn("bin", F.floor(F.log2(_distance() + 1e-6) * 32).cast("int"))
+        near = rows.join(_per_group(state, groups), "k").withColumn("bin", F.floor(F.log2(_distance() + 1e-6) * 32).cast("int"))
         bins = near.groupBy("k", "total", "bin").agg(F.count("*").alias("n"))
         below = F.sum("n").over(Window.partitionBy("k").orderBy("bin")) - F.col("n")
         cut = bins.withColumn("below", below).where(2 * F.col("below") < F.col("total")).groupBy("k").agg(F.max("bin").alias("cut"))
-        half = near.join(cut, "k").where(F.col("bin") <= F.col("cut"))
+        half = near.join(_per_group(cut, groups), "k").where(F.col("bin") <= F.col("cut"))
         sums = half.groupBy("k").agg(
             F.first("total").alias("total"), F.count("*").alias("n"),
             F.array(*[F.sum(x) for x in xs]).alias("s"),
@@ -156,7 +167,8 @@ def mcd(rows: DataFrame, steps: int = 4) -> DataFrame:
         )
         old, state = state, scratch(_estimates(sums, factor), "mcd")
         drop_scratch(old)
-    return state
+    drop_scratch(mid)
+    return state, groups
 
 
 def judge(docs: DataFrame, tail: float = 1 - 1e-5, min_group: int = 100, steps: int = 4) -> DataFrame:
@@ -168,11 +180,11 @@ def judge(docs: DataFrame, tail: float = 1 - 1e-5, min_group: int = 100, steps:
     named = lambda c: F.coalesce(F.concat(F.lit("="), F.col(c)), F.lit("-"))
     keys = [F.to_json(F.array(named("lang"), named("source"))), F.to_json(F.array(named("lang"))), F.lit("[]")]
     fit = stats_x.where(~F.col("base_failed")).select(F.explode(F.array(*keys)).alias("k"), *[f"x{i}" for i in range(D)])
-    state = mcd(fit, steps)
+    state, groups = mcd(fit, steps)
     out = stats_x
     for i, key in enumerate(keys):
         s = state.select(F.col("k").alias(f"k{i}"), F.col("total").alias(f"t{i}"), F.col("mean").alias(f"m{i}"), F.col("inv").alias(f"v{i}"))
-        out = out.withColumn(f"k{i}", key).join(s, f"k{i}", "left")
+        out = out.withColumn(f"k{i}", key).join(_per_group(s, groups), f"k{i}", "left")
     big = lambda i: F.coalesce(F.col(f"t{i}"), F.lit(0)) >= min_group
     pick = lambda c: F.when(big(0), F.col(f"{c}0")).when(big(1), F.col(f"{c}1")).otherwise(F.col(f"{c}2"))
     out = out.withColumn("mean", pick("m")).withColumn("inv", pick("v")).withColumn("distance2", _distance())
