@@ -36,19 +36,26 @@ from .components import components
 BITS = 64
 
 
-def fingerprint(text: str | None, shingle: int = 4) -> int:
-    """Bit i is set if it is set in over half the shingles' XXH64 (seed 42); 0 without words."""
+def shingle_hashes(text: str | None, shingle: int = 4):
+    """XXH64 (seed 42) of the shingles in order, in arrays of up to 65 536; nothing without words."""
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()  # bytes: only A-Z, only ASCII white space
     if not words:
-        return 0
+        return
     joined = b" ".join(words)
     size = np.fromiter(map(len, words), np.int64, len(words)) + 1
     start = np.concatenate([[0], np.cumsum(size)])
     n = max(1, len(words) - shingle + 1)
     ends = (start[min(shingle, len(words)) :] - 1).tolist()
-    digest, total = xxhash.xxh64_intdigest, np.zeros(BITS, np.int64)
+    digest = xxhash.xxh64_intdigest
     for at in range(0, n, 1 << 16):
-        h = np.array([digest(joined[a:b], 42) for a, b in zip(start[at : min(n, at + (1 << 16))].tolist(), ends[at : at + (1 << 16)], strict=False)], np.uint64)
+        yield np.array([digest(joined[a:b], 42) for a, b in zip(start[at : min(n, at + (1 << 16))].tolist(), ends[at : at + (1 << 16)], strict=False)], np.uint64)
+
+
+def fingerprint(text: str | None, shingle: int = 4) -> int:
+    """Bit i is set if it is set in over half the shingles' XXH64 (seed 42); 0 without words."""
+    n, total = 0, np.zeros(BITS, np.int64)
+    for h in shingle_hashes(text, shingle):
+        n += len(h)
         total += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
     return int(np.packbits(total * 2 > n, bitorder="little").view(np.uint64)[0])
 
