@@ -56,9 +56,13 @@ def source_targets(sizes: DataFrame, weights=(5, 2, 1), max_epochs: int = 3) ->
     )
 
 
-def mix_plan(docs: DataFrame, weights=(5, 2, 1), max_epochs: int = 3, rows_per_bucket: int = 4096) -> DataFrame:
-    """doc_id, size, source, source_size, target, position (source words before the document) per row."""
-    rows = docs.select("doc_id", "source", n_words(F.col("text")).alias("size"), F.md5(F.col("doc_id").cast("string")).alias("h"))
+def mix_plan(docs: DataFrame, weights=(5, 2, 1), max_epochs: int = 3, rows_per_bucket: int = 4096, whole: bool = False) -> DataFrame:
+    """doc_id, size, source, source_size, target, position (source words before the document) per row.
+
+    With ``whole`` also ``rest``, a struct of the row's columns.
+    """
+    rest = [F.struct(*[docs[c] for c in docs.columns]).alias("rest")] if whole else []
+    rows = docs.select("doc_id", "source", n_words(F.col("text")).alias("size"), F.md5(F.col("doc_id").cast("string")).alias("h"), *rest)
     n = max(1, docs.count() // rows_per_bucket)
     buckets = 1 << max(0, (n - 1).bit_length())
     prefix = F.conv(F.substring("h", 1, 8), 16, 10).cast("long")
@@ -76,7 +80,7 @@ def mix_plan(docs: DataFrame, weights=(5, 2, 1), max_epochs: int = 3, rows_per_b
     return (
         rows.alias("r")
         .join(before.alias("b"), F.col("r.source").eqNullSafe(F.col("b.source")) & (F.col("r.bucket") == F.col("b.bucket")))
-        .select("r.doc_id", "r.size", "r.source", "b.source_size", "b.target", (F.col("b.base") + F.col("r.run")).alias("position"))
+        .select("r.doc_id", "r.size", "r.source", "b.source_size", "b.target", (F.col("b.base") + F.col("r.run")).alias("position"), *(["r.rest"] if whole else []))
     )
 
 
@@ -96,17 +100,17 @@ def mix(docs: DataFrame, weights=(5, 2, 1), max_epochs: int = 3) -> DataFrame:
     """The mix itself: a row per copy with all columns of ``docs``, in order of virtual finish time.
 
     The text of a straddling copy ends after its last taken word; ``n_chars``, where there, follows.
-    Rows of one doc_id count as one key, so ``docs`` should have unique ids (others: see ``mix_totals``).
+    The columns travel with the plan, so rows of one doc_id, or of none, are taken each by itself.
     """
     cols = docs.columns
-    plan = mix_plan(docs, weights, max_epochs).select(
-        F.col("doc_id").alias("__id"), F.col("size").alias("__size"), "position", "source_size", "target",
+    plan = mix_plan(docs, weights, max_epochs, whole=True).select(
+        "rest", F.col("size").alias("__size"), "position", "source_size", "target",
         F.posexplode(copies_taken(max_epochs)).alias("__epoch", "__taken"),
     )
     copies = plan.where((F.col("__taken") > 0) | ((F.col("__size") == 0) & (F.col("__epoch") == 0))).withColumn(
         "__finish", F.coalesce(F.try_divide(F.col("position") + F.col("source_size") * F.col("__epoch") + F.col("__size"), F.col("target")), F.lit(0.0))
     )
-    out = docs.join(copies.select("__id", "__size", "__taken", "__finish"), docs["doc_id"].eqNullSafe(F.col("__id")))
+    out = copies.select(*[F.col("rest")[c].alias(c) for c in cols], "__size", "__taken", "__finish")
     # The rest after the last taken word: what a split at word ends leaves unsplit.
     rest = F.element_at(F.split("text", r"(?<=[^\x20\x09-\x0D])[\x20\x09-\x0D]+", (F.col("__taken") + 1).cast("int")), -1)
     keep = F.regexp_replace(F.expr("left(text, length(text) - length(__rest))"), r"[\x20\x09-\x0D]+$", "")

@@ -28,6 +28,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ..session import drop_scratch, scratch
 
@@ -68,20 +69,23 @@ def text_statistics(text: str | None) -> tuple[int, int, int, int, int]:
     return n, chars, symbols, dup, repeat
 
 
-def statistics(docs: DataFrame) -> DataFrame:
-    """doc_id, lang, source and the counts, for whole texts."""
+def statistics(docs: DataFrame, whole: bool = False) -> DataFrame:
+    """doc_id, lang, source and the counts, for whole texts; with ``whole`` also ``rest``, the row itself."""
 
     def run(batches):
         for b in batches:
-            cols = list(zip(*map(text_statistics, b.column("text").to_pylist()), strict=True)) or [[]] * 5
+            text = b.column("rest").field("text") if whole else b.column("text")
+            cols = list(zip(*map(text_statistics, text.to_pylist()), strict=True)) or [[]] * 5
             yield pa.RecordBatch.from_arrays(
-                [b.column("doc_id"), b.column("lang"), b.column("source"), *(pa.array(c, pa.int64()) for c in cols)],
-                names=["doc_id", "lang", "source", *(x.split()[0] for x in STATS.split(", "))],
+                [b.column("doc_id"), b.column("lang"), b.column("source"), *(pa.array(c, pa.int64()) for c in cols), *([b.column("rest")] if whole else [])],
+                names=["doc_id", "lang", "source", *(x.split()[0] for x in STATS.split(", ")), *(["rest"] if whole else [])],
             )
 
     kind = dict(docs.dtypes)["doc_id"]
-    cols = docs.select("doc_id", F.col("lang").cast("string").alias("lang"), F.col("source").cast("string").alias("source"), "text")
-    return cols.mapInArrow(run, f"doc_id {kind}, lang string, source string, {STATS}")
+    row = F.struct(*[docs[c] for c in docs.columns]).alias("rest") if whole else F.col("text")
+    cols = docs.select("doc_id", F.col("lang").cast("string").alias("lang"), F.col("source").cast("string").alias("source"), row)
+    result = StructType.fromDDL(f"doc_id {kind}, lang string, source string, {STATS}")
+    return cols.mapInArrow(run, result.add(cols.schema["rest"]) if whole else result)
 
 
 def base_failed() -> F.Column:
@@ -171,9 +175,9 @@ def mcd(rows: DataFrame, steps: int = 4) -> tuple[DataFrame, int]:
     return state, groups
 
 
-def judge(docs: DataFrame, tail: float = 1 - 1e-5, min_group: int = 100, steps: int = 4) -> DataFrame:
-    """doc_id, the counts, base_failed, kept and distance2, one row per row of ``docs``."""
-    stats = scratch(statistics(docs).withColumn("base_failed", base_failed()), "stats")
+def judge(docs: DataFrame, tail: float = 1 - 1e-5, min_group: int = 100, steps: int = 4, whole: bool = False) -> DataFrame:
+    """doc_id, the counts, base_failed, kept and distance2, one row per row of ``docs``; with ``whole`` also ``rest``, the row."""
+    stats = scratch(statistics(docs, whole).withColumn("base_failed", base_failed()), "stats")
     stats_x = stats
     for i, e in enumerate(MEASURES):
         stats_x = stats_x.withColumn(f"x{i}", F.expr(e.replace("n_words", "greatest(n_words, 1)")))
@@ -190,10 +194,9 @@ def judge(docs: DataFrame, tail: float = 1 - 1e-5, min_group: int = 100, steps:
     out = out.withColumn("mean", pick("m")).withColumn("inv", pick("v")).withColumn("distance2", _distance())
     kept = ~F.col("base_failed") & (F.coalesce(F.col("distance2"), F.lit(0.0)) <= chi2_quantile(tail, D))
     names = [x.split()[0] for x in STATS.split(", ")]
-    return out.select("doc_id", *names, "base_failed", kept.alias("kept"), "distance2")
+    return out.select("doc_id", *names, "base_failed", kept.alias("kept"), "distance2", *(["rest"] if whole else []))
 
 
 def keep(docs: DataFrame, **options) -> DataFrame:
-    """The rows of ``docs`` that are kept, with all their columns; by doc_id, which should be unique."""
-    good = judge(docs, **options).where("kept").select(F.col("doc_id").alias("__id")).distinct()
-    return docs.join(good, docs["doc_id"].eqNullSafe(F.col("__id")), "left_semi")
+    """The rows of ``docs`` that are kept, each by its own text, with all their columns."""
+    return judge(docs, whole=True, **options).where("kept").select(*[F.col("rest")[c].alias(c) for c in docs.columns])

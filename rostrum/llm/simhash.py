@@ -254,7 +254,10 @@ def near_duplicates(docs: DataFrame, distance: int = 4, shingle: int = 4, split:
 
 
 def keep_one(docs: DataFrame, **options) -> DataFrame:
-    """One document of each group, the one with the smallest doc_id, with all its columns."""
-    best = near_duplicates(docs, **options).where(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    best = best.select(F.col("doc_id").alias("__id")).distinct()
-    return docs.join(best, docs["doc_id"].eqNullSafe(F.col("__id")), "left_semi")
+    """One row of each group, one with the smallest doc_id (null last), with all its columns."""
+    # Rows are told apart by their place in a written copy, so repeated and null ids decide nothing together.
+    keyed = scratch(docs.withColumn("__row", F.monotonically_increasing_id()), "simhash-rows")
+    group = near_duplicates(keyed.select(F.col("__row").alias("doc_id"), "text"), **options).select(F.col("doc_id").alias("__row"), "component_id")
+    order = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "__row")
+    best = keyed.select("__row", "doc_id").join(group, "__row").groupBy("component_id").agg(F.min(order).alias("first"))
+    return keyed.join(best.select(F.col("first")["__row"].alias("__row")), "__row", "left_semi").select(*docs.columns)
