@@ -16,8 +16,9 @@ broadcast up to ``BROADCAST_NODES``, beyond that by a join on the host.
 
 Edge cases: null or empty html gives empty text; broken markup (unclosed or stray tags, comments,
 missing body end) is read as browsers would, as far as text goes; a host with one page has nothing
-to compare, so only names decide; repeated rows count as pages; a null url is host ``""``; an empty
-table gives no rows; other columns are not read.
+to compare, so only names decide; equal pages of a host count as one page; a page that would lose all
+its blocks keeps all but the named boilerplate; a null url is host ``""``; an empty table gives no
+rows; other columns are not read.
 """
 
 from __future__ import annotations
@@ -29,7 +30,7 @@ from collections import Counter
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import scratch
@@ -172,25 +173,35 @@ def main_text(html: str | None, low=frozenset(), host: str = "") -> str:
     blocks, _ = parse(html)
     roots = {e.root for e, _ in blocks if not e.noise}
     want = "article" if "article" in roots else "main" if "main" in roots else ""
-    out = []
+    out, own = [], []
     for e, text in blocks:
         if e.noise:
             continue
+        own.append(text)
         if want:
             if e.root == want or (want == "article" and any(x.tag == "article" for x in e.inside)):
                 out.append(text)
         elif not low or not any(_key(host, x.path) in low for x in e.inside):
             out.append(text)
-    return " ".join(out)
+    # What all pages share is boilerplate only beside something else.
+    return " ".join(out or own)
+
+
+def host_column() -> Column:
+    """``host_of`` as a Column."""
+    return F.lower(F.coalesce(F.regexp_extract("url", r"://([^/?#]*)", 1), F.lit("")))
 
 
 def page_counts(pages: DataFrame) -> DataFrame:
-    """host, node, kind (0 pages, 1 presentation, 2 content), feature, n: what a task saw."""
+    """host, node, kind (0 pages, 1 presentation, 2 content), feature, n: what a task saw, k equal pages as 1/k each."""
+    digest = F.md5("html")
+    copies = pages.groupBy(host_column().alias("__host"), digest.alias("__digest")).agg(F.count("*").alias("copies")).where("copies > 1")
+    pages = pages.select("url", "html").join(copies, (host_column() == F.col("__host")) & (digest == F.col("__digest")), "left")
 
     def run(batches):
         for b in batches:
             seen: Counter = Counter()
-            for url, html in zip(b.column("url").to_pylist(), b.column("html").to_pylist(), strict=True):
+            for url, html, equal in zip(*(b.column(c).to_pylist() for c in ("url", "html", "copies")), strict=True):
                 host = host_of(url)
                 blocks, elements = parse(html)
                 page = set()
@@ -206,19 +217,20 @@ def page_counts(pages: DataFrame) -> DataFrame:
                         continue
                     f = xxhash.xxh64_intdigest(text) - (1 << 63)
                     page.update((host, _key(host, x.path), 2, f) for x in e.inside)
-                seen.update(page)
+                for x in page:
+                    seen[x] += 1 / (equal or 1)
             keys = list(zip(*seen, strict=True)) or [[]] * 4
             yield pa.RecordBatch.from_arrays(
-                [pa.array(keys[0], pa.string()), pa.array(keys[1], pa.int64()), pa.array(keys[2], pa.int32()), pa.array(keys[3], pa.int64()), pa.array(list(seen.values()), pa.int64())],
+                [pa.array(keys[0], pa.string()), pa.array(keys[1], pa.int64()), pa.array(keys[2], pa.int32()), pa.array(keys[3], pa.int64()), pa.array(list(seen.values()), pa.float64())],
                 names=["host", "node", "kind", "feature", "n"],
             )
 
-    return pages.select("url", "html").mapInArrow(run, "host string, node long, kind int, feature long, n long")
+    return pages.select("url", "html", "copies").mapInArrow(run, "host string, node long, kind int, feature long, n double")
 
 
 def style_tree(pages: DataFrame) -> DataFrame:
     """host, node, pages, importance of every style node outside explicit articles and named noise."""
-    counts = page_counts(pages).groupBy("host", "node", "kind", "feature").agg(F.sum("n").alias("n"))
+    counts = page_counts(pages).groupBy("host", "node", "kind", "feature").agg(F.round(F.sum("n")).alias("n"))
     # Pages that hold the node, then how evenly its styles and blocks are spread over them.
     per = counts.groupBy("host", "node").agg(
         F.sum(F.when(F.col("kind") == 0, F.col("n"))).alias("pages"),
@@ -255,10 +267,9 @@ def extract(pages: DataFrame, threshold: float = 0.3, broadcast_nodes: int = BRO
 
         return cols.mapInArrow(run, schema)
     by_host = low.groupBy(F.col("host").alias("__host")).agg(F.collect_set("node").alias("low"))
-    host = F.lower(F.regexp_extract("url", r"://([^/?#]*)", 1))
 
     def joined(batches):
         for b in batches:
             yield rows(b, [frozenset(x or ()) for x in b.column("low").to_pylist()])
 
-    return cols.join(by_host, host == F.col("__host"), "left").select("page_id", "url", "html", "low").mapInArrow(joined, schema)
+    return cols.join(by_host, host_column() == F.col("__host"), "left").select("page_id", "url", "html", "low").mapInArrow(joined, schema)
