@@ -1,20 +1,31 @@
 """Quality rules: base rules on word statistics, then robust multivariate outliers per group.
 
-``statistics`` counts over whole texts.  ``judge`` transforms the counts to the five measures of
-:data:`MEASURES` and fits, for each language and source, a minimum-covariance-determinant estimate:
-start from medians and scaled median deviations, then repeat concentration steps (mean and
-covariance of the half that is nearest by the last estimate).  A document is rejected if its squared
-Mahalanobis distance by the last estimate exceeds the chi-square quantile ``tail``.
+``statistics`` counts over whole texts.  ``judge`` transforms the counts to the measures of
+:data:`MEASURES` and fits a minimum-covariance-determinant estimate for each language and source.
 
-The fit runs on every document that passes the base rules.  Moments are plain sums per group, so a
-group of any size costs partial sums; the half is cut at a bin of the logarithm of the distance,
-from counts per bin, never by a sort of a group.  A group of fewer than ``min_group`` documents is
-judged by the estimate of its language, and that one, if as small, by the estimate of all.
+*Fit.* Three deterministic starts (medians with scaled median deviations, the spatial sign
+covariance about the medians, plain moments) are each improved by concentration steps: mean and
+covariance of the ``coverage`` of the group that is nearest by the last estimate, until the
+determinant no longer falls.  The start that ends with the least determinant is kept.
+
+*Regularity.* Rates of symbols, repeats and equal lines are zero in most documents, so the nearest
+documents often agree on them exactly.  What one count is worth as noise (:data:`MEASURES`) is added to
+the diagonal, as by the regularised estimate of Boudt and others; where a measure varies, its fitted
+variance and its correlations decide.  Every group's estimate is drawn to the pooled one of its
+language with the weight of ``prior`` documents, which fades as the group grows; no size is a switch.
+
+*Verdict.* A document is rejected if its squared Mahalanobis distance exceeds the chi-square quantile
+``tail``, widened where the nearest four fifths of the group already spread wider than a normal group's.
+
+The fit runs on every document that passes the base rules.  A step is one aggregation: moments per group
+and bin of the logarithm of the distance, at most about 2 000 bins a group, so a group of any size costs
+partial sums and no task ever holds a group's rows.
 
 Edge cases: a null or empty text has no words and fails the base rules; a null language or source
-is a value of its own; a measure that does not vary in a group keeps the least spread of
-:data:`MEASURES`, so equal rows never divide by zero; an empty table gives no rows; repeated rows
-count as often as they occur; other columns are not read (``keep`` passes them on).
+is a value of its own; a group of equal rows has the noise alone, so nothing divides by zero; a group
+without a row that passes the base rules has no estimate and rejects nothing more; an empty table
+gives no rows; repeated rows count as often as they occur; other columns are not read (``keep``
+passes them on).
 """
 
 from __future__ import annotations
@@ -26,20 +37,21 @@ from statistics import NormalDist
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from ..session import drop_scratch, scratch
 
 SYMBOLS = re.compile(r"[#*$%&|<>]")
-#: Measures of the counts with the least spread that counts as one standard deviation.
+#: Measures of the counts (a hundred words of five characters are added to the first two, whose spread
+#: would otherwise grow as texts get shorter), each with the deviation that counting noise alone may give a document.
 MEASURES = {
-    "ln(n_words)": 2.0,
-    "word_chars / n_words": 0.35,
-    "n_symbols / n_words": 0.02,
-    "ln(1 + n_dup_lines)": 1.0,
-    "n_repeat_words / n_words": 0.1,
+    "ln(n_words + 100)": 0.05,
+    "(word_chars + 500) / (n_words + 100)": 0.1,
+    "ln(0.1 + n_symbols / n_words)": 0.2,
+    "ln(0.1 + 10 * n_dup_lines / n_words)": 0.3,
+    "ln(0.1 + n_repeat_words / n_words)": 0.3,
 }
 D = len(MEASURES)
 STATS = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long"
@@ -107,35 +119,44 @@ def chi2_cdf(x: float, k: int) -> float:
     return total
 
 
-def _distance(m: str = "mean", inv: str = "inv") -> F.Column:
-    """Squared Mahalanobis distance of the columns x0.. from the group's estimate."""
-    dev = [F.col(f"x{i}") - F.col(m)[i] for i in range(D)]
-    return sum(dev[i] * dev[j] * F.col(inv)[i * D + j] for i in range(D) for j in range(D))
+def _distance() -> F.Column:
+    """Squared Mahalanobis distance of the columns x0.. from the group's estimate (mean, inv)."""
+    return F.expr(" + ".join(f"(x{i} - mean[{i}]) * (x{j} - mean[{j}]) * inv[{i * D + j}]" for i in range(D) for j in range(D)))
 
 
-def _estimates(moments: DataFrame, factor: float) -> DataFrame:
-    """mean and inverse covariance per group from n, sums and cross-products."""
-    least = np.array(list(MEASURES.values())) ** 2
+NOISE = np.diag(np.array(list(MEASURES.values())) ** 2)
+XS = [f"x{i}" for i in range(D)]
+#: Share of a group taken as free of outliers when its tail is compared with a normal one.
+TRUSTED = 0.8
+#: Bins to a doubling of the squared distance.
+BINS = 32
+STATE = "lang string, k string, start int, total long, n long, mean array<double>, cov array<double>, inv array<double>, logdet double, moved boolean"
+
+
+def consistency(share: float) -> float:
+    """Factor from the covariance of the nearest ``share`` of a normal group to that of all of it."""
+    return share / chi2_cdf(chi2_quantile(share, D), D + 2) if share < 0.999 else 1.0
+
+
+def _state_row(lang, k, start, total, n, mean, cov, before: float | None) -> tuple:
+    full = cov + NOISE
+    logdet = float(np.linalg.slogdet(full)[1])
+    moved = before is None or logdet < before - 1e-7
+    return lang, k, start, total, n, mean.tolist(), cov.ravel().tolist(), np.linalg.inv(full).ravel().tolist(), logdet, moved
+
+
+def _state_batch(rows: list[tuple]) -> pa.RecordBatch:
+    kinds = [pa.string(), pa.string(), pa.int32(), pa.int64(), pa.int64(), *[pa.list_(pa.float64())] * 3, pa.float64(), pa.bool_()]
+    cols = list(zip(*rows, strict=True)) or [[]] * len(kinds)
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names=[x.split()[0] for x in STATE.split(", ")])
 
-    def run(batches):
-        for b in batches:
-            mean, inv = [], []
-            for n, s, c in zip(*(b.column(x).to_pylist() for x in ("n", "s", "c")), strict=True):
-                mu = np.array(s) / n
-                cov = (np.array(c).reshape(D, D) / n - np.outer(mu, mu)) * factor
-                cov[np.diag_indices(D)] = np.maximum(cov.diagonal(), 0)
-                # Never below the least spread: the difference is added to the diagonal.
-                cov += np.diag(np.maximum(0, least - cov.diagonal()) + 1e-9)
-                mean.append(mu.tolist())
-                inv.append(np.linalg.pinv(cov, hermitian=True).ravel().tolist())
-            yield pa.RecordBatch.from_arrays(
-                [b.column("k"), b.column("total"), pa.array(mean, pa.list_(pa.float64())), pa.array(inv, pa.list_(pa.float64()))], names=["k", "total", "mean", "inv"]
-            )
 
-    return moments.mapInArrow(run, "k string, total long, mean array<double>, inv array<double>")
+def _moments() -> list[F.Column]:
+    s = ", ".join(f"sum({x})" for x in XS)
+    return [F.expr(f"array({s})").alias("s"), F.expr("array(" + ", ".join(f"sum({a} * {b})" for a in XS for b in XS) + ")").alias("c")]
 
 
-#: Estimates are about 300 bytes a group; up to so many groups (6 MB) they are broadcast, else joined by key.
+#: Estimates are about 500 bytes a row; up to so many they are broadcast (10 MB), else joined by key.
 BROADCAST_GROUPS = 20_000
 
 
@@ -143,56 +164,111 @@ def _per_group(df: DataFrame, groups: int) -> DataFrame:
     return F.broadcast(df) if groups <= BROADCAST_GROUPS else df
 
 
-def mcd(rows: DataFrame, steps: int = 4) -> tuple[DataFrame, int]:
-    """k, total, mean, inv per group key of ``rows`` (k, x0..x4), and the number of groups: concentration
-    steps from a robust start."""
-    xs = [f"x{i}" for i in range(D)]
-    mid = rows.groupBy("k").agg(F.count("*").alias("total"), F.array(*[F.percentile_approx(x, 0.5, 1000) for x in xs]).alias("mean"))
-    mid = scratch(mid, "mcd")
+def starts(rows: DataFrame) -> tuple[DataFrame, int]:
+    """Three first estimates per group of ``rows`` (lang, k, x0..x4), and the number of groups."""
+    mid = scratch(rows.groupBy("lang", "k").agg(F.count("*").alias("total"), F.array(*[F.percentile_approx(x, 0.5, 1000) for x in XS]).alias("mid")), "mcd")
     groups = mid.count()
-    mad = rows.join(_per_group(mid, groups), "k").groupBy("k").agg(
-        F.first("total").alias("total"), F.first("mean").alias("mean"),
-        F.array(*[F.percentile_approx(F.abs(F.col(x) - F.col("mean")[i]), 0.5, 1000) for i, x in enumerate(xs)]).alias("mad"),
+    near = rows.join(_per_group(mid.select("k", "total", "mid"), groups), "k")
+    dev = [f"(x{i} - mid[{i}])" for i in range(D)]
+    unit = [f"if(size > 0, {d} / size, 0d)" for d in dev]
+    seen = near.withColumn("size", F.expr("sqrt(" + " + ".join(f"{d} * {d}" for d in dev) + ")")).groupBy("lang", "k").agg(
+        F.first("total").alias("total"), F.first("mid").alias("mid"), *_moments(),
+        F.expr("array(" + ", ".join(f"percentile_approx(abs{d}, 0.5, 1000)" for d in dev) + ")").alias("mad"),
+        F.percentile_approx("size", 0.5, 1000).alias("size"),
+        F.expr("array(" + ", ".join(f"sum({a} * {b})" for a in unit for b in unit) + ")").alias("u"),
     )
-    least = list(MEASURES.values())
-    var = [F.pow(F.greatest(F.col("mad")[i] * 1.4826, F.lit(least[i])), 2) for i in range(D)]
-    state = scratch(mad.select("k", "total", "mean", F.array(*[1 / var[i] if i == j else F.lit(0.0) for i in range(D) for j in range(D)]).alias("inv")), "mcd")
-    factor = 0.5 / chi2_cdf(chi2_quantile(0.5, D), D + 2)
-    for _ in range(steps):
-        near = rows.join(_per_group(state, groups), "k").withColumn("bin", F.floor(F.log2(_distance() + 1e-6) * 32).cast("int"))
-        bins = near.groupBy("k", "total", "bin").agg(F.count("*").alias("n"))
-        below = F.sum("n").over(Window.partitionBy("k").orderBy("bin")) - F.col("n")
-        cut = bins.withColumn("below", below).where(2 * F.col("below") < F.col("total")).groupBy("k").agg(F.max("bin").alias("cut"))
-        half = near.join(_per_group(cut, groups), "k").where(F.col("bin") <= F.col("cut"))
-        sums = half.groupBy("k").agg(
-            F.first("total").alias("total"), F.count("*").alias("n"),
-            F.array(*[F.sum(x) for x in xs]).alias("s"),
-            F.array(*[F.sum(F.col(a) * F.col(b)) for a in xs for b in xs]).alias("c"),
-        )
-        old, state = state, scratch(_estimates(sums, factor), "mcd")
-        drop_scratch(old)
+
+    def run(batches):
+        for b in batches:
+            out = []
+            for r in b.to_pylist():
+                n, mid, mean = r["total"], np.array(r["mid"]), np.array(r["s"]) / r["total"]
+                plain = np.array(r["c"]).reshape(D, D) / n - np.outer(mean, mean)
+                signs = np.array(r["u"]).reshape(D, D) / n * D * r["size"] ** 2
+                for i, (m, c) in enumerate(((mid, np.diag((1.4826 * np.array(r["mad"])) ** 2)), (mid, signs), (mean, plain))):
+                    out.append(_state_row(r["lang"], r["k"], i, n, n, m, c, None))
+            yield _state_batch(out)
+
+    state = scratch(seen.mapInArrow(run, STATE), "mcd")
     drop_scratch(mid)
     return state, groups
 
 
-def judge(docs: DataFrame, tail: float = 1 - 1e-5, min_group: int = 100, steps: int = 4, whole: bool = False) -> DataFrame:
+def concentrate(rows: DataFrame, state: DataFrame, groups: int, coverage: float) -> DataFrame:
+    """One step for every start: moments by bin of distance, then of the nearest bins up to ``coverage``."""
+    known = state.select("k", "start", "total", "mean", "inv", F.col("logdet").alias("before"))
+    near = rows.join(_per_group(known, 3 * groups), "k").withColumn("bin", F.floor(F.log2(_distance() + 1e-6) * BINS).cast("int"))
+    bins = near.groupBy("lang", "k", "start", "total", "before", "bin").agg(F.count("*").alias("n"), *_moments())
+
+    def run(table: pa.Table) -> pa.Table:
+        table = table.sort_by("bin")
+        n = np.cumsum(table.column("n").to_numpy())
+        total = int(n[-1])
+        k = int(np.searchsorted(n, coverage * total)) + 1
+        size = int(n[k - 1])
+        s = table.column("s").combine_chunks().flatten().to_numpy().reshape(-1, D)[:k].sum(axis=0)
+        c = table.column("c").combine_chunks().flatten().to_numpy().reshape(-1, D * D)[:k].sum(axis=0).reshape(D, D)
+        mean = s / size
+        cov = (c / size - np.outer(mean, mean)) * consistency(size / total)
+        first = lambda x: table.column(x)[0].as_py()
+        return pa.Table.from_batches([_state_batch([_state_row(first("lang"), first("k"), first("start"), total, size, mean, (cov + cov.T) / 2, first("before"))])])
+
+    return bins.groupBy("k", "start").applyInArrow(run, STATE)
+
+
+def mcd(rows: DataFrame, coverage: float = 0.75, steps: int = 20, prior: int = 5) -> tuple[DataFrame, int]:
+    """k, mean, inv per group key of ``rows`` (lang, k, x0..x4), and the number of groups.
+
+    Steps go on while any start of any group still moves; groups at rest are not read again.
+    """
+    state, groups = starts(rows)
+    # The starts are not estimates of a nearest share yet: their determinants do not compare.
+    state, done = scratch(concentrate(rows, state.withColumn("logdet", F.lit(float("inf"))), groups, coverage), "mcd"), []
+    for _ in range(steps):
+        moving = state.where("moved")
+        if moving.isEmpty():
+            break
+        done.append(state.where("not moved"))
+        state = scratch(concentrate(rows, moving, groups, coverage), "mcd")
+    for d in done:
+        state = state.unionByName(d)
+    best = state.groupBy("lang", "k").agg(F.min_by(F.struct("n", "mean", "cov"), F.struct("logdet", "start")).alias("e")).select("lang", "k", "e.*")
+    best = scratch(best, "mcd")
+    every = best.groupBy("lang").agg(
+        F.sum("n").alias("all"),
+        F.expr("array(" + ", ".join(f"sum(n * mean[{i}])" for i in range(D)) + ")").alias("ms"),
+        F.expr("array(" + ", ".join(f"sum(n * cov[{i}])" for i in range(D * D)) + ")").alias("cs"),
+    )
+
+    def run(batches):
+        for b in batches:
+            mean, inv = [], []
+            for r in b.to_pylist():
+                w = prior / (r["n"] + prior)
+                mean.append(((1 - w) * np.array(r["mean"]) + w * np.array(r["ms"]) / r["all"]).tolist())
+                cov = (1 - w) * np.array(r["cov"]) + w * np.array(r["cs"]) / r["all"]
+                inv.append(np.linalg.inv(cov.reshape(D, D) + NOISE).ravel().tolist())
+            yield pa.RecordBatch.from_arrays([b.column("k"), pa.array(mean, pa.list_(pa.float64())), pa.array(inv, pa.list_(pa.float64()))], names=["k", "mean", "inv"])
+
+    joined = best.join(_per_group(every, groups), best["lang"].eqNullSafe(every["lang"])).select("k", "n", "mean", "cov", "all", "ms", "cs")
+    return scratch(joined.mapInArrow(run, "k string, mean array<double>, inv array<double>"), "mcd"), groups
+
+
+def judge(docs: DataFrame, tail: float = 1 - 1e-5, coverage: float = 0.75, steps: int = 20, prior: int = 5, whole: bool = False) -> DataFrame:
     """doc_id, the counts, base_failed, kept and distance2, one row per row of ``docs``; with ``whole`` also ``rest``, the row."""
-    stats = scratch(statistics(docs, whole).withColumn("base_failed", base_failed()), "stats")
-    stats_x = stats
+    stats = statistics(docs, whole).withColumn("base_failed", base_failed())
     for i, e in enumerate(MEASURES):
-        stats_x = stats_x.withColumn(f"x{i}", F.expr(e.replace("n_words", "greatest(n_words, 1)")))
+        stats = stats.withColumn(f"x{i}", F.expr(e.replace("n_words", "greatest(n_words, 1)")))
     named = lambda c: F.coalesce(F.concat(F.lit("="), F.col(c)), F.lit("-"))
-    keys = [F.to_json(F.array(named("lang"), named("source"))), F.to_json(F.array(named("lang"))), F.lit("[]")]
-    fit = stats_x.where(~F.col("base_failed")).select(F.explode(F.array(*keys)).alias("k"), *[f"x{i}" for i in range(D)])
-    state, groups = mcd(fit, steps)
-    out = stats_x
-    for i, key in enumerate(keys):
-        s = state.select(F.col("k").alias(f"k{i}"), F.col("total").alias(f"t{i}"), F.col("mean").alias(f"m{i}"), F.col("inv").alias(f"v{i}"))
-        out = out.withColumn(f"k{i}", key).join(_per_group(s, groups), f"k{i}", "left")
-    big = lambda i: F.coalesce(F.col(f"t{i}"), F.lit(0)) >= min_group
-    pick = lambda c: F.when(big(0), F.col(f"{c}0")).when(big(1), F.col(f"{c}1")).otherwise(F.col(f"{c}2"))
-    out = out.withColumn("mean", pick("m")).withColumn("inv", pick("v")).withColumn("distance2", _distance())
-    kept = ~F.col("base_failed") & (F.coalesce(F.col("distance2"), F.lit(0.0)) <= chi2_quantile(tail, D))
+    stats = scratch(stats.withColumn("k", F.to_json(F.array(named("lang"), named("source")))), "stats")
+    fit = stats.where(~F.col("base_failed")).select("lang", "k", *XS)
+    state, groups = mcd(fit, coverage, steps, prior)
+    limit = chi2_quantile(tail, D)
+    seen = fit.join(_per_group(state, groups), "k").groupBy("k").agg(F.percentile_approx(_distance(), TRUSTED, 1000).alias("q"))
+    wider = F.greatest(F.lit(1.0), F.col("q") / F.lit(chi2_quantile(TRUSTED, D)))
+    limits = scratch(state.join(_per_group(seen, groups), "k").select("k", "mean", "inv", (wider * limit).alias("limit")), "mcd")
+    out = stats.join(_per_group(limits, groups), "k", "left").withColumn("distance2", _distance())
+    kept = ~F.col("base_failed") & (F.coalesce(F.col("distance2"), F.lit(0.0)) <= F.coalesce(F.col("limit"), F.lit(0.0)))
     names = [x.split()[0] for x in STATS.split(", ")]
     return out.select("doc_id", *names, "base_failed", kept.alias("kept"), "distance2", *(["rest"] if whole else []))
 

@@ -1,3 +1,4 @@
+import math
 import random
 import re
 
@@ -94,6 +95,50 @@ def test_page_cases():
     assert text("<article><p>long " + "w " * 50000 + "</article>").count("w") == 50000
 
 
+def test_deep_nesting_is_linear():
+    assert html_text.main_text("<div>" * 50_000 + "deep" + "</div>" * 50_000) == "deep"
+    assert html_text.main_text("<div>x" * 50_000).count("x") == 50_000
+
+
+def slow_importance(pages, key):
+    """Importance of the node ``key`` from the parsed pages of one host, by the definition."""
+    styles, blocks, m = {}, {}, 0
+    for i, html in enumerate(pages):
+        own = [(e, t) for e, t in html_text.parse(html)[0] if e.key == key]
+        m += bool(own)
+        for e, t in own:
+            style = tuple(c for c, before in zip(e.children, [None, *e.children], strict=False) if c != before)
+            styles.setdefault(style, set()).add(i)
+            blocks.setdefault(t, set()).add(i)
+    if m <= 1:
+        return 0.5
+    n = [len(x) for x in styles.values()]
+    presentation = -sum(x / sum(n) * math.log(x / sum(n)) for x in n) / math.log(m)
+    content = 1 - sum(math.log(len(x)) for x in blocks.values()) / len(blocks) / math.log(m)
+    g = html_text.G ** len(styles)
+    raw = min(1, max(0, (1 - g) * presentation + g * content))
+    return (raw * m + 0.5 * html_text.EVIDENCE) / (m + html_text.EVIDENCE)
+
+
+def test_tree_equals_definition(spark):
+    rng = random.Random(4)
+    part = lambda i: "".join(f"<div class=c{j}>{rng.choice(['same', f'own {i}', 'twice'])}{rng.choice(['', '<ul><li>a</ul>', '<p>b'])}</div>" for j in "abc")
+    html = [f"<body>{part(i)}<article><p>text {i % 7}</article></body>" for i in range(25)]
+    tree = {r.node: r.importance for r in html_text.style_tree(pages(spark, [(i, None, h) for i, h in enumerate(html)])).collect()}
+    keys = {e.key for h in html for e, _ in html_text.parse(h)[0]}
+    assert {html_text.signed(k) for k in keys} == set(tree)
+    for k in keys:
+        assert abs(tree[html_text.signed(k)] - slow_importance(html, k)) < 1e-9
+
+
+def test_without_article_elements_little_changes(spark, sf):
+    src = spark.read.parquet(f"{sf}/pages.parquet")
+    bare = src.selectExpr("page_id", "url", "regexp_replace(html, '<(/?)article>', '<$1div>') AS html")
+    a = {r.page_id: r.text for r in html_text.extract(src).collect()}
+    b = {r.page_id: r.text for r in html_text.extract(bare).collect()}
+    assert sum(a[i] == b[i] for i in a) >= 0.95 * len(a)
+
+
 @given(st.text(alphabet="<>/!-apdiv \"'=&;", max_size=80))
 @settings(max_examples=200, deadline=None)
 def test_parser_never_fails(s):
@@ -170,6 +215,44 @@ def test_judge_equal_rows_and_empty(spark):
     assert rows(quality.judge(frame(spark, same)), "doc_id", "kept") == [*[(1, True)] * 5, (2, False)]
 
 
+def slow_mcd(x, coverage=0.75):
+    """Concentration steps in numpy from many random starts; the least determinant."""
+    rng, h, best = np.random.default_rng(3), math.ceil(coverage * len(x)), (np.inf, None)
+    for _ in range(200):
+        half = rng.choice(len(x), 2 * quality.D, replace=False)
+        for _ in range(50):
+            mean, cov = x[half].mean(axis=0), np.cov(x[half].T, bias=True) + quality.NOISE
+            d = np.einsum("ij,jk,ik->i", x - mean, np.linalg.inv(cov), x - mean)
+            half = np.argsort(d)[:h]
+        det = np.linalg.slogdet(np.cov(x[half].T, bias=True) * quality.consistency(coverage) + quality.NOISE)[1]
+        best = min(best, (det, tuple(sorted(half))))
+    half = list(best[1])
+    return best[0], x[half].mean(axis=0), np.cov(x[half].T, bias=True) * quality.consistency(coverage)
+
+
+def test_mcd_equals_brute_force_and_sees_correlation(spark):
+    rng = np.random.default_rng(1)
+    mix = np.eye(5) + np.triu(rng.uniform(0.3, 0.9, (5, 5)), 1)
+    groups = {k: rng.standard_normal((n, 5)) @ mix + i for i, (k, n) in enumerate((("a", 120), ("b", 240)))}
+    groups["a"][:20] += 12  # outliers that draw plain moments
+    groups["b"][0] = [2.0 * s for s in (1, -1, 1, -1, 1)] + groups["b"].mean(axis=0)  # unremarkable in every measure alone
+    data = [("en", k, *map(float, r)) for k, x in groups.items() for r in x]
+    df = spark.createDataFrame(data, "lang string, k string, x0 double, x1 double, x2 double, x3 double, x4 double")
+    state, n = quality.mcd(df, prior=0)
+    assert n == 2
+    for r in state.collect():
+        x = groups[r.k]
+        det, mean, cov = slow_mcd(x)
+        got = np.linalg.inv(np.array(r.inv).reshape(5, 5))
+        # The share is cut at a bin of the distance, so a few rows more may count than in brute force.
+        assert np.linalg.slogdet(got)[1] <= det + 0.35 and np.abs(np.array(r.mean) - mean).max() < 0.25
+        assert np.abs(got - quality.NOISE - cov).max() < 0.3 * np.abs(cov).max()
+        if r.k == "b":
+            d = (x[0] - r.mean) @ np.array(r.inv).reshape(5, 5) @ (x[0] - r.mean)
+            alone = ((x[0] - x.mean(axis=0)) / x.std(axis=0)) ** 2
+            assert d > quality.chi2_quantile(1 - 1e-5, 5) and alone.max() < quality.chi2_quantile(0.99, 1)
+
+
 def test_chi_square():
     assert abs(quality.chi2_quantile(0.5, 5) - 4.351) < 0.02 and abs(quality.chi2_cdf(4.351, 7) - 0.2614) < 0.001
 
