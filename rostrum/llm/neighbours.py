@@ -6,18 +6,18 @@ with a query are one stretch of that array, found by bisection.  A query descend
 longest match and then ascends all trees together, one bit at a time, until the stretches hold
 ``share`` of the shard's distinct vectors (``least`` at least); those candidates are scored exactly.
 
-Vectors are indexed by distinct value: equal vectors share one entry with their ``k + 1`` smallest
-ids, enough for any answer, so a vector that a third of all rows repeat is one entry.  Shards hold
-about ``shard_rows`` distinct vectors each, dealt by hash; the stated query set meets every shard in
-blocks of ``block`` queries.  Nothing is broadcast, and no candidate list leaves its shard: only the
-best ``k`` per query and shard do.
-
-With ``trees`` 24 and ``share`` 0.5 recall is measured against brute force in the tests and README.
-
-Edge cases: vectors that are null, empty, zero or hold null or non-finite numbers take no part, nor
-do vectors with another length than the most common one; ties go to the smaller id; repeated ids
-count as one row each, but a query never answers with its own id; fewer than ``k`` other vectors
-give as many rows as there are; no vectors give no rows; other columns are not read.
+Vectors are indexed by direction: vectors that differ by a factor share one entry (unit vectors equal to
+twelve decimals) with their ``k + 1`` smallest ids, enough for any answer.  So they tie exactly, and a vector
+that a third of all rows repeat is one entry.  Shards hold about ``shard_rows`` entries each, dealt by hash;
+the stated query set meets every shard in blocks of ``block`` queries.  Nothing is broadcast, and no
+candidate list leaves its shard: only the best ``k`` per query and shard do.
+
+Recall against brute force, and the share of vectors scored for it, are in the README and the tests.
+
+Edge cases: vectors that are null, empty, zero or hold null or non-finite numbers take no part; a
+vector meets only vectors of its own length; ties go to the smaller id; repeated ids count as one row
+each, but a query never answers with its own id; fewer than ``k`` other vectors give as many rows as
+there are; no vectors give no rows; other columns are not read.
 """
 
 from __future__ import annotations
@@ -94,39 +94,43 @@ class Forest:
         return out
 
 
+def direction(v: str = "v") -> Column:
+    """The unit vector to twelve decimals, without overflow on the way."""
+    return F.expr(
+        f"transform(array(transform({v}, x -> x / array_max(transform({v}, y -> abs(y))))), "
+        "w -> transform(w, x -> round(x / sqrt(aggregate(w, 0d, (s, y) -> s + y * y)), 12) + 0d))[0]"
+    )
+
+
 def nearest(
     vectors: DataFrame,
     every: int = 50,
     k: int = 5,
-    trees: int = 24,
-    share: float = 0.5,
-    least: int = 64,
+    trees: int = 192,
+    share: float = 0.25,
+    least: int = 256,
     shard_rows: int = 8192,
     block: int = 2048,
     seed: int = 7,
 ) -> DataFrame:
     """query_id, rank, vec_id, score: the ``k`` nearest found of every row with vec_id divisible by ``every``."""
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("v")).where(usable("embedding"))
-    dims = rows.groupBy(F.size("v").alias("d")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "d").first()
-    schema = "query_id long, rank int, vec_id long, score double"
-    if dims is None:
-        return vectors.sparkSession.createDataFrame([], schema)
-    dim = dims["d"]
-    rows = rows.where((F.size("v") == dim) & F.col("vec_id").isNotNull())
-    # Equal vectors as one entry. The rank filter is pushed below the exchange, so a hot vector sends k + 1 rows a task.
-    by_value = Window.partitionBy("v").orderBy("vec_id")
-    few = rows.withColumn("r", F.row_number().over(by_value)).where(F.col("r") <= k + 1)
-    entries = few.groupBy("v").agg(F.sort_array(F.collect_list("vec_id")).alias("ids"))
-    shards = max(1, round(dims["n"] / shard_rows))
+    rows = rows.where("vec_id is not null").withColumn("dim", F.size("v"))
+    n = rows.count()
+    # The rank filter is pushed below the exchange, so a hot direction sends k + 1 rows a task.
+    by_value = Window.partitionBy("u").orderBy("vec_id")
+    few = rows.withColumn("u", direction()).withColumn("r", F.row_number().over(by_value)).where(F.col("r") <= k + 1)
+    entries = few.groupBy("u").agg(F.first("dim").alias("dim"), F.min_by("v", "vec_id").alias("v"), F.sort_array(F.collect_list("vec_id")).alias("ids"))
+    shards = max(1, round(n / shard_rows))
     queries = rows.where(F.col("vec_id") % every == 0)
-    blocks = max(1, -(-dims["n"] // every // block))
-    index = entries.withColumn("shard", F.pmod(F.xxhash64("v"), F.lit(shards)).cast("int"))
+    blocks = max(1, -(-n // every // block))
+    index = entries.select("dim", "v", "ids", F.pmod(F.xxhash64("u"), F.lit(shards)).cast("int").alias("shard"))
     asked = queries.withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int")).withColumn(
         "shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1)))
     )
 
     def matrix(t: pa.Table) -> np.ndarray:
-        return t.column("v").combine_chunks().flatten().to_numpy().reshape(-1, dim)
+        return t.column("v").combine_chunks().flatten().to_numpy().reshape(t.num_rows, -1)
 
     def search(shard: pa.Table, asked: pa.Table) -> pa.Table:
         out = {"query_id": [], "vec_id": [], "score": []}
@@ -135,7 +139,7 @@ def nearest(
             ids, qid = shard.column("ids").to_pylist(), asked.column("vec_id").to_pylist()
             nv, nq = np.sqrt(np.einsum("ij,ij->i", v, v)), np.sqrt(np.einsum("ij,ij->i", q, q))
             scale = np.abs(v).max(axis=1, keepdims=True)
-            forest = Forest(v / scale, trees, directions(dim, trees, seed))
+            forest = Forest(v / scale, trees, directions(v.shape[1], trees, seed))
             want = min(len(v), max(least, int(share * len(v))))
             for a in range(0, len(q), 256):
                 for j, cand in enumerate(forest.candidates(q[a : a + 256], want), a):
@@ -155,7 +159,8 @@ def nearest(
 
     # The index goes to each block of queries: with one block (up to block * every rows) it moves once.
     index = index.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))) if blocks > 1 else index.withColumn("block", F.lit(0))
-    found = index.groupBy("shard", "block").cogroup(asked.groupBy("shard", "block")).applyInArrow(search, "query_id long, vec_id long, score double")
+    keys = ["dim", "shard", "block"]
+    found = index.groupBy(*keys).cogroup(asked.groupBy(*keys)).applyInArrow(search, "query_id long, vec_id long, score double")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order).cast("int")).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 

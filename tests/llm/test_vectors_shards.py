@@ -49,6 +49,26 @@ def test_all_candidates_are_exact(spark):
     assert got == brute(v, list(range(400)))
 
 
+def test_every_length_takes_part(spark):
+    rng = np.random.default_rng(2)
+    v = [rng.standard_normal(3 + i % 2).tolist() for i in range(60)]
+    got = {}
+    for r in neighbours.nearest(table(spark, v), every=10, share=1.0).orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append(r.vec_id)
+    own = brute(np.array(v[::2]), list(range(0, 60, 2)), every=10)
+    assert got == own
+
+
+def test_scored_share():
+    v = np.random.default_rng(3).standard_normal((4000, 64))
+    v /= np.linalg.norm(v, axis=1)[:, None]
+    f = neighbours.Forest(v, 192, neighbours.directions(64, 192, 7))
+    q = np.arange(0, 4000, 50)
+    cand = f.candidates(v[q], 1000)
+    hits = sum(len(set(np.argsort(-np.where(np.arange(4000) == i, -9, v @ v[i]))[:5].tolist()) & set(c.tolist())) for i, c in zip(q, cand, strict=True))
+    assert hits >= 0.9 * 5 * len(q) and sum(map(len, cand)) < 0.4 * 4000 * len(q)
+
+
 def test_unusable_vectors(spark):
     v = [[1, 0], None, [0, 0], [None, 1], [float("nan"), 1], [float("inf"), 1], [], [1, 1], [2, 2, 2]]
     got = neighbours.nearest(table(spark, v, [0, 1, 2, 3, 4, 5, 6, 7, 50]))
