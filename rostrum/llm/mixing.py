@@ -2,14 +2,19 @@
 
 Sources (by code point, null last) weigh ``weights``, repeating.  Their targets share the total size
 by weight; none may exceed ``max_epochs`` times its source, and what one cannot use is shared again
-among the rest.  Each source is shuffled by a hash of the row, and every copy of a document gets a
-virtual finish time: source words up to its end, divided by the source's target.  Copies in order
-of that time up to 1 are the mix; at time 1 every source has spent its target, so that is the
-truncation at the total budget.  The copy that straddles the end is taken in part.
+among the rest.  Each source is shuffled by a hash of the row, and its documents are queued ``max_epochs``
+times over.  Every copy gets a virtual finish time: source words up to its end, divided by the source's
+target.  A copy that runs over its source's target is queued as two parts, cut there.  Parts in the global
+order of their finish times are taken until the total budget is spent.
+
+The global order is a range sort: parts fall into ranges of the finish time, the running total over
+ranges finds the one where the budget ends (:func:`end_of_mix`), and only that range is sorted.  What is
+taken of a row then follows from its own finish times, without a join.
 
 No window spans a source: a source's shuffled rows fall into buckets by the leading bits of the
 hash, running sums are taken inside a bucket and over bucket totals, so a source that holds a third
-of all rows is spread over as many tasks as it has buckets.
+of all rows is spread over as many tasks as it has buckets.  The hash is of id and text, so rows of one id,
+or of none, spread like others unless they are equal.
 
 Edge cases: null or empty text has size 0 and is taken with 0 words; a source of size 0 has target
 0; a null source is a source of its own; equal rows are told apart by nothing, and any of them may
@@ -21,6 +26,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import scratch
+
 #: Separators of words (fixed values).
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -62,7 +69,7 @@ def mix_plan(docs: DataFrame, weights=(5, 2, 1), max_epochs: int = 3, rows_per_b
     With ``whole`` also ``rest``, a struct of the row's columns.
     """
     rest = [F.struct(*[docs[c] for c in docs.columns]).alias("rest")] if whole else []
-    rows = docs.select("doc_id", "source", n_words(F.col("text")).alias("size"), F.md5(F.col("doc_id").cast("string")).alias("h"), *rest)
+    rows = docs.select("doc_id", "source", n_words(F.col("text")).alias("size"), F.md5(F.concat_ws(":", F.col("doc_id").cast("string"), F.md5("text"))).alias("h"), *rest)
     n = max(1, docs.count() // rows_per_bucket)
     buckets = 1 << max(0, (n - 1).bit_length())
     prefix = F.conv(F.substring("h", 1, 8), 16, 10).cast("long")
@@ -85,15 +92,60 @@ def mix_plan(docs: DataFrame, weights=(5, 2, 1), max_epochs: int = 3, rows_per_b
 
 
 def copies_taken(max_epochs: int = 3) -> Column:
-    """Array with the words taken of each copy of a document: the mix ends at the floored target."""
+    """What :func:`mixed` must take of each copy, in closed form: source words up to the floored target."""
     left = lambda e: F.floor("target") - F.col("position") - F.col("source_size") * e
     return F.array(*[F.greatest(F.lit(0), F.least(F.col("size"), left(e))).cast("long") for e in range(max_epochs)])
 
 
+def parts(max_epochs: int = 3) -> Column:
+    """The queued parts of a row, in order: an array of (words, finish), two for each copy.
+
+    The second part of a copy is what lies beyond its source's (floored) target; it is empty but for one copy.
+    """
+    out = []
+    for e in range(max_epochs):
+        start = F.col("position") + F.col("source_size") * e
+        first = F.greatest(F.lit(0), F.least(F.col("size"), F.floor("target") - start)).cast("long")
+        for words, end in ((first, start + first), (F.col("size") - first, start + F.col("size"))):
+            finish = F.coalesce(F.try_divide(end, F.col("target")), F.lit(0.0))
+            out.append(F.struct(words.cast("long").alias("words"), finish.alias("finish")))
+    return F.array(*out)
+
+
+def end_of_mix(plan: DataFrame, max_epochs: int = 3, ranges: int = 1 << 12) -> DataFrame:
+    """One row ``last``: the finish time of the last part within the total budget (null without rows).
+
+    ``ranges`` divide the virtual time of one unit; sources are served evenly, so they hold like numbers of parts.
+    """
+    queued = plan.select(F.explode(parts(max_epochs)).alias("p")).select("p.words", "p.finish").where("words > 0")
+    queued = queued.withColumn("range", F.floor(F.least(F.col("finish"), F.lit(4.0)) * ranges).cast("int"))
+    totals = queued.groupBy("range").agg(F.sum("words").alias("n"))
+    budget = plan.select("source", F.floor("target").alias("t")).distinct().agg(F.sum("t").alias("budget"))
+    run = totals.select("range", "n", (F.sum("n").over(Window.orderBy("range")) - F.col("n")).alias("before"))
+    # Ranges wholly within the budget end at their last part; the one where it ends is sorted.
+    cut = run.join(F.broadcast(budget)).where(F.col("before") < F.col("budget")).agg(F.max_by(F.struct("range", "before", "budget"), "range").alias("c")).select("c.*")
+    near = queued.join(F.broadcast(cut), "range")
+    inside = Window.partitionBy("range").orderBy("finish").rangeBetween(Window.unboundedPreceding, 0)
+    fit = near.withColumn("sum", F.sum("words").over(inside)).where(F.col("before") + F.col("sum") <= F.col("budget"))
+    # With no part of the range within the budget, all of the ranges before it are.
+    low = cut.select((F.col("range") / F.lit(float(ranges))).alias("low"))
+    return fit.agg(F.max("finish").alias("fit")).join(F.broadcast(low)).select(F.coalesce("fit", "low").alias("last"))
+
+
+def mixed(plan: DataFrame, max_epochs: int = 3) -> DataFrame:
+    """``plan`` with ``copies``: the words taken of each copy of the row, in an array."""
+    last = end_of_mix(plan, max_epochs)
+    # Parts 2 e and 2 e + 1 belong to copy e.
+    words = lambda i: F.when(F.col("p")[i]["finish"] <= F.col("last"), F.col("p")[i]["words"]).otherwise(F.lit(0).cast("long"))
+    copies = F.array(*[words(2 * e) + words(2 * e + 1) for e in range(max_epochs)])
+    return plan.join(F.broadcast(last)).withColumn("p", parts(max_epochs)).withColumn("copies", copies).drop("p", "last")
+
+
 def mix_totals(docs: DataFrame, weights=(5, 2, 1), max_epochs: int = 3) -> DataFrame:
     """doc_id, size, source_size, target, taken: one row per document."""
-    taken = sum(copies_taken(max_epochs)[e] for e in range(max_epochs))
-    return mix_plan(docs, weights, max_epochs).select("doc_id", "size", "source_size", "target", taken.cast("long").alias("taken"))
+    plan = scratch(mix_plan(docs, weights, max_epochs), "mix-plan")
+    taken = F.aggregate("copies", F.lit(0).cast("long"), lambda s, x: s + x)
+    return mixed(plan, max_epochs).select("doc_id", "size", "source_size", "target", taken.alias("taken"))
 
 
 def mix(docs: DataFrame, weights=(5, 2, 1), max_epochs: int = 3) -> DataFrame:
@@ -103,12 +155,12 @@ def mix(docs: DataFrame, weights=(5, 2, 1), max_epochs: int = 3) -> DataFrame:
     The columns travel with the plan, so rows of one doc_id, or of none, are taken each by itself.
     """
     cols = docs.columns
-    plan = mix_plan(docs, weights, max_epochs, whole=True).select(
+    plan = mixed(scratch(mix_plan(docs, weights, max_epochs, whole=True), "mix-plan"), max_epochs).select(
         "rest", F.col("size").alias("__size"), "position", "source_size", "target",
-        F.posexplode(copies_taken(max_epochs)).alias("__epoch", "__taken"),
+        F.posexplode("copies").alias("__epoch", "__taken"),
     )
     copies = plan.where((F.col("__taken") > 0) | ((F.col("__size") == 0) & (F.col("__epoch") == 0))).withColumn(
-        "__finish", F.coalesce(F.try_divide(F.col("position") + F.col("source_size") * F.col("__epoch") + F.col("__size"), F.col("target")), F.lit(0.0))
+        "__finish", F.coalesce(F.try_divide(F.col("position") + F.col("source_size") * F.col("__epoch") + F.col("__taken"), F.col("target")), F.lit(0.0))
     )
     out = copies.select(*[F.col("rest")[c].alias(c) for c in cols], "__size", "__taken", "__finish")
     # The rest after the last taken word: what a split at word ends leaves unsplit.
@@ -121,10 +173,10 @@ def mix(docs: DataFrame, weights=(5, 2, 1), max_epochs: int = 3) -> DataFrame:
     return out.orderBy("__finish", "doc_id").select(*cols)
 
 
-#: The same in SQL: the shuffle is the order of md5(doc_id), so any engine can repeat it.
+#: The same in SQL: the shuffle is the order of an MD5 of id and text, so any engine can repeat it.
 ORACLE = r"""
 WITH d AS (
-  SELECT doc_id, source, md5(CAST(doc_id AS VARCHAR)) AS h,
+  SELECT doc_id, source, md5(concat_ws(':', CAST(doc_id AS VARCHAR), md5(text))) AS h,
          CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size
   FROM documents),
 s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY source),
@@ -139,12 +191,18 @@ l AS (
 f AS (SELECT arg_min(level, cap / weight) AS level FROM l WHERE level * weight <= cap),
 t AS (SELECT source, source_size, least(CAST(cap AS DOUBLE), (SELECT level FROM f) * weight) AS target FROM l),
 p AS (
-  SELECT d.doc_id, d.size, t.source_size, t.target,
+  SELECT row_number() OVER () AS r, d.doc_id, d.size, t.source_size, t.target,
     CAST(sum(d.size) OVER (PARTITION BY d.source ORDER BY d.h, d.doc_id, d.size ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS BIGINT) - d.size AS position
-  FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
-SELECT doc_id, size, source_size, target,
-  CAST(greatest(0, least(size, CAST(floor(target) AS BIGINT) - position))
-     + greatest(0, least(size, CAST(floor(target) AS BIGINT) - position - source_size))
-     + greatest(0, least(size, CAST(floor(target) AS BIGINT) - position - 2 * source_size)) AS BIGINT) AS taken
-FROM p
+  FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
+c AS (
+  SELECT r, size, target, position + e * source_size AS start,
+    CAST(greatest(0, least(size, CAST(floor(target) AS BIGINT) - position - e * source_size)) AS BIGINT) AS first
+  FROM p, (VALUES (0), (1), (2)) AS v(e)),
+q AS (
+  SELECT r, first AS words, (start + first) / target AS finish FROM c WHERE first > 0
+  UNION ALL SELECT r, size - first, (start + size) / target FROM c WHERE size > first),
+o AS (SELECT r, words, CAST(sum(words) OVER (ORDER BY finish RANGE UNBOUNDED PRECEDING) AS BIGINT) AS spent FROM q),
+k AS (SELECT r, CAST(sum(words) AS BIGINT) AS taken FROM o WHERE spent <= (SELECT sum(floor(target)) FROM t) GROUP BY r)
+SELECT p.doc_id, p.size, p.source_size, p.target, coalesce(k.taken, 0) AS taken
+FROM p LEFT JOIN k ON p.r = k.r
 """

@@ -50,6 +50,17 @@ def test_mix_rows(spark):
     assert {2, 4, 8} <= set(got)  # documents without words stay
 
 
+def test_cut_at_the_budget_equals_closed_form(spark):
+    docs = [(i % 40 if i % 7 else None, "w " * (i * i % 23), None, f"s{i % 5}" if i % 3 else "big", None) for i in range(500)]
+    plan = mixing.mix_plan(frame(spark, docs), rows_per_bucket=20)
+    cols = ("doc_id", "size", "position", "source_size", "copies")
+    want = rows(plan.withColumn("copies", mixing.copies_taken()), *cols)
+    for ranges in (1, 3, 1 << 12):
+        last = mixing.end_of_mix(plan, ranges=ranges).first()["last"]
+        assert 0.99 < last <= 1
+    assert rows(mixing.mixed(plan), *cols) == want
+
+
 def test_edge_tables(spark):
     assert mixing.mix_totals(frame(spark, [])).count() == 0
     one = [(1, None, None, None, None)]
