@@ -10,19 +10,21 @@ documents on different machines agree on it without a global sort.
 
 *Initial buckets.* A suffix array of everything is not needed, only buckets that reach over
 documents.  Each window of ``length`` bytes is filed under the least identifier of its ``Q``-grams;
-neighbours under one identifier form a run, named by the identifiers at its start, middle and end.
-So there is one entry per run, about every fourteenth byte, and equal windows always meet under
-the same initial bucket.
+neighbours under one identifier form a run.  So there is one entry per run, about every fourteenth
+byte, and equal windows always meet under the same initial bucket.
 
-*Refinement.* Entries (initial bucket, run name, document) go to the bucket's task, which sorts them
-by (bucket, later identifiers, document): a run also met in a smaller document is wholly repeated.
-Where a bucket holds different runs, the smallest document of each sends its windows, named by
-identifiers over all ``length`` bytes, and these are sorted the same way.
+*Refinement.* A bucket's entries meet in one task.  First they are sorted by (bucket, identifiers at the
+run's later offsets, document): a run also met in a smaller document is wholly repeated.  Only buckets
+that then still hold different runs are refined again: the smallest document of each run sends its windows,
+sorted by (bucket, identifier over all ``length`` bytes, document).  Names are compared inside a bucket only,
+that is among the few dozen different strings over one q-gram, so even 10^12 windows leave an expected
+10^12 * 10^2 / 2^64 = 5e-6 pairs of different strings with one name.
 
 Documents are dealt by hash to chunks of about ``chunk_bytes``; a chunk sends each distinct entry
 once, with its smallest document, packed in arrays, and gets back bits in the same order.  A passage
 that every document holds is one entry per chunk.  Bytes move once; the second and third pass
-read the same exchange.
+read the same exchange.  Buckets are dealt to parts by ranges of identifiers with even shares, each
+of about ``part_bytes`` of text, whatever the number of chunks.
 
 Edge cases: null text is empty; texts shorter than ``length`` keep all bytes; documents with the
 same doc_id never remove each other's bytes; a null doc_id counts as larger than all others; an
@@ -65,7 +67,7 @@ def _finish(x: np.ndarray) -> np.ndarray:
 class Names:
     """Identifiers of one stretch of bytes: several documents in a row, ``own[i]``: i starts a whole window."""
 
-    def __init__(self, data: np.ndarray, sizes: np.ndarray, length: int):
+    def __init__(self, data: np.ndarray, sizes: np.ndarray, length: int, buckets: bool = True):
         self.length = length
         n = len(data) - length + 1
         ends = np.cumsum(sizes)
@@ -82,7 +84,9 @@ class Names:
         i4 = _pair(i2[:-2], i2[2:])
         i8 = _pair(i4[:-4], i4[4:])
         i16 = _pair(i8[:-8], i8[8:])
-        self.i16, self.i32 = i16, _pair(i16[:-16], i16[16:])
+        self.i32 = _pair(i16[:-16], i16[16:])
+        if not buckets:
+            return
         m = len(data) - Q + 1
         iq = _finish(_pair(i16[:m], i8[16 : 16 + m]))
         # Least identifier of the length - Q + 1 grams of each window.
@@ -135,43 +139,53 @@ class Chunk:
         self.length, self.stretch = length, stretch
         self.doc_list = np.unique(self.doc)
 
-    def stretches(self):
-        """(first document, Names or None, sizes) of stretches of whole documents."""
+    def bounds(self):
+        """(first document, sizes) of stretches of whole documents."""
         i = 0
         while i < len(self.text):
             j, held = i, 0
             while j < len(self.text) and (j == i or held + len(self.text[j]) <= self.stretch):
                 held += len(self.text[j])
                 j += 1
-            sizes = np.array([len(t) for t in self.text[i:j]], np.int64)
-            data = np.frombuffer(b"".join(self.text[i:j]), np.uint8)
-            yield i, (Names(data, sizes, self.length) if (sizes >= self.length).any() else None), sizes
+            yield i, np.array([len(t) for t in self.text[i:j]], np.int64)
             i = j
 
-    def runs(self):
-        """Per stretch: its first document, names, run starts and lengths, bucket, run name, document."""
-        for i, names, sizes in self.stretches():
-            if names is None:
-                continue
-            at, n = names.runs()
-            doc = self.doc[i + np.searchsorted(np.cumsum(sizes), at, side="right")]
-            yield i, names, at, n, names.bucket[at], names.run_names(at, n), doc
+    def names(self, i: int, sizes: np.ndarray, buckets: bool = True) -> Names:
+        return Names(np.frombuffer(b"".join(self.text[i : i + len(sizes)]), np.uint8), sizes, self.length, buckets)
 
-    def entries(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Distinct (bucket, run) with their smallest document, sorted."""
-        got = [x[4:] for x in self.runs()]
-        if not got:
-            return np.empty(0, _U), np.empty(0, _U), np.empty(0, np.int64)
-        b, r, d = (np.concatenate(x) for x in zip(*got, strict=True))
-        return _distinct(b, r, d)
+    def walk(self) -> "Runs":
+        """All runs of the chunk; identifiers are held for one stretch at a time."""
+        got = []
+        for i, sizes in self.bounds():
+            if (sizes >= self.length).any():
+                names = self.names(i, sizes)
+                at, n = names.runs()
+                doc = self.doc[i + np.searchsorted(np.cumsum(sizes), at, side="right")]
+                got.append((np.full(len(at), i, np.int32), at.astype(np.int32), n.astype(np.int8), names.bucket[at], names.run_names(at, n), doc))
+        kinds = (np.int32, np.int32, np.int8, _U, _U, np.int64)
+        return Runs(*(np.concatenate(x) for x in zip(*got, strict=True))) if got else Runs(*(np.empty(0, k) for k in kinds))
+
+
+class Runs:
+    """Runs of a chunk: stretch, start, windows, bucket, name and document, and their distinct entries.
+
+    Entry ``place[j]`` of the sorted distinct (bucket, name) is that of run j; ``first`` has its smallest document.
+    """
+
+    def __init__(self, stretch, at, n, bucket, name, doc):
+        self.stretch, self.at, self.n, self.doc, self.own = stretch, at, n, doc, bucket
+        self.bucket, self.name, self.first, self.place = _distinct(bucket, name, doc)
 
 
 def _distinct(b, r, d):
+    """Sorted distinct (b, r) with the least d of each, and the place of every given pair among them."""
     order = np.lexsort((d, r, b))
     b, r, d = b[order], r[order], d[order]
     new = np.ones(len(b), bool)
     new[1:] = (b[1:] != b[:-1]) | (r[1:] != r[:-1])
-    return b[new], r[new], d[new]
+    place = np.empty(len(b), np.int32)
+    place[order] = np.cumsum(new, dtype=np.int32) - 1
+    return b[new], r[new], d[new], place
 
 
 # Messages are packed: the sorted first key as byte-wise differences, documents as places in a list.
@@ -213,7 +227,7 @@ def _message(part: int, chunk: int, key: np.ndarray, second: np.ndarray | None,
     return part, chunk, body
 
 
-def _open(body: bytes, second: bool):
+def _open(body: bytes, second: bool = True):
     m = memoryview(body)
     n, k, first = np.frombuffer(m, "<i8", 3).tolist()
     docs, used = _unpack_sorted(m[24:], k)
@@ -247,7 +261,7 @@ def _rows(rows: list[tuple], names: list[str]) -> pa.Table:
     return pa.table({n: pa.array(c, kinds[n]) for n, c in zip(names, cols, strict=True)})
 
 
-def _refine(table: pa.Table, second: bool) -> pa.Table:
+def _refine(table: pa.Table, first: bool) -> pa.Table:
     """All messages of one part: sort by (bucket, later identifiers, document) and answer every sender.
 
     Answer bits, in the order of the sender's entries: the entry is in a smaller document too; and,
@@ -255,10 +269,10 @@ def _refine(table: pa.Table, second: bool) -> pa.Table:
     holds other runs).
     """
     chunks = table.column("chunk").to_pylist()
-    opened = [_open(b, second) for b in table.column("body").to_pylist()]
+    opened = [_open(b) for b in table.column("body").to_pylist()]
     size = [len(x[0]) for x in opened]
     key = np.concatenate([x[0] for x in opened])
-    run = np.concatenate([x[1] for x in opened]) if second else np.zeros(len(key), _U)
+    run = np.concatenate([x[1] for x in opened])
     doc = np.concatenate([x[2] for x in opened])
     del opened
     order = np.lexsort((doc, run, key))
@@ -267,8 +281,7 @@ def _refine(table: pa.Table, second: bool) -> pa.Table:
     new_key[1:] = k[1:] != k[:-1]
     new = new_key.copy()
     new[1:] |= r[1:] != r[:-1]
-    first = np.maximum.accumulate(np.where(new, np.arange(len(k)), 0))
-    again = d > d[first]
+    again = d > d[np.maximum.accumulate(np.where(new, np.arange(len(k)), 0))]
     answer = [np.empty(len(k), bool), np.empty(len(k), bool)]
     answer[0][order] = again
     group = np.cumsum(new_key) - 1
@@ -276,8 +289,8 @@ def _refine(table: pa.Table, second: bool) -> pa.Table:
     answer[1][order] = many & ~again
     out, at = [], 0
     for c, n in zip(chunks, size, strict=True):
-        bits = b"".join(np.packbits(a[at : at + n]).tobytes() for a in answer[: 2 if second else 1])
-        out.append((table.column("part")[0].as_py(), c, 1 if second else 2, bits))
+        bits = b"".join(np.packbits(a[at : at + n]).tobytes() for a in answer[: 2 if first else 1])
+        out.append((table.column("part")[0].as_py(), c, 1 if first else 2, bits))
         at += n
     return _rows(out, ["part", "chunk", "kind", "body"])
 
@@ -294,43 +307,26 @@ def _answers(messages: pa.Table, kind: int, cuts: np.ndarray, bits: int) -> list
     return out
 
 
-def _spans(at: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Merge sorted windows' runs (start, number of starts) that follow each other."""
-    if not len(at):
-        return at, n
-    new = np.ones(len(at), bool)
-    new[1:] = at[1:] > (at + n)[:-1]
-    g = np.flatnonzero(new)
-    end = np.maximum.reduceat(at + n, g)
-    return at[g], end - at[g]
-
-
-def _pending(chunk: Chunk, cuts: np.ndarray, again: np.ndarray, compare: np.ndarray, keys):
-    """Split a chunk's runs by the answers: spans surely repeated, and windows still to compare."""
-    b, r, d = keys
-    both = _pair(b, r)
-    place = np.argsort(both)
-    both = both[place]
-    spans: dict[int, list] = {}
-    name, where, doc = [], [], []
-    for i, names, at, n, kb, kr, kd in chunk.runs():
-        # Place of each run among the distinct entries.
-        lo = place[np.searchsorted(both, _pair(kb, kr))]
-        gone = again[lo] | (kd > d[lo])
-        spans[i] = [at[gone], n[gone]]
-        ask = compare[lo] & ~gone
-        a, k = at[ask], n[ask]
-        if len(a):
-            pos = np.repeat(a - (np.cumsum(k) - k), k) + np.arange(int(k.sum()))
-            name.append(names.window_names(pos))
-            where.append(np.stack([np.full(len(pos), i, np.int64), pos]))
-            doc.append(np.repeat(kd[ask], k))
-    if not name:
-        return spans, np.empty(0, _U), np.empty((2, 0), np.int64), np.empty(0, np.int64)
-    return spans, np.concatenate(name), np.concatenate(where, axis=1), np.concatenate(doc)
-
-
-def repeated(docs: DataFrame, length: int = 50, whole: bool = False, chunk_bytes: int = 4 << 20, stretch: int = 1 << 18) -> DataFrame:
+class Pending:
+    """A chunk's runs after the first answers: those wholly repeated, and the windows still to compare."""
+
+    def __init__(self, chunk: Chunk, runs: Runs, again: np.ndarray, compare: np.ndarray):
+        self.gone = again[runs.place] | (runs.doc > runs.first[runs.place])
+        ask = np.flatnonzero(compare[runs.place] & ~self.gone)
+        got = []
+        for i, sizes in chunk.bounds():
+            own = ask[np.searchsorted(runs.stretch[ask], i) : np.searchsorted(runs.stretch[ask], i, side="right")]
+            if len(own):
+                at, n = runs.at[own].astype(np.int64), runs.n[own].astype(np.int64)
+                pos = np.repeat(at - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+                rep = np.repeat(own, n)
+                got.append((runs.stretch[rep], pos.astype(np.int32), runs.own[rep], chunk.names(i, sizes, False).window_names(pos), runs.doc[rep]))
+        kinds = (np.int32, np.int32, _U, _U, np.int64)
+        self.stretch, self.at, bucket, name, self.doc = (np.concatenate(x) for x in zip(*got, strict=True)) if got else (np.empty(0, k) for k in kinds)
+        self.bucket, self.name, self.first, self.place = _distinct(bucket, name, self.doc)
+
+
+def repeated(docs: DataFrame, length: int = 50, whole: bool = False, chunk_bytes: int = 4 << 20, stretch: int = 1 << 18, part_bytes: int = 4 << 20) -> DataFrame:
     """Per document: doc_id, n_bytes, spans (array of start, end of removed bytes), kept_sha256, kept.
 
     With ``whole``, ``kept`` is the remaining text (null for null; bytes of a character that was cut are left
@@ -339,34 +335,29 @@ def repeated(docs: DataFrame, length: int = 50, whole: bool = False, chunk_bytes
     if not Q + 1 <= length <= 96 - MAX_RUN or length < 32:
         raise ValueError("length must be 32 to 69 bytes")
     total = docs.select(F.sum(F.octet_length("text"))).first()[0] or 0
-    parts, draws = max(1, -(-total // chunk_bytes)), length - Q + 1
+    chunks, parts, draws = max(1, -(-total // chunk_bytes)), max(1, -(-total // part_bytes)), length - Q + 1
     cols = [F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").cast("binary").alias("text")]
     cols = docs.select(*cols, F.struct(*[docs[c] for c in docs.columns if c != "text"]).alias("rest")) if whole else docs.select(*cols)
     # A repeated doc_id is no hot key: the text takes part in the deal.
-    cols = cols.withColumn("chunk", F.pmod(F.xxhash64("doc_id", "text"), F.lit(parts)).cast("int")).repartition(parts, "chunk")
+    cols = cols.withColumn("chunk", F.pmod(F.xxhash64("doc_id", "text"), F.lit(chunks)).cast("int")).repartition(chunks, "chunk")
 
-    def send_runs(table: pa.Table) -> pa.Table:
-        c = table.column("chunk")[0].as_py()
-        b, r, d = Chunk(table, length, stretch).entries()
-        cuts = _split(b, parts, draws)
-        rows = [_message(p, c, b[x:y], r[x:y], d[x:y]) for p, (x, y) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)) if y > x]
+    def send(table: pa.Table, x) -> pa.Table:
+        """One message per part with entries (bucket, name, first)."""
+        c, cuts = table.column("chunk")[0].as_py(), _split(x.bucket, parts, draws)
+        rows = [_message(p, c, x.bucket[a:z], x.name[a:z], x.first[a:z]) for p, (a, z) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)) if z > a]
         return _rows(rows, ["part", "chunk", "body"])
 
-    def settle(chunk: Chunk, messages: pa.Table):
-        keys = chunk.entries()
-        cuts = _split(keys[0], parts, draws)
-        again, compare = _answers(messages, 1, cuts, 2)
-        return _pending(chunk, cuts, again, compare, keys)
+    def send_runs(table: pa.Table) -> pa.Table:
+        return send(table, Chunk(table, length, stretch).walk())
+
+    def settle(chunk: Chunk, messages: pa.Table) -> tuple[Runs, Pending]:
+        runs = chunk.walk()
+        return runs, Pending(chunk, runs, *_answers(messages, 1, _split(runs.bucket, parts, draws), 2))
 
     def send_windows(table: pa.Table, messages: pa.Table) -> pa.Table:
         if not table.num_rows:
             return _rows([], ["part", "chunk", "body"])
-        c = table.column("chunk")[0].as_py()
-        _, name, _, doc = settle(Chunk(table, length, stretch), messages)
-        w, _, d = _distinct(name, np.zeros(len(name), _U), doc)
-        cuts = _split(w, parts)
-        rows = [_message(p, c, w[x:y], None, d[x:y]) for p, (x, y) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)) if y > x]
-        return _rows(rows, ["part", "chunk", "body"])
+        return send(table, settle(Chunk(table, length, stretch), messages)[1])
 
     def finish(table: pa.Table, messages: pa.Table) -> pa.Table:
         out = {"doc_id": [], "n_bytes": [], "spans": [], "kept_sha256": [], "kept": []}
@@ -374,21 +365,18 @@ def repeated(docs: DataFrame, length: int = 50, whole: bool = False, chunk_bytes
         if table.num_rows:
             chunk = Chunk(table, length, stretch)
             empty = table.column("text").is_null().combine_chunks().take(pa.array(chunk.order)).to_pylist()
-            spans, name, where, doc = settle(chunk, messages)
-            w, _, d = _distinct(name, np.zeros(len(name), _U), doc)
-            (again,) = _answers(messages, 2, _split(w, parts), 1)
-            place = np.searchsorted(w, name)
-            gone = again[place] | (doc > d[place]) if len(w) else np.zeros(len(name), bool)
-            at = 0
-            late = where[:, gone]
-            for i in list(spans):
-                own = late[1][late[0] == i]
-                a, n = np.concatenate([spans[i][0], own]), np.concatenate([spans[i][1], np.ones(len(own), np.int64)])
-                order = np.argsort(a, kind="stable")
-                a, n = a[order], n[order]
-                spans[i] = (a, a + n - 1 + length)
-            for i, sizes in _stretch_sizes(chunk):
-                a, z = spans.get(i, (np.empty(0, np.int64), np.empty(0, np.int64)))
+            runs, late = settle(chunk, messages)
+            (again,) = _answers(messages, 2, _split(late.bucket, parts, draws), 1)
+            gone = again[late.place] | (late.doc > late.first[late.place])
+            where = np.concatenate([runs.stretch[late.gone], late.stretch[gone]])
+            start = np.concatenate([runs.at[late.gone], late.at[gone]]).astype(np.int64)
+            end = start + np.concatenate([runs.n[late.gone].astype(np.int64), np.ones(int(gone.sum()), np.int64)]) - 1 + length
+            order = np.lexsort((start, where))
+            where, start, end = where[order], start[order], end[order]
+            del runs, late, order
+            for i, sizes in chunk.bounds():
+                own = slice(*np.searchsorted(where, [i, i + 1]))
+                a, z = start[own], end[own]
                 begin = np.cumsum(sizes) - sizes
                 lo, hi = np.searchsorted(a, begin), np.searchsorted(a, begin + sizes)
                 for j in range(len(sizes)):
@@ -414,27 +402,16 @@ def repeated(docs: DataFrame, length: int = 50, whole: bool = False, chunk_bytes
     runs = by_chunk.applyInArrow(send_runs, "part int, chunk int, body binary")
     reply = "part int, chunk int, kind int, body binary"
     # One query: the exchanges of the documents and of the first answers are planned once and read again.
-    first = runs.groupBy("part").applyInArrow(lambda t: _refine(t, True), reply).repartition(parts, "chunk")
+    first = runs.groupBy("part").applyInArrow(lambda t: _refine(t, True), reply).repartition(chunks, "chunk")
     windows = by_chunk.cogroup(first.groupBy("chunk")).applyInArrow(send_windows, "part int, chunk int, body binary")
     second = windows.groupBy("part").applyInArrow(lambda t: _refine(t, False), reply)
-    answers = first.unionByName(second).repartition(parts, "chunk")
+    answers = first.unionByName(second).repartition(chunks, "chunk")
     result = StructType.fromDDL("doc_id long, n_bytes long, spans array<struct<start: long, end: long>>, kept_sha256 string, kept string")
     if whole:
         result = result.add(cols.schema["rest"])
     return by_chunk.cogroup(answers.groupBy("chunk")).applyInArrow(finish, result)
 
 
-def _stretch_sizes(chunk: Chunk):
-    i = 0
-    while i < len(chunk.text):
-        j, held = i, 0
-        while j < len(chunk.text) and (j == i or held + len(chunk.text[j]) <= chunk.stretch):
-            held += len(chunk.text[j])
-            j += 1
-        yield i, np.array([len(t) for t in chunk.text[i:j]], np.int64)
-        i = j
-
-
 def _merge(a: np.ndarray, z: np.ndarray) -> list[tuple[int, int]]:
     """Sorted intervals, those that touch or overlap as one."""
     if not len(a):
