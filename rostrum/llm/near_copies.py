@@ -1,7 +1,10 @@
-"""Near copies: documents whose sets of five-word shingles have a Jaccard similarity of at least ``least``.
+"""Near copies: SimHash search carried on to a Jaccard similarity of at least ``least`` of five-word shingles.
 
-Candidates share one of ``BANDS`` bands of ``ROWS`` min-hashes; at similarity 0.8 a pair shares none
-with probability (1 - 0.8**5)**50 = 2.4e-9.  Every link is verified on the exact sets.
+Pairs of a similarity of 0.8 differ in 9.7 of 64 fingerprint bits on average, so the pigeonhole search of
+:mod:`simhash` at four bits meets only the closest of them, and at the 18 bits that would meet 99.8 % its
+buckets are no smaller than the corpus.  So its links are the first candidates, and those it must miss
+come from min-hashes: a pair shares none of ``BANDS`` bands of ``ROWS`` at similarity 0.8 with probability
+(1 - 0.8**5)**50 = 2.4e-9.  Every link is verified on the exact sets.
 
 Distinct sets are searched, not documents, so exact copies cost one row.  The members of a band are
 first compared with its smallest member; bands that then still hold several components go, with their
@@ -23,7 +26,7 @@ from pyspark.sql import functions as F
 
 from ..session import drop_scratch, scratch
 from .components import components
-from .simhash import shingle_hashes
+from .simhash import links, majority, shingle_hashes
 
 BANDS, ROWS = 50, 5
 _RNG = np.random.default_rng(42)
@@ -79,25 +82,26 @@ def cross_links(sets: list[np.ndarray], label: np.ndarray, least: float) -> list
 
 
 def sketches(docs: DataFrame, shingle: int = 5) -> DataFrame:
-    """row, doc (the largest long for null), h0 and h1 (128 bits that name the set), n, keys (none for an empty set)."""
+    """row, doc (the largest long for null), h0 and h1 (128 bits that name the set), n, fp, keys (none for an empty set)."""
 
     def run(batches):
         for b in batches:
-            names, n, keys = [], [], []
+            names, n, fp, keys = [], [], [], []
             for t in b.column("text").to_pylist():
                 s = shingle_set(t, shingle)
                 names.append(np.frombuffer(xxhash.xxh3_128_digest(s.tobytes()), np.int64))
                 n.append(len(s))
+                fp.append(majority(s[at : at + (1 << 16)] for at in range(0, len(s), 1 << 16)))
                 keys.append(band_keys(s) if len(s) else ())
             h = np.array(names, np.int64).reshape(-1, 2)
             yield pa.RecordBatch.from_arrays(
-                [b.column("row"), b.column("doc"), pa.array(h[:, 0]), pa.array(h[:, 1]), pa.array(n, pa.int64()), pa.array(keys, pa.list_(pa.int64()))],
-                names=["row", "doc", "h0", "h1", "n", "keys"],
+                [b.column("row"), b.column("doc"), pa.array(h[:, 0]), pa.array(h[:, 1]), pa.array(n, pa.int64()), pa.array(np.array(fp, np.uint64).view(np.int64)), pa.array(keys, pa.list_(pa.int64()))],
+                names=["row", "doc", "h0", "h1", "n", "fp", "keys"],
             )
 
     far = F.lit((1 << 63) - 1)
     cols = docs.select(F.col("__row").alias("row"), F.coalesce(F.col("doc_id").cast("long"), far).alias("doc"), "text")
-    return cols.mapInArrow(run, "row long, doc long, h0 long, h1 long, n long, keys array<long>")
+    return cols.mapInArrow(run, "row long, doc long, h0 long, h1 long, n long, fp long, keys array<long>")
 
 
 def verified(pairs: DataFrame, texts: DataFrame, least: float, shingle: int) -> DataFrame:
@@ -149,20 +153,23 @@ def linked(buckets: DataFrame, least: float, shingle: int) -> DataFrame:
     return buckets.repartition(parts, "key").sortWithinPartitions("key").mapInArrow(run, "u long, v long")
 
 
-def keep_one(docs: DataFrame, least: float = 0.8, shingle: int = 5) -> DataFrame:
+def keep_one(docs: DataFrame, least: float = 0.8, shingle: int = 5, distance: int = 4) -> DataFrame:
     """One row of each component of near copies, the one with the smallest doc_id, with all its columns."""
     keyed = scratch(docs.withColumn("__row", F.monotonically_increasing_id()), "near-rows")
     first = F.min(F.struct("doc", "row")).alias("first")
-    reps = sketches(keyed, shingle).groupBy("h0", "h1").agg(first, F.first("n").alias("n"), F.first("keys").alias("keys"))
-    reps = scratch(reps.select("first.doc", "first.row", "n", "keys"), "near-sets")
+    reps = sketches(keyed, shingle).groupBy("h0", "h1").agg(first, F.first("n").alias("n"), F.first("fp").alias("fp"), F.first("keys").alias("keys"))
+    reps = scratch(reps.select("first.doc", "first.row", "n", "fp", "keys"), "near-sets")
+    # Fingerprints within the distance: one row for each fingerprint searches, its others link to it.
+    leads = scratch(reps.groupBy("fp").agg(F.min("row").alias("rep")), "near-leads")
+    close = links(leads, distance).unionByName(reps.join(leads, "fp").where("row <> rep").select(F.col("row").alias("u"), F.col("rep").alias("v")))
     texts = keyed.select(F.col("__row").alias("row"), "text")
     bands = reps.select("row", "n", F.explode("keys").alias("key"))
     centre = bands.groupBy("key").agg(F.min(F.struct("row", "n")).alias("c"), F.count("*").alias("members")).where("members > 1")
     bands = scratch(bands.join(centre, "key"), "near-bands")
     # Sets whose sizes differ too much cannot be similar.
     fits = F.least("n", "c.n") >= F.lit(least) * F.greatest("n", "c.n")
-    pairs = bands.where((F.col("row") != F.col("c.row")) & fits).select(F.col("row").alias("u"), F.col("c.row").alias("v")).distinct()
-    pairs = scratch(pairs, "near-pairs")
+    pairs = bands.where((F.col("row") != F.col("c.row")) & fits).select(F.col("row").alias("u"), F.col("c.row").alias("v"))
+    pairs = scratch(pairs.unionByName(close.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))).distinct(), "near-pairs")
     edges = scratch(verified(pairs, texts, least, shingle), "near-edges")
     comp = components(edges)
     # A band of two is settled by its one pair; of the others, those that hold several components.
@@ -173,5 +180,5 @@ def keep_one(docs: DataFrame, least: float = 0.8, shingle: int = 5) -> DataFrame
     comp = components(edges.unionByName(rest))
     named = reps.join(comp, reps["row"] == comp["node"], "left").groupBy(F.coalesce("component", "row").alias("group")).agg(first)
     kept = scratch(named.select(F.col("first.row").alias("__row")), "near-kept")
-    drop_scratch(reps, bands, pairs, edges, more)
+    drop_scratch(reps, leads, bands, pairs, edges, more)
     return keyed.join(kept, "__row", "left_semi").select(*docs.columns)

@@ -51,15 +51,20 @@ def shingle_hashes(text: str | None, shingle: int = 4):
         yield np.array([digest(joined[a:b], 42) for a, b in zip(start[at : min(n, at + (1 << 16))].tolist(), ends[at : at + (1 << 16)], strict=False)], np.uint64)
 
 
-def fingerprint(text: str | None, shingle: int = 4) -> int:
-    """Bit i is set if it is set in over half the shingles' XXH64 (seed 42); 0 without words."""
+def majority(hashes) -> int:
+    """The bits set in over half of all numbers in some arrays; 0 for none."""
     n, total = 0, np.zeros(BITS, np.int64)
-    for h in shingle_hashes(text, shingle):
+    for h in hashes:
         n += len(h)
         total += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
     return int(np.packbits(total * 2 > n, bitorder="little").view(np.uint64)[0])
 
 
+def fingerprint(text: str | None, shingle: int = 4) -> int:
+    """Bit i is set if it is set in over half the shingles' XXH64 (seed 42); 0 without words."""
+    return majority(shingle_hashes(text, shingle))
+
+
 def fingerprints(docs: DataFrame, shingle: int = 4) -> DataFrame:
     """doc_id and fp (the fingerprint's bits as a long)."""
 

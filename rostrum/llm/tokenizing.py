@@ -22,13 +22,15 @@ import pyarrow.compute as pc
 WS = "\t-\r \x85\xa0  -     　"
 _ODD = re.compile(f"^[{WS}]|[{WS}]$|[{WS}] | [{WS}]")
 _SPACED = re.compile(f" ?[^{WS}]+|[{WS}]+(?![^{WS}])|[{WS}]+")
+#: Chunks encoded at once.
+BATCH = 8192
 _KEYS = ("rostrum-word-one", "rostrum-word-two")
 
 
 class WordStore:
     """Ids by chunk. ``spaced``: chunks carry the one space before them (byte-level BPE)."""
 
-    def __init__(self, path: str, spaced: bool, limit: int = 2_500_000):
+    def __init__(self, path: str, spaced: bool, limit: int = 800_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -45,10 +47,12 @@ class WordStore:
         self.ids = np.empty(0, np.uint32)
 
     def _encode(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        got = [e.ids for e in self.tok.encode_batch(chunks, add_special_tokens=False)] if chunks else []
-        n = np.fromiter(map(len, got), np.int32, len(got))
-        flat = np.fromiter(chain.from_iterable(got), np.uint32, int(n.sum()))
-        return n, flat
+        n, flat = [np.empty(0, np.int32)], [np.empty(0, np.uint32)]
+        for at in range(0, len(chunks), BATCH):  # the library's results are a hundred times larger than the ids
+            got = [e.ids for e in self.tok.encode_batch(chunks[at : at + BATCH], add_special_tokens=False)]
+            n.append(np.fromiter(map(len, got), np.int32, len(got)))
+            flat.append(np.fromiter(chain.from_iterable(got), np.uint32, int(n[-1].sum())))
+        return np.concatenate(n), np.concatenate(flat)
 
     def lookup(self, chunks: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Place and number of the ids of each of these distinct chunks in ``self.ids``."""
@@ -142,7 +146,7 @@ def store(path: str, spaced: bool) -> WordStore:
     return _stores[key]
 
 
-def slices(batch: pa.RecordBatch, text: str, limit: int = 8 << 20):
+def slices(batch: pa.RecordBatch, text: str, limit: int = 4 << 20):
     """Row ranges of a batch with about ``limit`` bytes of text each, one row at least."""
     size = pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy(zero_copy_only=False)
     cum, start = np.cumsum(size, dtype=np.int64), 0
