@@ -5,9 +5,10 @@ version.  ``append`` writes arrivals as many small shards in one job and commits
 them.  ``compact`` files shards by size tier (powers of ``fan_in``), merges every tier that holds
 at least ``fan_in`` runs into files of about ``target_bytes`` by reading them side by side - no
 shuffle - and commits a version in which the merged files replace their sources.  A version is
-committed by renaming a finished file to its number, which fails if the number is taken: readers
-see a version wholly or not at all, and of two writers one has to start anew.  ``vacuum`` deletes
-data that the newest version does not name, such as the files of a failed job.
+committed by giving a finished file its number in one exclusive step (a rename without overwrite; on a local
+file system a hard link), which fails if the number is taken: readers see a version wholly or not at all,
+and of two writers one has to start anew.  A store without such a rename is no place for manifests.
+``vacuum`` deletes old data that the newest version does not name, such as the files of a failed job.
 
 Edge cases: nulls, empty and long texts are stored as they are; an empty table commits an empty
 version; repeated rows stay repeated; all columns are kept, whatever their names; a store without a
@@ -18,6 +19,8 @@ from __future__ import annotations
 
 import json
 import math
+import os
+import time
 import uuid
 from dataclasses import asdict, dataclass
 
@@ -84,11 +87,31 @@ class ShardStore:
             out.write(bytearray("\n".join(lines) + "\n", "utf-8"))
         finally:
             out.close()
-        if self._fs.exists(final) or not self._fs.rename(tmp, final):
+        if not self._claim(tmp, final):
             self._fs.delete(tmp, False)
             raise Conflict(f"version {base + 1} is taken")
         return base + 1
 
+    def _claim(self, tmp, final) -> bool:
+        """Give the finished manifest its name if no other writer has it: one step that never overwrites."""
+        if self._fs.getScheme() == "file":  # a hard link is the local file system's exclusive step
+            try:
+                os.link(tmp.toUri().getPath(), final.toUri().getPath())
+            except FileExistsError:
+                return False
+            self._fs.delete(tmp, False)
+            return True
+        hadoop = self._jvm.org.apache.hadoop.fs
+        context = hadoop.FileContext.getFileContext(tmp.toUri(), self.spark.sparkContext._jsc.hadoopConfiguration())
+        none = self.spark.sparkContext._gateway.new_array(getattr(self._jvm, "org.apache.hadoop.fs.Options$Rename"), 0)
+        try:
+            context.rename(tmp, final, none)
+        except Exception as e:
+            if "FileAlreadyExists" in str(e):
+                return False
+            raise
+        return True
+
     def tier(self, size: int) -> int:
         """0 below ``small_bytes``, then one more for every factor ``fan_in``."""
         return 0 if size < self.small else 1 + int(math.log(size / self.small, self.fan_in))
@@ -127,10 +150,17 @@ class ShardStore:
             new = self._write(merged)
             self._commit(base, [s for s in old if s.name not in gone] + new, self.schema())
 
-    def vacuum(self) -> int:
-        """Delete shards that the newest version does not name; how many."""
+    def vacuum(self, older_than_s: float = 0.0) -> int:
+        """Delete shards that the newest version does not name and that are at least so old; how many.
+
+        Beside running writers choose an age above that of their longest write: what they have not committed
+        yet is not named either.
+        """
         named, n = {s.name for s in self.shards()}, 0
+        before = (time.time() - older_than_s) * 1000
         for run, _ in self._list("data"):
+            if self._fs.getFileStatus(self._p(f"data/{run}")).getModificationTime() > before:
+                continue
             files = [f for f, _ in self._list(f"data/{run}") if f.endswith(".parquet")]
             for f in files:
                 if f"{run}/{f}" not in named:

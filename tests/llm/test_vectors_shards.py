@@ -112,3 +112,21 @@ def test_sharded_documents(spark):
     want = [(d[0], None, None) if d[1] is None else (d[0], len(d[1].encode()), hashlib.sha256(d[1].encode()).hexdigest()) for d in documents()]
     assert got == sorted(want, key=repr)
     assert shards.shard_documents(frame(spark, [])).count() == 0
+
+
+def test_one_of_many_writers_gets_a_version(spark, tmp_path):
+    from concurrent.futures import ThreadPoolExecutor
+
+    store = shards.ShardStore(spark, f"file://{tmp_path}/race")
+    store.append(frame(spark))
+
+    def claim(i):
+        try:
+            return store._commit(1, [shards.Shard(f"w{i}", 1, 0)], store.schema())
+        except shards.Conflict:
+            return None
+
+    with ThreadPoolExecutor(8) as pool:
+        got = [x for x in pool.map(claim, range(16)) if x]
+    assert got == [2] and store.version() == 2 and len(store.shards()) == 1
+    assert store.vacuum(older_than_s=3600) == 0
