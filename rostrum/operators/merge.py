@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .relational import dense_ids
+
 
 def insert_if_absent(table: DataFrame, new: DataFrame, key: list[str]) -> DataFrame:
     """Add rows of ``new`` whose key is not there; of equal keys in ``new`` one row."""
@@ -20,8 +22,8 @@ def get_or_create(table: DataFrame, wanted: DataFrame, key: list[str], id_name:
         cond = cond & s
     new = w.join(t, cond, "left_anti")
     top = table.agg(F.coalesce(F.max(id_name), F.lit(0)).alias("__top"))
-    rank = F.row_number().over(Window.orderBy(*[F.col(k).asc_nulls_first() for k in key]))
-    made = new.crossJoin(F.broadcast(top)).select((F.col("__top") + rank).cast(dict(table.dtypes)[id_name]).alias(id_name), *key)
+    new = dense_ids(new, [F.col(k).asc_nulls_first() for k in key], "__at")
+    made = new.crossJoin(F.broadcast(top)).select((F.col("__top") + 1 + F.col("__at")).cast(dict(table.dtypes)[id_name]).alias(id_name), *key)
     return table.select(id_name, *key).unionByName(made)
 
 

@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.maths import cosine, lab_to_rgb
+from ..session import scratch
 from . import spatial
 
 
@@ -46,19 +47,25 @@ def levels(df: DataFrame, key: str, vec: str, sizes: list[int], seed: int = 42)
 
 
 def linkage(df: DataFrame, group: str, key: str, vec: str, cut: float, block: int = 2000) -> DataFrame:
-    """Average-linkage clusters by cosine distance <= ``cut`` within each group: key, cluster.
+    """Average-linkage clusters by cosine distance <= ``cut`` within each group: group, key, cluster (its least key).
 
-    A group above ``block`` rows is first split by its nearest of ``ceil(n / block)`` seeds, a bound on
-    the quadratic step; clusters do not reach over such a split.
+    The average distance of two clusters of unit vectors follows from their sums and sizes, and average
+    linkage gives one result in whatever order mutually nearest clusters merge.  So groups of up to ``block``
+    rows are merged in one task, and larger ones in rounds: all clusters look for their nearest, block
+    against block, and all mutual pairs merge.  Both give the same clusters.
     """
-    n = F.count("*").over(Window.partitionBy(group))
-    parts = F.ceil(n / block)
-    d = df.select(group, key, F.col(vec).cast("array<double>").alias("v"), F.pmod(F.xxhash64(*[F.round(F.col(vec)[i].cast("double"), 0) for i in range(4)]), parts).alias("part"))
+    d = df.select(group, F.col(key).alias("id"), F.col(vec).cast("array<double>").alias("s"))
+    norm = F.greatest(F.sqrt(F.aggregate("s", F.lit(0.0), lambda a, x: a + x * x)), F.lit(1e-12))
+    d = d.withColumn("s", F.transform("s", lambda x: x / norm))
+    sizes = scratch(df.groupBy(group).agg(F.count("*").alias("rows")), "linkage-sizes")
+    large = F.col("rows") > block
+    d = d.join(sizes, d[group].eqNullSafe(sizes[group])).select(d[group], "id", "s", large.alias("large"))
+    kinds = dict(df.dtypes)
+    schema = f"{group} {kinds[group]}, {key} {kinds[key]}, cluster {kinds[key]}"
 
     def run(g: pd.DataFrame) -> pd.DataFrame:
-        g = g.sort_values(key)
-        v = np.stack(g.v.to_numpy())
-        v = v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-12)
+        g = g.sort_values("id")
+        v = np.stack(g.s.to_numpy())
         dist = 1 - v @ v.T
         np.fill_diagonal(dist, np.inf)
         size, alive, label = np.ones(len(v)), np.ones(len(v), bool), np.arange(len(v))
@@ -74,11 +81,52 @@ def linkage(df: DataFrame, group: str, key: str, vec: str, cut: float, block: in
             size[i] += size[j]
             alive[j] = False
             label[label == j] = i
-        first = g[key].to_numpy()[label]
-        return pd.DataFrame({group: g[group], key: g[key], "cluster": first})
-
-    kinds = dict(df.dtypes)
-    return d.groupBy(group, "part").applyInPandas(run, f"{group} {kinds[group]}, {key} {kinds[key]}, cluster {kinds[key]}")
+        return pd.DataFrame({group: g[group], key: g["id"], "cluster": g["id"].to_numpy()[label]})
+
+    small = d.where("not large").groupBy(group).applyInPandas(run, schema)
+    most = sizes.agg(F.sum(F.when(large, F.col("rows")))).first()[0]
+    if not most:
+        return small
+    return small.unionByName(_linkage_rounds(d.where("large").select(group, "id", "s"), group, cut, -(-most // block)).withColumnRenamed("id", key))
+
+
+def _linkage_rounds(d: DataFrame, group: str, cut: float, blocks: int) -> DataFrame:
+    kinds = dict(d.dtypes)
+    cur = scratch(d.withColumn("n", F.lit(1).cast("long")), "linkage")
+    members = scratch(d.select(group, "id", F.col("id").alias("cluster")), "linkage")
+
+    def nearest(key, a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        out = {group: [], "id": [], "d": [], "other": []}
+        if len(a) and len(b):
+            va, vb = (np.stack(x.s.to_numpy()) / x.n.to_numpy()[:, None] for x in (a, b))
+            ids = b["id"].to_numpy()
+            order = np.argsort(ids)
+            for own, v in zip(a["id"], va, strict=True):
+                # Rounded, so that both sides of a pair see one distance.
+                dist = np.round(1 - vb[order] @ v, 12)
+                dist[ids[order] == own] = np.inf
+                j = int(dist.argmin())
+                if dist[j] <= cut:
+                    for c, x in zip(out, (key[0], own, dist[j], ids[order][j]), strict=True):
+                        out[c].append(x)
+        return pd.DataFrame(out)
+
+    while True:
+        mine = F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int")
+        every = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
+        left, right = cur.withColumn("a", mine).withColumn("b", every), cur.withColumn("b", mine).withColumn("a", every)
+        found = left.groupBy(group, "a", "b").cogroup(right.groupBy(group, "a", "b")).applyInPandas(nearest, f"{group} {kinds[group]}, id {kinds['id']}, d double, other {kinds['id']}")
+        best = scratch(found.groupBy(group, "id").agg(F.min(F.struct("d", "other")).alias("m")).select(group, "id", "m.other"), "linkage")
+        x, y = best.alias("x"), best.alias("y")
+        mutual = F.col(f"x.{group}").eqNullSafe(F.col(f"y.{group}")) & (F.col("x.other") == F.col("y.id")) & (F.col("y.other") == F.col("x.id"))
+        merges = scratch(x.join(y, mutual).where("x.id < x.other").select(F.col(f"x.{group}").alias("g"), F.col("x.id").alias("to"), F.col("x.other").alias("gone")), "linkage")
+        if merges.isEmpty():
+            return members
+        joined = cur.join(merges, cur[group].eqNullSafe(merges["g"]) & (cur["id"] == merges["gone"]), "left")
+        sums = F.reduce(F.collect_list("s"), F.transform(F.first("s"), lambda e: e * 0), lambda t, v: F.zip_with(t, v, lambda p, q: p + q))
+        cur = scratch(joined.groupBy(cur[group], F.coalesce("to", "id").alias("id")).agg(sums.alias("s"), F.sum("n").alias("n")), "linkage")
+        m = members.join(merges, members[group].eqNullSafe(merges["g"]) & (members["cluster"] == merges["gone"]), "left")
+        members = scratch(m.select(members[group], "id", F.coalesce("to", "cluster").alias("cluster")), "linkage")
 
 
 def pair_similarity(df: DataFrame, cluster: str, key: str, vec: str) -> DataFrame:

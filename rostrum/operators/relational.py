@@ -11,6 +11,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import scratch
+
 
 def any_of(*conditions: Column) -> Column:
     return reduce(lambda a, b: a | b, conditions)
@@ -72,7 +74,16 @@ def small_counts(df: DataFrame, key: str, count: str, threshold: int, rest: str)
 def first_seen_ids(df: DataFrame, value: str, seq: str, id_name: str) -> DataFrame:
     """Dictionary ids from 0 in order of first appearance: one row per distinct value."""
     first = df.groupBy(value).agg(F.min(seq).alias("__first"))
-    return first.withColumn(id_name, (F.row_number().over(Window.orderBy("__first", value)) - 1).cast("int")).drop("__first")
+    return dense_ids(first, [F.col("__first").asc(), F.col(value).asc()], "__at").withColumn(id_name, F.col("__at").cast("int")).drop("__first", "__at")
+
+
+def dense_ids(df: DataFrame, order: list[Column], name: str) -> DataFrame:
+    """Places from 0 in ``order``, by ranges of it: a range counts its own rows and starts after those before it."""
+    ranges = scratch(df.repartitionByRange(*order).withColumn("__range", F.spark_partition_id()), "ranges")
+    n = ranges.groupBy("__range").agg(F.count("*").alias("n"))
+    base = n.select("__range", (F.sum("n").over(Window.orderBy("__range")) - F.col("n")).alias("__base"))  # one row per range
+    inside = F.row_number().over(Window.partitionBy("__range").orderBy(*order)) - 1
+    return ranges.withColumn("__inside", inside).join(F.broadcast(base), "__range").withColumn(name, F.col("__base") + F.col("__inside")).drop("__range", "__inside", "__base")
 
 
 def incremental_cutoff(df: DataFrame, day: Column, by: list[str], overlap_days: int) -> DataFrame:

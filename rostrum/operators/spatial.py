@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.maths import tile, uniform_from_id
+from ..session import scratch
 
 
 def cells(points: DataFrame, size: float, by: list[str] = ()) -> DataFrame:
@@ -94,15 +95,34 @@ def thin(points: DataFrame, zooms: list[int], per_tile: int, lo: float, hi: floa
     return z.join(F.broadcast(budget), "z").where(F.col("rank") <= F.col("budget")).select("z", "tx", "ty", "id", "x", "y", "rank")  # one row per zoom
 
 
-def survivors(shown: DataFrame, points: DataFrame, zoom: int, lo: float, hi: float, reach: int = 1) -> DataFrame:
-    """Every point counted at its nearest shown point of the zoom, looked for in its own and adjacent tiles."""
-    tx, ty = tile(F.col("x"), F.col("y"), F.lit(zoom), lo, hi)
-    offs = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a in range(-reach, reach + 1) for b in range(-reach, reach + 1)])
-    p = points.withColumn("o", F.explode(offs)).select("id", "x", "y", (tx + F.col("o.a")).alias("tx"), (ty + F.col("o.b")).alias("ty"))
-    s = shown.where(F.col("z") == zoom).select(F.col("id").alias("sid"), F.col("x").alias("sx"), F.col("y").alias("sy"), "tx", "ty")
+def survivors(shown: DataFrame, points: DataFrame, zoom: int, lo: float, hi: float) -> DataFrame:
+    """Every point counted at its nearest shown point of the zoom (ties: the smaller id).
+
+    Looked for in a point's own and adjacent tiles; where the nearest found lies beyond a tile's width, or none
+    was found, again in tiles twice as wide, and at last among all.
+    """
+    s = shown.where(F.col("z") == zoom).select(F.col("id").alias("sid"), F.col("x").alias("sx"), F.col("y").alias("sy"))
+    left, settled = points.select("id", "x", "y"), []
     d = F.pow(F.col("x") - F.col("sx"), 2) + F.pow(F.col("y") - F.col("sy"), 2)
-    near = p.join(s, ["tx", "ty"]).groupBy("id").agg(F.min(F.struct(d.alias("d"), F.col("sid"))).alias("m"))
-    return near.groupBy(F.col("m.sid").alias("id")).agg(F.count("*").alias("point_count"))
+    offs = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a in (-1, 0, 1) for b in (-1, 0, 1)])
+    for level in range(zoom, -2, -1):
+        width = (hi - lo) / 2.0**level
+        place = lambda v: F.floor((F.col(v) - lo) / width) if level >= 0 else F.lit(0).cast("long")  # noqa: E731, B023
+        p = left.withColumn("o", F.explode(offs if level >= 0 else F.array(offs[4])))
+        p = p.select("id", "x", "y", (place("x") + F.col("o.a")).alias("tx"), (place("y") + F.col("o.b")).alias("ty"))
+        near = p.join(s.select("*", place("sx").alias("tx"), place("sy").alias("ty")), ["tx", "ty"]).groupBy("id").agg(F.min(F.struct(d.alias("d"), "sid")).alias("m"))
+        if level < 0:
+            settled.append(near)
+            break
+        near = scratch(left.join(near.where(F.col("m.d") <= width * width), "id", "left"), "survivors")
+        settled.append(near.where("m is not null").select("id", "m"))
+        left = near.where("m is null").select("id", "x", "y")
+        if left.isEmpty():
+            break
+    found = settled[0]
+    for more in settled[1:]:
+        found = found.unionByName(more)
+    return found.groupBy(F.col("m.sid").alias("id")).agg(F.count("*").alias("point_count"))
 
 
 def k_nearest(queries: DataFrame, points: DataFrame, radius: float, k: int) -> DataFrame:
@@ -125,8 +145,6 @@ def grid_clusters(points: DataFrame, size: float, least: int) -> DataFrame:
     c = points.withColumn("ix", F.floor(F.col("x") / size)).withColumn("iy", F.floor(F.col("y") / size))
     dense = c.groupBy("ix", "iy").agg(F.count("*").alias("n")).where(F.col("n") >= least).select("ix", "iy", F.struct("ix", "iy").alias("label"))
     offs = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a in (-1, 0, 1) for b in (-1, 0, 1)])
-    from ..session import scratch
-
     dense = scratch(dense, "cells")
     while True:
         moved = dense.withColumn("o", F.explode(offs)).select((F.col("ix") + F.col("o.a")).alias("ix"), (F.col("iy") + F.col("o.b")).alias("iy"), F.col("label").alias("l"))

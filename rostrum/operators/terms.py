@@ -57,19 +57,27 @@ def cluster_terms(toks: DataFrame, members: DataFrame, n: int, min_df: int = 2)
     return best_per_group(c.select("cluster", "term", "inside", F.round(score, 9).alias("score")), ["cluster"], [F.desc("score"), F.col("term")], n)
 
 
-def best_match(queries: DataFrame, docs: DataFrame, n_docs: int, query_id: str, doc_id: str, least: float, max_df: float) -> DataFrame:
-    """The document most similar to each query by tf-idf cosine, if at least ``least``.
+def with_pairs(df: DataFrame, key: str, text: str, least: int) -> DataFrame:
+    """One row per token of at least ``least`` letters and per pair of neighbouring tokens."""
+    w = F.regexp_extract_all(F.lower(text), F.lit("[a-zà-ÿ]{%d,}" % least), F.lit(0))
+    pairs = F.transform(F.sequence(F.lit(1), F.size("w") - 1), lambda i: F.concat_ws(" ", F.element_at("w", i), F.element_at("w", i + 1)))
+    terms = F.when(F.size("w") > 1, F.concat("w", pairs)).otherwise(F.col("w"))
+    return df.select(F.col(key).alias("id"), w.alias("w")).select("id", F.explode(terms).alias("term"))
+
+
+def best_match(queries: DataFrame, docs: DataFrame, n_docs: int, query_id: str, doc_id: str, least: float) -> DataFrame:
+    """The document most similar to each query by tf-idf cosine over all shared terms, if at least ``least``.
 
-    Joined on shared terms; terms in more than ``max_df`` of the documents do not join (they would
-    pair nearly everything), though they count in the lengths.
+    The few terms of the queries meet the documents' weights, so a common term costs its documents times the
+    queries that hold it, summed where the document's rows already lie.
     """
     dt = docs.groupBy("id", "term").agg(F.count("*").alias("tf"))
     df = dt.groupBy("term").agg(F.count("*").alias("df"))
-    weigh = lambda t: t.join(df, "term").select("id", "term", "df", (F.col("tf") * _idf(n_docs)).alias("w"))
+    weigh = lambda t: t.join(df, "term").select("id", "term", (F.col("tf") * _idf(n_docs)).alias("w"))
     a, b = weigh(queries.groupBy("id", "term").agg(F.count("*").alias("tf"))), weigh(dt)
-    la, lb = (x.groupBy("id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("l")) for x in (a, b))
-    rare = F.col("df") <= max_df * n_docs
-    pair = a.where(rare).select(F.col("id").alias(query_id), "term", F.col("w").alias("qw")).join(b.where(rare).select(F.col("id").alias(doc_id), "term", F.col("w").alias("dw")), "term")
+    la = a.groupBy("id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("l"))
+    lb = b.groupBy("id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("l"))
+    pair = b.select(F.col("id").alias(doc_id), "term", F.col("w").alias("dw")).join(a.select(F.col("id").alias(query_id), "term", F.col("w").alias("qw")), "term")
     s = pair.groupBy(query_id, doc_id).agg(F.sum(F.col("qw") * F.col("dw")).alias("s"))
     s = s.join(la.select(F.col("id").alias(query_id), F.col("l").alias("lq")), query_id).join(lb.select(F.col("id").alias(doc_id), F.col("l").alias("ld")), doc_id)
     s = s.select(query_id, doc_id, F.round(F.col("s") / F.col("ld") / F.col("lq"), 7).alias("score")).where(F.col("score") >= least)

@@ -128,7 +128,8 @@ def c21_w04_thinning(spark, sf_dir):
     return spatial.thin(points(spark, sf_dir), [0, 1, 2, 3, 4], 20, -10.0, 10.0, F.lit(1.0)).select("z", "tx", "ty", "id", "rank")
 
 
-@query()
+@query(f"""WITH t AS ({_THIN}), s AS (SELECT id, x, y FROM t WHERE z = 2), p AS (SELECT p.id, s.id AS sid, pow(p.x - s.x, 2) + pow(p.y - s.y, 2) AS d FROM {_PTS} p, s)
+  SELECT sid AS id, count(*) AS point_count FROM (SELECT * FROM p QUALIFY row_number() OVER (PARTITION BY id ORDER BY d, sid) = 1) GROUP BY 1""".replace("[0, 1, 2, 3, 4]", "[2]"))
 def j26_nearest_survivor_counts(spark, sf_dir):
     p = points(spark, sf_dir)
     shown = spatial.thin(p, [2], 20, -10.0, 10.0, F.lit(1.0))

@@ -454,11 +454,16 @@ def c14_diffuse_terms(spark, sf_dir):
     return terms.diffuse(terms.tokens(table(spark, sf_dir, "documents"), "doc_id", "text", 3), p, 5, 0.55)
 
 
-@query(f"""WITH t AS (SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[a-zà-ÿ]{{3,}}')) AS term FROM documents) GROUP BY 1, 2), q AS (SELECT item_id, term, count(*) AS tf FROM (SELECT item_id, unnest(regexp_extract_all(lower(text), '[a-zà-ÿ]{{3,}}')) AS term FROM benchmark) GROUP BY 1, 2),
-  n AS (SELECT count(*) AS n FROM documents), d AS (SELECT term, count(*) AS df FROM t GROUP BY 1), tw AS (SELECT doc_id, term, tf * (ln((1.0 + n) / (1 + df)) + 1) AS w FROM t JOIN d USING (term), n), qw AS (SELECT item_id, term, tf * (ln((1.0 + n) / (1 + df)) + 1) AS w FROM q JOIN d USING (term), n),
+_PAIRS = "list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]))"
+
+
+@query(f"""WITH dw AS (SELECT doc_id, regexp_extract_all(lower(text), '[a-zà-ÿ]{{3,}}') AS w FROM documents), bw AS (SELECT item_id, regexp_extract_all(lower(text), '[a-zà-ÿ]{{3,}}') AS w FROM benchmark),
+  t AS (SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest({_PAIRS}) AS term FROM dw) GROUP BY 1, 2), q AS (SELECT item_id, term, count(*) AS tf FROM (SELECT item_id, unnest({_PAIRS}) AS term FROM bw) GROUP BY 1, 2),
+  n AS (SELECT count(*) AS n FROM documents), d AS (SELECT term, count(*) AS df FROM t GROUP BY 1),
+  tw AS (SELECT doc_id, term, tf * (ln((1.0 + n) / (1 + df)) + 1) AS w FROM t JOIN d USING (term), n), qw AS (SELECT item_id, term, tf * (ln((1.0 + n) / (1 + df)) + 1) AS w FROM q JOIN d USING (term), n),
   tn AS (SELECT doc_id, sqrt(sum(w * w)) AS l FROM tw GROUP BY 1), qn AS (SELECT item_id, sqrt(sum(w * w)) AS l FROM qw GROUP BY 1),
-  s AS (SELECT item_id, doc_id, round(sum(tw.w * qw.w) / any_value(tn.l) / any_value(qn.l), 7) AS score FROM tw JOIN qw USING (term) JOIN tn USING (doc_id) JOIN qn USING (item_id) WHERE term NOT IN (SELECT term FROM d, n WHERE df > 0.25 * n) GROUP BY 1, 2)
+  s AS (SELECT item_id, doc_id, round(sum(tw.w * qw.w) / any_value(tn.l) / any_value(qn.l), 7) AS score FROM tw JOIN qw USING (term) JOIN tn USING (doc_id) JOIN qn USING (item_id) GROUP BY 1, 2)
   SELECT item_id, doc_id, score FROM s WHERE score >= 0.1 QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) = 1""")
 def j30_best_title_match(spark, sf_dir):
     d, b = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
-    return terms.best_match(terms.tokens(b, "item_id", "text", 3), terms.tokens(d, "doc_id", "text", 3), d.count(), "item_id", "doc_id", 0.1, 0.25)
+    return terms.best_match(terms.with_pairs(b, "item_id", "text", 3), terms.with_pairs(d, "doc_id", "text", 3), d.count(), "item_id", "doc_id", 0.1)

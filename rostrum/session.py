@@ -2,7 +2,7 @@
 
 Everything that cuts lineage goes through :func:`scratch`: it writes Parquet below the folder
 named by ``spark.checkpoint.dir`` (shared by driver and executors on a cluster), so a lost
-executor never loses it.  Only where that setting is missing (tests, laptops) a local folder is set.
+executor never loses it.  Where that setting is missing a local master gets a local folder; a cluster is refused.
 """
 
 from __future__ import annotations
@@ -39,6 +39,8 @@ def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share; set to a local one only where the cluster names none."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not named:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         local = os.path.join(tempfile.gettempdir(), f"rostrum-{os.getpid()}")
         atexit.register(shutil.rmtree, local, ignore_errors=True)
         named = "file://" + local

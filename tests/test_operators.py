@@ -169,6 +169,36 @@ def test_linkage(spark):
     assert {r.vec_id: r.cluster for r in projection.linkage(df, "label", "vec_id", "embedding", 0.2).collect()} == {1: 1, 2: 1, 3: 3, 4: 4}
 
 
+def test_linkage_in_rounds_equals_one_task(spark):
+    rng = np.random.default_rng(6)
+    centres = rng.standard_normal((12, 8))
+    v = [(i, i % 2 if i % 5 else None, [float(x) for x in centres[i % 12] + 0.4 * rng.standard_normal(8)]) for i in range(240)]
+    df = spark.createDataFrame(v, "vec_id long, label int, embedding array<double>")
+    one, rounds = ({(r.label, r.vec_id): r.cluster for r in projection.linkage(df, "label", "vec_id", "embedding", 0.4, block=b).collect()} for b in (2000, 30))
+    assert len(one) == 240 and one == rounds and 12 <= len({(k[0], c) for k, c in one.items()}) < 120
+
+
+def test_survivors_equal_brute_force(spark):
+    p = cloud(spark, 400)
+    shown = spatial.thin(p, [4], 1, -12.0, 12.0, F.lit(1.0)).where("x < 0 OR rank % 7 = 0")
+    got = {r.id: r.point_count for r in spatial.survivors(shown, p, 4, -12.0, 12.0).collect()}
+    pts = {r.id: (r.x, r.y) for r in p.collect()}
+    keep = sorted(r.id for r in shown.collect())
+    want = {}
+    for x, y in pts.values():
+        best = min(keep, key=lambda k: ((pts[k][0] - x) ** 2 + (pts[k][1] - y) ** 2, k))
+        want[best] = want.get(best, 0) + 1
+    assert got == want and sum(got.values()) == len(pts)
+
+
+def test_dense_ids_follow_the_order(spark):
+    df = spark.range(5000).selectExpr("id", "CASE WHEN id % 11 = 0 THEN NULL ELSE (id * 37) % 1009 END AS a")
+    order = [F.col("a").asc_nulls_first(), F.col("id").asc()]
+    got = [(r.a, r.id) for r in relational.dense_ids(df, order, "at").orderBy("at").collect()]
+    assert got == sorted(((r.a, r.id) for r in df.collect()), key=lambda x: (x[0] is not None, x[0] or 0, x[1]))
+    assert sorted(r["at"] for r in relational.dense_ids(df, order, "at").collect()) == list(range(5000))
+
+
 def cloud(spark, n=2000):
     rng = np.random.default_rng(3)
     p = np.concatenate([rng.normal(0, 3, (n, 2)), rng.normal(4, 0.4, (n // 4, 2))])
