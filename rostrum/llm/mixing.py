@@ -132,9 +132,12 @@ def end_of_mix(plan: DataFrame, max_epochs: int = 3, ranges: int = 1 << 12) -> D
     return fit.agg(F.max("finish").alias("fit")).join(F.broadcast(low)).select(F.coalesce("fit", "low").alias("last"))
 
 
-def mixed(plan: DataFrame, max_epochs: int = 3) -> DataFrame:
-    """``plan`` with ``copies``: the words taken of each copy of the row, in an array."""
-    last = end_of_mix(plan, max_epochs)
+def mixed(plan: DataFrame, max_epochs: int = 3, narrow: DataFrame | None = None) -> DataFrame:
+    """``plan`` with ``copies``: the words taken of each copy of the row, in an array.
+
+    ``narrow`` is the same plan without texts, from which the end of the mix is found.
+    """
+    last = end_of_mix(plan if narrow is None else narrow, max_epochs)
     # Parts 2 e and 2 e + 1 belong to copy e.
     words = lambda i: F.when(F.col("p")[i]["finish"] <= F.col("last"), F.col("p")[i]["words"]).otherwise(F.lit(0).cast("long"))
     copies = F.array(*[words(2 * e) + words(2 * e + 1) for e in range(max_epochs)])
@@ -155,7 +158,8 @@ def mix(docs: DataFrame, weights=(5, 2, 1), max_epochs: int = 3) -> DataFrame:
     The columns travel with the plan, so rows of one doc_id, or of none, are taken each by itself.
     """
     cols = docs.columns
-    plan = mixed(scratch(mix_plan(docs, weights, max_epochs, whole=True), "mix-plan"), max_epochs).select(
+    narrow = scratch(mix_plan(docs, weights, max_epochs).select("source", "size", "source_size", "target", "position"), "mix-plan")
+    plan = mixed(mix_plan(docs, weights, max_epochs, whole=True), max_epochs, narrow).select(
         "rest", F.col("size").alias("__size"), "position", "source_size", "target",
         F.posexplode("copies").alias("__epoch", "__taken"),
     )

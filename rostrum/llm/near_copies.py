@@ -153,6 +153,15 @@ def linked(buckets: DataFrame, least: float, shingle: int) -> DataFrame:
     return buckets.repartition(parts, "key").sortWithinPartitions("key").mapInArrow(run, "u long, v long")
 
 
+#: Row ids are sent to every task up to so many (16 MB), beyond that joined by key.
+BROADCAST_ROWS = 2_000_000
+
+
+def of_rows(df: DataFrame, rows: DataFrame, how: str) -> DataFrame:
+    """The rows of ``df`` (``how`` left_semi) or all others (left_anti) by the column of ``rows``: texts do not move for few ids."""
+    return df.join(F.broadcast(rows) if rows.count() <= BROADCAST_ROWS else rows, rows.columns[0], how)
+
+
 def keep_one(docs: DataFrame, least: float = 0.8, shingle: int = 5, distance: int = 4) -> DataFrame:
     """One row of each component of near copies, the one with the smallest doc_id, with all its columns."""
     keyed = scratch(docs.withColumn("__row", F.monotonically_increasing_id()), "near-rows")
@@ -163,22 +172,30 @@ def keep_one(docs: DataFrame, least: float = 0.8, shingle: int = 5, distance: in
     leads = scratch(reps.groupBy("fp").agg(F.min("row").alias("rep")), "near-leads")
     close = links(leads, distance).unionByName(reps.join(leads, "fp").where("row <> rep").select(F.col("row").alias("u"), F.col("rep").alias("v")))
     texts = keyed.select(F.col("__row").alias("row"), "text")
-    bands = reps.select("row", "n", F.explode("keys").alias("key"))
+    # One exchange serves the count of each band and the join with it.
+    bands = reps.select("row", "n", F.explode("keys").alias("key")).repartition("key")
     centre = bands.groupBy("key").agg(F.min(F.struct("row", "n")).alias("c"), F.count("*").alias("members")).where("members > 1")
     bands = scratch(bands.join(centre, "key"), "near-bands")
     # Sets whose sizes differ too much cannot be similar.
     fits = F.least("n", "c.n") >= F.lit(least) * F.greatest("n", "c.n")
     pairs = bands.where((F.col("row") != F.col("c.row")) & fits).select(F.col("row").alias("u"), F.col("c.row").alias("v"))
     pairs = scratch(pairs.unionByName(close.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))).distinct(), "near-pairs")
-    edges = scratch(verified(pairs, texts, least, shingle), "near-edges")
+    asked = scratch(pairs.select(F.col("u").alias("row")).unionByName(pairs.select(F.col("v").alias("row"))).distinct(), "near-asked")
+    some = scratch(of_rows(texts, asked, "left_semi"), "near-texts")
+    edges = scratch(verified(pairs, some, least, shingle), "near-edges")
+    drop_scratch(asked, some)
     comp = components(edges)
     # A band of two is settled by its one pair; of the others, those that hold several components.
     more = bands.where("members > 2").join(comp, bands["row"] == comp["node"], "left").select("key", "row", F.coalesce("component", "row").alias("label"))
     more = scratch(more, "near-more")
     left = more.groupBy("key").agg(F.min("label").alias("a"), F.max("label").alias("b")).where("a <> b").select("key")
-    rest = linked(more.join(left, "key").join(texts, "row"), least, shingle)
+    open_bands = scratch(more.join(left, "key"), "near-open")
+    some = scratch(of_rows(texts, scratch(open_bands.select("row").distinct(), "near-asked"), "left_semi"), "near-texts")
+    rest = scratch(linked(open_bands.join(some, "row"), least, shingle), "near-edges")
+    drop_scratch(more, open_bands, some)
     comp = components(edges.unionByName(rest))
     named = reps.join(comp, reps["row"] == comp["node"], "left").groupBy(F.coalesce("component", "row").alias("group")).agg(first)
     kept = scratch(named.select(F.col("first.row").alias("__row")), "near-kept")
-    drop_scratch(reps, leads, bands, pairs, edges, more)
-    return keyed.join(kept, "__row", "left_semi").select(*docs.columns)
+    drop_scratch(reps, leads, bands, pairs, edges, rest)
+    gone = scratch(keyed.select("__row").join(kept, "__row", "left_anti"), "near-gone")
+    return of_rows(keyed, gone, "left_anti").select(*docs.columns)
