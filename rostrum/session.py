@@ -48,6 +48,10 @@ def shared_dir(spark: SparkSession) -> str:
     return named.rstrip("/")
 
 
+#: Paths of :func:`scratch` that nobody deleted yet, in order.
+MADE: list[str] = []
+
+
 def scratch_path(spark: SparkSession, tag: str) -> str:
     return f"{shared_dir(spark)}/rostrum/{tag}-{uuid.uuid4().hex}"
 
@@ -56,6 +60,7 @@ def scratch(df: DataFrame, tag: str, codec: str = "zstd") -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back: lineage ends there."""
     spark = df.sparkSession
     path = scratch_path(spark, tag)
+    MADE.append(path)
     df.write.option("compression", codec).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._rostrum_path = path
@@ -69,6 +74,8 @@ def drop_scratch(*frames: DataFrame) -> None:
 
 
 def drop_path(spark: SparkSession, path: str | None) -> None:
+    if path in MADE:
+        MADE.remove(path)
     if path:
         jvm = spark.sparkContext._jvm
         p = jvm.org.apache.hadoop.fs.Path(path)
