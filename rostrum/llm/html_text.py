@@ -65,6 +65,8 @@ G = 0.9
 #: Log odds for or against a node by its names, and pages that weigh as much as not knowing.
 PRIOR, EVIDENCE = 5.0, 2
 BROADCAST_NODES = 1 << 20
+#: Repeated pages (host and digest, about 100 bytes each) whose counts go to every task.
+BROADCAST_COPIES = 100_000
 
 
 class Element:
@@ -208,6 +210,9 @@ def page_counts(pages: DataFrame) -> DataFrame:
     """host, node, kind (0 pages, 1 presentation, 2 content), feature, n: what a task saw, k equal pages as 1/k each."""
     digest = F.md5("html")
     copies = pages.groupBy(host_column().alias("__host"), digest.alias("__digest")).agg(F.count("*").alias("copies")).where("copies > 1")
+    copies = scratch(copies, "style-copies")
+    if copies.count() <= BROADCAST_COPIES:  # then pages need not move to meet their count
+        copies = F.broadcast(copies)
     pages = pages.select("url", "html").join(copies, (host_column() == F.col("__host")) & (digest == F.col("__digest")), "left")
 
     def run(batches):
