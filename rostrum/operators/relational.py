@@ -55,6 +55,12 @@ def best_per_group(df: DataFrame, group: list[str], order: list[Column], n: int
     return df.withColumn("__rank", rank).where(F.col("__rank") <= n).drop("__rank")
 
 
+def collated_places(df: DataFrame, group: list[str], count: str, label: str, language: str, name: str) -> DataFrame:
+    """Places from 1 inside a group: larger counts first, equal ones as the language sorts their labels."""
+    w = Window.partitionBy(*group).orderBy(F.col(count).desc(), F.collate(label, language), F.col(label))
+    return df.withColumn(name, F.row_number().over(w))
+
+
 def layered_lookup(df: DataFrame, key: str, layers: list[DataFrame], value: str) -> DataFrame:
     """``value`` from the first layer that has ``key``; layers hold unique keys."""
     out, found = df, []

@@ -248,3 +248,43 @@ def hull_pairs(h: DataFrame, group: str, size: float) -> DataFrame:
 
     p = p.select("a", "b", overlap("ax", "ay", "xs", "ys").alias("overlap"), F.abs(polygon_area(F.col("ax"), F.col("ay"))).alias("area_a"), F.abs(polygon_area(F.col("xs"), F.col("ys"))).alias("area_b"))
     return p.withColumn("iou", F.coalesce(F.try_divide("overlap", F.col("area_a") + F.col("area_b") - F.col("overlap")), F.lit(0.0)))
+
+
+def smooth_ring(ring: np.ndarray, samples: int = 60) -> np.ndarray:
+    """``samples`` points of the closed cubic spline through the corners of ``ring`` (n x 2), by chord length.
+
+    Rings of under four corners and rings that repeat a corner in a row come back as they are.
+    """
+    ring = np.asarray(ring, float)
+    if len(ring) > 1 and np.array_equal(ring[0], ring[-1]):
+        ring = ring[:-1]
+    step = np.linalg.norm(np.roll(ring, -1, 0) - ring, axis=1)
+    if len(ring) < 4 or not (step > 0).all():
+        return ring
+    n, before = len(ring), np.roll(step, 1)
+    slope = (np.roll(ring, -1, 0) - ring) / step[:, None]
+    # Second derivatives at the corners: equal first derivatives on both sides of each.
+    i = np.arange(n)
+    a = np.zeros((n, n))
+    a[i, i] = 2 * (before + step)
+    a[i, i - 1] = before
+    a[i, (i + 1) % n] = step
+    bend = np.linalg.solve(a, 6 * (slope - np.roll(slope, 1, 0)))
+    start = np.concatenate([[0.0], np.cumsum(step)])
+    at = np.linspace(0, start[-1], samples, endpoint=False)
+    k = np.clip(np.searchsorted(start, at, "right") - 1, 0, n - 1)
+    t, h, nxt = (at - start[k])[:, None], step[k][:, None], (k + 1) % n
+    linear = slope[k] - h * (2 * bend[k] + bend[nxt]) / 6
+    return np.round(ring[k] + t * linear + t**2 * bend[k] / 2 + t**3 * (bend[nxt] - bend[k]) / (6 * h), 4)
+
+
+def smooth_hulls(hulls: DataFrame, name: str, samples: int = 60) -> DataFrame:
+    """name, xs, ys: hulls with rounded outlines (see :func:`smooth_ring`); one row a hull."""
+
+    def run(frames):
+        for f in frames:
+            rings = [smooth_ring(np.column_stack([x, y]), samples) for x, y in zip(f["xs"], f["ys"], strict=True)]
+            yield pd.DataFrame({name: f[name], "xs": [r[:, 0] for r in rings], "ys": [r[:, 1] for r in rings]})
+
+    kind = dict(hulls.dtypes)[name]
+    return hulls.select(name, "xs", "ys").mapInPandas(run, f"{name} {kind}, xs array<double>, ys array<double>")

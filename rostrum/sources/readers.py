@@ -4,8 +4,8 @@ from __future__ import annotations
 
 import json
 import tomllib
-from pathlib import Path
 
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
@@ -70,18 +70,23 @@ def transcript_turns(spark: SparkSession, paths: list[str], row_tag: str = "acti
     return t.select("file", "activity", "title", "pos", "t.speaker", F.col("t._kind").alias("kind"), "t.text").where("speaker IS NOT NULL AND text IS NOT NULL")
 
 
-def topic_turns(turns: DataFrame, keyword: str) -> DataFrame:
-    """Title has the keyword: all turns of the activity; else only turns whose text has it."""
-    has = lambda c: F.contains(F.lower(c), F.lit(keyword.lower()))
-    return turns.where(F.coalesce(has("title"), F.lit(False)) | F.coalesce(has("text"), F.lit(False)))
+def with_sidecar(turns: DataFrame, sidecars: DataFrame, key: Column, name: str) -> DataFrame:
+    """Turns of the files that have a row of metadata; ``key`` gets a file's name ``name`` from its path."""
+    return turns.withColumn(name, key).join(sidecars, name)
+
+
+def topic_turns(turns: DataFrame, *keywords: str) -> DataFrame:
+    """Title has a keyword: all turns of the activity; else only turns whose text has one."""
+    has = lambda c: F.greatest(F.lit(False), *[F.contains(F.lower(c), F.lit(k.lower())) for k in keywords])
+    return turns.where(has("title") | has("text"))
 
 
 # Configuration and records
 
 
 def toml_tables(spark: SparkSession, path: str, key: str, schema: str) -> DataFrame:
-    """An array of tables of a small TOML file as rows; unknown fields are an error."""
-    rows = tomllib.loads(Path(path).read_text())[key]
+    """An array of tables of a small TOML file, in any store Spark reads, as rows; unknown fields are an error."""
+    rows = tomllib.loads(spark.read.text(path, wholetext=True).first().value)[key]
     names = [f.name for f in spark.createDataFrame([], schema).schema]
     if extra := {k for r in rows for k in r} - set(names):
         raise ValueError(f"unknown fields {sorted(extra)}")
@@ -97,6 +102,29 @@ def json_lines(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.schema(schema).json(path)
 
 
+# Answers of services, recorded as text
+
+
+def bindings(df: DataFrame, raw: str, fields: list[str], *keep: str) -> DataFrame:
+    """The rows of a SPARQL answer in JSON; a field that a row does not bind is null."""
+    row = ", ".join(f"{f}: struct<value: string>" for f in fields)
+    j = F.from_json(raw, f"results struct<bindings: array<struct<{row}>>>")
+    b = df.select(*keep, F.explode(j["results"]["bindings"]).alias("b"))
+    return b.select(*keep, *[F.col(f"b.{f}.value").alias(f) for f in fields])
+
+
+def entity_id(uri: Column) -> Column:
+    """The last part of an entity's address."""
+    return F.element_at(F.split(uri, "/"), -1)
+
+
+def agenda(days: DataFrame, raw: str, date: str) -> DataFrame:
+    """date, id, start, end of every debate of the recorded days; real times go before planned ones."""
+    debate = "id: string, startedAt: string, endedAt: string, startsAt: string, endsAt: string"
+    d = days.select(date, F.inline(F.from_json(raw, f"debates array<struct<{debate}>>")["debates"]))
+    return d.select(date, "id", F.coalesce("startedAt", "startsAt").alias("start"), F.coalesce("endedAt", "endsAt").alias("end"))
+
+
 # Paged services
 
 
@@ -111,8 +139,9 @@ def page_url(entity: str, select: list[str] = (), where: str = "", expand: str =
 class PagedSource(DataSource):
     """``spark.read.format("paged")``: one partition per page of a service.
 
-    Options: ``pages`` (number), ``path`` (folder of page-N.json files that stand for the service; a
-    client for a live one overrides ``fetch``).  Rows are JSON objects in the array ``value``.
+    Options: ``pages`` (number), ``path`` (folder of page-N.json files, or of folders page=N of such files,
+    that stand for the service, in a store that workers reach; a client for a live one overrides ``fetch``).
+    Rows are JSON objects in the array ``value``.
     """
 
     @classmethod
@@ -134,8 +163,15 @@ class _PagedReader(DataSourceReader):
         return [InputPartition(i) for i in range(int(self.options.get("pages", 1)))]
 
     def fetch(self, page: int) -> list:
-        p = Path(self.options["path"]) / f"page-{page}.json"
-        return json.loads(p.read_text()).get("value", []) if p.exists() else []
+        store, root = fs.FileSystem.from_uri(self.options["path"])
+        found = store.get_file_info([f"{root}/page-{page}.json"])
+        found += store.get_file_info(fs.FileSelector(f"{root}/page={page}", allow_not_found=True))
+        rows = []
+        for f in found:
+            if f.is_file and not f.base_name.startswith((".", "_")):
+                with store.open_input_stream(f.path) as stream:
+                    rows += json.loads(stream.read()).get("value", [])
+        return rows
 
     def read(self, partition: InputPartition):
         for record in self.fetch(partition.value):

@@ -9,8 +9,25 @@ from ..operators.relational import first_seen_ids
 
 
 def write_partitioned_json(df: DataFrame, path: str, by: list[str]) -> None:
-    """One folder per key, so a reader of one topic or debate opens only that one."""
-    df.repartition(*by).write.partitionBy(*by).mode("overwrite").json(path)
+    """One folder per key, so a reader of one topic or debate opens only that one.
+
+    Rows are rebalanced by key: small keys share a task, a large one is split over several files.
+    """
+    df.hint("rebalance", *by).write.partitionBy(*by).mode("overwrite").json(path)
+
+
+def anchors(clusters: DataFrame, cluster: str, vec: str) -> DataFrame:
+    """cluster, size and mean vector (5 digits) by which a later run finds the clusters of this one again."""
+    parts = clusters.select(cluster, F.posexplode(vec).alias("pos", "v"))
+    mean = parts.groupBy(cluster, "pos").agg(F.round(F.avg(F.col("v").cast("double")), 5).alias("v"), F.count("*").alias("n"))
+    rows = F.sort_array(F.collect_list(F.struct("pos", "v")))  # as many as a vector has components
+    return mean.groupBy(cluster).agg(F.max("n").alias("size"), F.transform(rows, lambda r: r["v"]).alias("mean_vector"))
+
+
+def write_anchors(clusters: DataFrame, path: str, cluster: str, key: str, vec: str) -> None:
+    """Two Parquet folders: ``anchors`` (one row a cluster) and ``members`` (cluster, key)."""
+    anchors(clusters, cluster, vec).write.option("compression", "zstd").parquet(f"{path}/anchors")
+    clusters.select(cluster, key).write.option("compression", "zstd").parquet(f"{path}/members")
 
 
 def lean(df: DataFrame, drop: list[str]) -> DataFrame:

@@ -9,7 +9,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupStateTimeout
 
@@ -54,6 +54,23 @@ def idle_clear(df: DataFrame, key: str, ts: str, idle_ms: int = 40_000, delay: s
     return df.withWatermark(ts, delay).groupBy(key).applyInPandasWithState(step, f"{key} {kind}, at timestamp, action string", "last long", "append", GroupStateTimeout.EventTimeTimeout)
 
 
+def price_allows(baseline: dict | None, current: dict | None) -> bool:
+    """No price is above the baseline's; an unknown price stops nothing."""
+    if baseline is None or current is None:
+        return True
+    return all(current.get(k, 0) <= baseline.get(k, 0) for k in ("input", "output"))
+
+
+def until_breaker(df: DataFrame, seq: str, every: int, ok: Column) -> DataFrame:
+    """Rows up to the first check that fails; row ``seq`` is a check where it divides by ``every``.
+
+    A null check passes.  The failing row is the first that is left out.
+    """
+    failed = df.where((F.col(seq) % every == 0) & ~F.coalesce(ok, F.lit(True)))
+    stop = failed.agg(F.min(seq).alias("__stop"))  # one row
+    return df.join(F.broadcast(stop), F.col("__stop").isNull() | (F.col(seq) < F.col("__stop"))).drop("__stop")
+
+
 def run_in_batches(df: DataFrame, path: str, checkpoint: str, work: Callable[[DataFrame], DataFrame], proceed: Callable[[], bool] = lambda: True):
     """Process new input once, batch by batch, appending results; restarts resume from the checkpoint.
 

@@ -282,3 +282,21 @@ def test_token_counts(spark):
     df = spark.createDataFrame(list(enumerate(data)), "i int, t string")
     got = {r.i: r.n for r in df.select("i", count("t").alias("n")).collect()}
     assert got == {i: len(t.encode(x or "").ids) for i, x in enumerate(data)}
+
+
+def test_smooth_ring_passes_through_the_corners_of_a_regular_ring():
+    a = np.arange(6) * np.pi / 3
+    ring = np.column_stack([np.cos(a), np.sin(a)])
+    got = spatial.smooth_ring(ring, 60)
+    assert np.allclose(got[::10], ring, atol=1e-4)
+    assert np.abs(np.linalg.norm(got, axis=1) - 1).max() < 0.01  # straight edges come as near as 0.87
+    assert np.allclose(spatial.smooth_ring(np.vstack([ring, ring[:1]]), 60), got)
+    assert len(spatial.smooth_ring(ring[:3])) == 3
+
+
+def test_smooth_hulls_keep_every_hull(spark, sf):
+    from rostrum.plans.registry import QUERIES
+
+    hulls, smooth = QUERIES["c16_c27_hulls"](spark, sf), QUERIES["c26_smooth_hulls"](spark, sf)
+    corners = {r.label: r.corners for r in hulls.collect()}
+    assert {r.label: len(r.xs) for r in smooth.collect()} == {k: 60 if n > 3 else n for k, n in corners.items()}
