@@ -24,20 +24,29 @@ def words(text: Column) -> Column:
 
 
 def text_stats(text: Column) -> dict[str, Column]:
-    """Counts of words, sentences, syllables, long words (over 6 letters) and distinct words."""
-    w = words(text)
-    syllables = F.aggregate(w, F.lit(0), lambda a, x: a + F.greatest(F.lit(1), F.regexp_count(x, F.lit(VOWELS))))
-    sentences = F.size(F.filter(F.split(F.coalesce(text, F.lit("")), r"[.!?]+(?:\s+|$)"), lambda s: s.rlike(LETTERS)))
-    n = F.size(w)
+    """Counts of words, sentences, syllables, long words (over 6 letters) and distinct words.
+
+    A word has as many syllables as runs of vowels, at least one; a sentence is a piece with a letter between
+    sentence marks before white space.  Each count is one regular expression over the text, so that
+    no array of words is built but for the distinct ones.
+    """
+    t = F.coalesce(text, F.lit(""))
+    count = lambda pattern: F.regexp_count(t, F.lit(pattern))
+    vowelless = r"(?<!\p{L})(?:(?!%s)\p{L})++(?!\p{L})" % VOWELS
+    n = count(LETTERS)
+    sentences = count(r"(?s)\p{L}.*?(?:[.!?]+(?:\s+|$)|\z)")
     return {
         "word_count": n,
-        "sentence_count": F.when(n == 0, 0).otherwise(F.greatest(F.lit(1), sentences)),
-        "syllable_count": syllables,
-        "long_word_count": F.size(F.filter(w, lambda x: F.length(x) > 6)),
-        "unique_word_count": F.size(F.array_distinct(F.transform(w, F.lower))),
+        "sentence_count": sentences,
+        "syllable_count": count(VOWELS) + count(vowelless),
+        "long_word_count": count(r"\p{L}{7,}"),
+        "unique_word_count": F.size(F.array_distinct(F.transform(F.array_distinct(words(text)), F.lower))),
     }
 
 
+# Coefficients of the readability measures.
+
+
 def flesch_douma(n_words: Column, n_sentences: Column, n_syllables: Column) -> Column:
     """206.84 - 0.93 words per sentence - 77 syllables per word; 0 without words or sentences."""
     ok = (n_words > 0) & (n_sentences > 0)

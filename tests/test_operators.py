@@ -2,6 +2,7 @@
 
 import numpy as np
 import pytest
+import regex
 from pyspark.sql import functions as F
 
 from rostrum.functions import jsons, maths, temporal, text
@@ -300,3 +301,19 @@ def test_smooth_hulls_keep_every_hull(spark, sf):
     hulls, smooth = QUERIES["c16_c27_hulls"](spark, sf), QUERIES["c26_smooth_hulls"](spark, sf)
     corners = {r.label: r.corners for r in hulls.collect()}
     assert {r.label: len(r.xs) for r in smooth.collect()} == {k: 60 if n > 3 else n for k, n in corners.items()}
+
+
+def test_text_stats_equal_a_walk_over_the_words(spark):
+    vowels = "aeiouyàáâäèéêëìíîïòóôöùúûü"
+    texts = ["", None, "...", "Dr. Brr, psst! Strength?  Één  ÉÉN één.", "a.b c!?d\n", "xyz. 12. ...\n\nRhythms; ryhthm’s ok", "Über-lange Wörterbücher", "e.\n", "?! \nA"]
+
+    def walk(t):
+        t = t or ""
+        w = regex.findall(r"\p{L}+", t)
+        runs = [len(regex.findall(f"[{vowels}]+", x.lower())) for x in w]
+        pieces = [x for x in regex.split(r"[.!?]+(?:\s+|$)", t) if regex.search(r"\p{L}", x)]
+        return len(w), len(pieces), sum(max(1, r) for r in runs), sum(len(x) > 6 for x in w), len({x.lower() for x in w})
+
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, t string")
+    got = df.select("i", *[c.alias(k) for k, c in text.text_stats(F.col("t")).items()]).orderBy("i").collect()
+    assert [tuple(r)[1:] for r in got] == [walk(t) for t in texts]
