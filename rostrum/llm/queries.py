@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..catalog import table
-from . import html_text, mixing, neighbours, packing, quality, shards, simhash, substrings, token_files, url_filter
+from . import fill_middle, filter_audit, html_text, mixing, neighbours, packing, pieces, quality, shards, simhash, substrings, token_files, url_filter
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -54,6 +54,18 @@ def op10_quality_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(table(spark, sf_dir, "documents")).select("doc_id", *names, "base_failed", "kept", F.round("distance2", 6).alias("distance2"))
 
 
+def op11_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fill_middle.digest(table(spark, sf_dir, "documents"))
+
+
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op13_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.digest(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
@@ -67,7 +79,14 @@ QUERIES: dict[str, Query] = {
         op8_url_filter,
         op9_html_main_text,
         op10_quality_outliers,
+        op11_fill_middle,
+        op12_filter_audit,
+        op13_sentence_pieces,
     )
 }
 
-ORACLE_SQL: dict[str, str] = {"op2_source_mixing": mixing.ORACLE}
+ORACLE_SQL: dict[str, str] = {
+    "op2_source_mixing": mixing.ORACLE,
+    "op11_fill_middle": fill_middle.ORACLE,
+    "op12_filter_audit": filter_audit.ORACLE,
+}
