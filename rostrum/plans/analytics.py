@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..catalog import table
-from ..operators import contingency, graph, similarity, spatial, terms
+from ..operators import contingency, density_tree, graph, similarity, spatial, terms
 from ..operators.relational import best_per_group
 from .core import TAG, tagged
 from ..session import scratch
@@ -166,6 +166,16 @@ def c11_grid_clusters(spark, sf_dir):
     return spatial.grid_clusters(points(spark, sf_dir).select("id", "x", "y"), 0.5, 3)
 
 
+@query()
+def c11_density_tree(spark, sf_dir):
+    return density_tree.clusters(density_tree.fit(points(spark, sf_dir).select("id", "x", "y"), 0.05, 10), 10)
+
+
+@query()
+def c12_tree_cuts(spark, sf_dir):
+    return density_tree.level_cuts(density_tree.fit(points(spark, sf_dir).select("id", "x", "y"), 0.05, 5), 5, [60, 20, 5])
+
+
 @query()
 def c16_c27_hulls(spark, sf_dir):
     from ..functions.maths import polygon_area
