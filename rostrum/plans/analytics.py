@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..catalog import table
-from ..operators import contingency, density_tree, graph, similarity, spatial, terms
+from ..operators import contingency, contours, density_tree, graph, similarity, spatial, terms
 from ..operators.relational import best_per_group
 from .core import TAG, tagged
 from ..session import scratch
@@ -154,6 +154,46 @@ def c23_relative_density(spark, sf_dir):
     return spatial.relative_density(points(spark, sf_dir), F.col("label") == 1, 0.5, 1.0)
 
 
+#: Grid lines of a square by side: kind, and the crossing's place between the corners' values.
+_SIDES = {
+    "b": ("'h'", "sx", "sy", "sx + (level - v0) / (v1 - v0)", "sy"), "r": ("'v'", "sx + 1", "sy", "sx + 1", "sy + (level - v1) / (v2 - v1)"),
+    "t": ("'h'", "sx", "sy + 1", "sx + (level - v3) / (v2 - v3)", "sy + 1"), "l": ("'v'", "sx", "sy", "sx", "sy + (level - v0) / (v3 - v0)"),
+}
+
+
+def _drawn() -> str:
+    """One SELECT for each segment of each case of marching squares."""
+    out = []
+    for case, names in contours.CASES.items():
+        for a, b in names.split():
+            (ka, ia, ja, xa, ya), (kb, ib, jb, xb, yb) = _SIDES[a], _SIDES[b]
+            ends = f"{ka} AS a_kind, {ia} AS a_i, {ja} AS a_j, {kb} AS b_kind, {ib} AS b_i, {jb} AS b_j"
+            spots = f"round({xa} + 0.5, 6) AS ax, round({ya} + 0.5, 6) AS ay, round({xb} + 0.5, 6) AS bx, round({yb} + 0.5, 6) AS by_"
+            out.append(f"SELECT label, level, sx, sy, {ends}, {spots} FROM cased WHERE shape = {case}")
+    return " UNION ALL ".join(out)
+
+
+@query(f"""WITH t AS {_blurred('true')}, lim AS (SELECT max(n) AS top, sum(n) AS sum_n FROM t), big AS (SELECT label FROM {_PTS} WHERE label IS NOT NULL GROUP BY 1 HAVING count(*) >= 30),
+  c AS (SELECT label, CAST(floor(x / 0.5) AS BIGINT) AS ix, CAST(floor(y / 0.5) AS BIGINT) AS iy, count(*) AS n FROM {_PTS} JOIN big USING (label) GROUP BY 1, 2, 3), k AS (SELECT d, exp(-(d * d) / 2.0) AS w FROM (SELECT unnest(range(-3, 4)) AS d)), kn AS (SELECT d, w / (SELECT sum(w) FROM k) AS w FROM k),
+  a AS (SELECT label, ix + d AS ix, iy, sum(n * w) AS n FROM c, kn GROUP BY 1, 2, 3), g AS (SELECT label, ix, iy + d AS iy, sum(n * w) AS n FROM a, kn GROUP BY 1, 2, 3), gw AS (SELECT label, sum(n) AS group_n FROM g GROUP BY 1),
+  r AS (SELECT label, ix, iy, round((g.n / group_n) / (t.n / sum_n), 7) AS ratio FROM g JOIN t USING (ix, iy) JOIN gw USING (label), lim WHERE t.n > 0.02 * top),
+  sq AS (SELECT label, ix - dx AS sx, iy - dy AS sy, coalesce(max(ratio) FILTER (k = 0), 0) AS v0, coalesce(max(ratio) FILTER (k = 1), 0) AS v1, coalesce(max(ratio) FILTER (k = 2), 0) AS v2, coalesce(max(ratio) FILTER (k = 3), 0) AS v3
+    FROM r, (VALUES (0, 0, 0), (1, 1, 0), (2, 1, 1), (3, 0, 1)) o(k, dx, dy) GROUP BY 1, 2, 3),
+  cased AS (SELECT *, m + CASE WHEN m IN (5, 10) AND (v0 + v1 + v2 + v3) / 4 >= level THEN 16 ELSE 0 END AS shape FROM (SELECT *, (v0 >= level)::INT + 2 * (v1 >= level)::INT + 4 * (v2 >= level)::INT + 8 * (v3 >= level)::INT AS m FROM sq, (VALUES (CAST(1.5 AS DOUBLE)), (CAST(3 AS DOUBLE))) l(level)))
+  {_drawn()}""")
+def c23_contour_segments(spark, sf_dir):
+    grid = contours.ratio_grid(points(spark, sf_dir), "label", 0.5, 1.0, least=30)
+    s = contours.segments(grid, ["label"], [1.5, 3.0])
+    lines = [F.col(f"{e}.{c}").alias(f"{e}_{c}") for e in "ab" for c in ("kind", "i", "j")]
+    return s.select("label", "level", "sx", "sy", *lines, *[F.round(c, 6).alias(c) for c in ("ax", "ay", "bx", "by_")])
+
+
+@query()
+def c23_contours(spark, sf_dir):
+    grid = contours.ratio_grid(points(spark, sf_dir), "label", 0.5, 1.0, least=30)
+    return contours.polygons(contours.segments(grid, ["label"], [1.5, 3.0]), ["label"])
+
+
 @query(f"""WITH q AS (SELECT id AS query_id, x AS qx, y AS qy FROM {_PTS} WHERE label = 0), d AS (SELECT query_id, id, round(sqrt(pow(x - qx, 2) + pow(y - qy, 2)), 7) AS distance FROM q, {_PTS} p WHERE label <> 0)
   SELECT query_id, id, distance FROM d WHERE distance < 1.2 QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY distance, id) <= 5""")
 def j25_k_nearest_points(spark, sf_dir):
