@@ -6,8 +6,10 @@ from pyspark.sql import functions as F
 
 from ..catalog import table
 from ..operators import spatial
-from ..sources import readers, sinks
+from ..session import scratch_path
+from ..sources import readers, sinks, tile_archive, vector_tiles
 from ..streaming import live
+from .analytics import _THIN
 from .registry import query
 
 
@@ -87,6 +89,19 @@ def k07_tile_payloads(spark, sf_dir):
     return sinks.tile_payloads(shown).select("z", "tx", "ty", "n", F.octet_length("payload").alias("bytes"))
 
 
+@query(f"""WITH t AS ({_THIN}), f AS (SELECT z, tx, ty, (x + 10) / 20 * pow(2, z) - tx AS fx, (10 - y) / 20 * pow(2, z) - ty AS fy FROM t), q AS (SELECT z, tx, ty, least(greatest(floor(fx * 4096), 0), 4095) AS px, least(greatest(floor(fy * 4096), 0), 4095) AS py FROM f),
+  c AS (SELECT z, tx, ty, floor(px / 128) AS cx, floor(py / 128) AS cy, count(*) AS n FROM q GROUP BY ALL)
+  SELECT z AS zoom, count(DISTINCT (tx, ty)) AS tiles, CAST(sum(n) AS BIGINT) AS points, count(*) AS cells, round(quantile_cont(n, 0.5) / 256, 9) AS per_px2_p50, round(quantile_cont(n, 0.9) / 256, 9) AS per_px2_p90, round(quantile_cont(n, 0.99) / 256, 9) AS per_px2_p99, round(max(n) / 256.0, 9) AS per_px2_max FROM c GROUP BY 1""")
+def k07_s16_a37_archive_ink(spark, sf_dir):
+    from .analytics import points
+
+    shown = spatial.thin(points(spark, sf_dir), [0, 1, 2, 3, 4], 20, -10.0, 10.0, F.lit(1.0))
+    path = scratch_path(spark, "tile-archive")
+    tile_archive.write_archive(vector_tiles.point_tiles(shown, -10.0, 10.0), path, (-10.0, -10.0, 10.0, 10.0), {"name": "points", "format": "pbf"})
+    ink = vector_tiles.ink_density(vector_tiles.tile_points(tile_archive.read_archive(spark, path)))
+    return ink.select("zoom", "tiles", "points", "cells", *[F.round(f"per_px2_{c}", 9).alias(f"per_px2_{c}") for c in ("p50", "p90", "p99", "max")])
+
+
 # Live windows
 
 
