@@ -4,7 +4,8 @@ Each tree hashes a vector to a long string of bits, the signs of its products wi
 directions.  A shard keeps, per tree, its strings sorted; the vectors that share the first k bits
 with a query are one stretch of that array, found by bisection.  A query descends every tree to its
 longest match and then ascends all trees together, one bit at a time, until the stretches hold
-``share`` of the shard's distinct vectors (``least`` at least); those candidates are scored exactly.
+``wide`` of the shard's distinct vectors.  A vector gets a vote for every tree and every level on which it is met, so
+long and frequent matches count most; the ``share`` of the shard with most votes (``least`` at least) is scored exactly.
 
 Vectors are indexed by direction: vectors that differ by a factor share one entry (unit vectors equal to
 twelve decimals) with their ``k + 1`` smallest ids, enough for any answer.  So they tie exactly, and a vector
@@ -28,6 +29,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 DEPTH = 63
+#: Levels below the first wide one whose matches are counted.
+LEVELS = 3
 
 
 def usable(v: str = "embedding") -> Column:
@@ -64,8 +67,8 @@ class Forest:
         self.order = np.argsort(h, axis=0, kind="stable").astype(np.int32)
         self.sorted = [np.ascontiguousarray(h[self.order[:, t], t]) for t in range(trees)]
 
-    def candidates(self, q: np.ndarray, want: int) -> list[np.ndarray]:
-        """Indexes of each query's candidates."""
+    def candidates(self, q: np.ndarray, want: int, wide: int) -> list[np.ndarray]:
+        """Indexes of each query's ``want`` candidates with most votes, when ``wide`` entries have any."""
         h = hash_strings(q, self.planes, self.trees)
         n = len(self.v)
         deepest = min(DEPTH, 2 * max(1, n.bit_length()) + 8)  # no stretch of distinct vectors is longer in practice
@@ -80,17 +83,18 @@ class Forest:
         out = []
         total = (hi - lo).sum(axis=1)
         for j in range(len(q)):
-            # Descended as deep as any tree matches; the sum of stretches bounds their union from above.
-            d = int(np.count_nonzero(total[:, j] >= want)) - 1
-            seen = np.zeros(n, bool)
+            # The sum of stretches bounds their union from above, so the ascent can begin where it is wide enough;
+            # the levels below that still hold more than a vector or two give their votes first.
+            d = max(int(np.count_nonzero(total[:, j] >= wide)) - 1, 0)
+            votes = np.zeros(n, np.int32)
+            level = min(deepest, d + LEVELS)
             while True:
-                d = max(d, 0)
                 for t in range(self.trees):
-                    seen[self.order[lo[d, t, j] : hi[d, t, j], t]] = True
-                if d == 0 or np.count_nonzero(seen) >= want:
+                    votes[self.order[lo[level, t, j] : hi[level, t, j], t]] += 1
+                if level == 0 or level <= d and np.count_nonzero(votes) >= wide:
                     break
-                d -= 1
-            out.append(np.flatnonzero(seen))
+                level -= 1
+            out.append(np.argpartition(-votes, want - 1)[:want] if want < n else np.arange(n))
         return out
 
 
@@ -106,8 +110,9 @@ def nearest(
     vectors: DataFrame,
     every: int = 50,
     k: int = 5,
-    trees: int = 192,
+    trees: int = 128,
     share: float = 0.25,
+    wide: float = 0.7,
     least: int = 256,
     shard_rows: int = 8192,
     block: int = 2048,
@@ -141,8 +146,9 @@ def nearest(
             scale = np.abs(v).max(axis=1, keepdims=True)
             forest = Forest(v / scale, trees, directions(v.shape[1], trees, seed))
             want = min(len(v), max(least, int(share * len(v))))
+            met = max(want, int(wide * len(v)))
             for a in range(0, len(q), 256):
-                for j, cand in enumerate(forest.candidates(q[a : a + 256], want), a):
+                for j, cand in enumerate(forest.candidates(q[a : a + 256], want, met), a):
                     score = (v[cand] @ q[j]) / (nv[cand] * nq[j])
                     keep = len(score)
                     if keep > k + 1:  # all that can be among the best, ties at the edge too
