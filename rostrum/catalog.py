@@ -14,6 +14,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` dealt out to all cores where its files make fewer partitions than that; large tables stay where they are.
+
+    For work on texts that costs far more than moving them.
+    """
+    n = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(n) if df.rdd.getNumPartitions() < n else df
+
+
 def register(spark: SparkSession, sf_dir: str, names: list[str] | None = None) -> None:
     for n in names or TABLES:
         table(spark, sf_dir, n).createOrReplaceTempView(n)

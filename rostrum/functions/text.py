@@ -34,7 +34,8 @@ def text_stats(text: Column) -> dict[str, Column]:
     count = lambda pattern: F.regexp_count(t, F.lit(pattern))
     vowelless = r"(?<!\p{L})(?:(?!%s)\p{L})++(?!\p{L})" % VOWELS
     n = count(LETTERS)
-    sentences = count(r"(?s)\p{L}.*?(?:[.!?]+(?:\s+|$)|\z)")
+    # Marks are taken from their first one on and not given back: a run of dots is read once.
+    sentences = count(r"(?s)\p{L}.*?(?:(?<![.!?])[.!?]++(?:\s|\z)|\z)")
     return {
         "word_count": n,
         "sentence_count": sentences,

@@ -27,9 +27,12 @@ def in_period(df: DataFrame, day: str, periods: DataFrame) -> DataFrame:
     return df.join(months, hit).select(*[df[c] for c in df.columns], F.col("name").alias("period"))
 
 
-def overlapping_periods(periods: DataFrame) -> DataFrame:
-    """Neighbours in order of start whose end is not before the next start: a fault of the list."""
-    nxt = F.lead("first").over(Window.orderBy("first"))
+def overlapping_periods(periods: DataFrame, by: str) -> DataFrame:
+    """Neighbours in a list's order of start whose end is not before the next start: a fault of the list.
+
+    ``periods``: by (the list), name, first, last (null: open); periods that start together come in order of name.
+    """
+    nxt = F.lead("first").over(Window.partitionBy(by).orderBy("first", "name"))
     return periods.withColumn("next_first", nxt).where(F.coalesce("last", F.lit("9999-12-31").cast("date")) >= F.col("next_first"))
 
 

@@ -5,13 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..catalog import spread
 from .relational import best_per_group
 
 
 def tokens(df: DataFrame, key: str, text: str, least: int) -> DataFrame:
     """One row per token of at least ``least`` letters, lower case."""
     w = F.regexp_extract_all(F.lower(text), F.lit("[a-zà-ÿ]{%d,}" % least), F.lit(0))
-    return df.select(F.col(key).alias("id"), F.explode(w).alias("term"))
+    return spread(df.select(key, text)).select(F.col(key).alias("id"), F.explode(w).alias("term"))
 
 
 def _idf(n: int, df: str = "df"):

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..catalog import table
+from ..catalog import spread, table
 from ..functions import maths, temporal, text
 from ..operators import aggregates as agg
 from ..operators import terms
@@ -21,7 +21,8 @@ _STATS = rf"""SELECT doc_id, lang, source, n_chars, CAST(len(w) AS INT) AS word_
 
 
 def stats(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", "lang", "source", "n_chars", *[c.alias(n) for n, c in text.text_stats(F.col("text")).items()])
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "lang", "source", "n_chars", "text"))
+    return docs.select("doc_id", "lang", "source", "n_chars", *[c.alias(n) for n, c in text.text_stats(F.col("text")).items()])
 
 
 @query(f"SELECT doc_id, word_count, sentence_count, syllable_count, long_word_count, unique_word_count FROM ({_STATS})")

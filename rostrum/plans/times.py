@@ -36,11 +36,13 @@ def a19_workload_per_period(spark, sf_dir):
     return g.select("*", pct(F.col("done"), F.col("n")).alias("saved_pct"))
 
 
-@query("SELECT * FROM (VALUES ('A', DATE '2020-01-01', DATE '2020-06-30', DATE '2020-06-30'), ('C', DATE '2021-01-01', CAST(NULL AS DATE), DATE '2022-01-01')) v(name, first, last, next_first)")
+@query("""WITH p AS (SELECT o_custkey AS list, o_orderkey AS name, CAST(o_orderdate AS DATE) AS first, CASE WHEN o_orderkey % 7 = 0 THEN NULL ELSE CAST(o_orderdate AS DATE) + CAST(30 * (o_orderkey % 5) AS INT) END AS last FROM orders)
+  SELECT * FROM (SELECT *, lead(first) OVER (PARTITION BY list ORDER BY first, name) AS next_first FROM p) WHERE coalesce(last, DATE '9999-12-31') >= next_first""")
 def w03_overlapping_periods(spark, sf_dir):
-    rows = [("A", "2020-01-01", "2020-06-30"), ("B", "2020-06-30", "2020-12-31"), ("C", "2021-01-01", None), ("D", "2022-01-01", None)]
-    p = spark.createDataFrame(rows, "name string, first string, last string").select("name", F.to_date("first").alias("first"), F.to_date("last").alias("last"))
-    return intervals.overlapping_periods(p)
+    first = F.to_date("o_orderdate")
+    last = F.when(F.col("o_orderkey") % 7 == 0, None).otherwise(F.date_add(first, (30 * (F.col("o_orderkey") % 5)).cast("int")))
+    p = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("list"), F.col("o_orderkey").alias("name"), first.alias("first"), last.alias("last"))
+    return intervals.overlapping_periods(p, "list")
 
 
 def marks(spark, sf_dir, kind):

@@ -1,10 +1,13 @@
 """Invariants and hand-made cases for what SQL on the tables does not show."""
 
+import time
+
 import numpy as np
 import pytest
 import regex
 from pyspark.sql import functions as F
 
+from rostrum import catalog
 from rostrum.functions import jsons, maths, temporal, text
 from rostrum.operators import aggregates, contingency, facets, graph, intervals, merge, projection, relational, similarity, spans, spatial, validation
 from rostrum.plans import registry, texts
@@ -317,3 +320,20 @@ def test_text_stats_equal_a_walk_over_the_words(spark):
     df = spark.createDataFrame(list(enumerate(texts)), "i int, t string")
     got = df.select("i", *[c.alias(k) for k, c in text.text_stats(F.col("t")).items()]).orderBy("i").collect()
     assert [tuple(r)[1:] for r in got] == [walk(t) for t in texts]
+
+
+def test_sentences_in_time_linear_in_the_marks(spark):
+    """A run of a million dots, as in a table of contents, is read once."""
+    rows = [("a" + "." * 1_000_000 + "b",), ("a" + "." * 1_000_000 + " b",), ("Ja. Nee?! 3.5 meer... en. ",), ("",), (None,)]
+    df = spark.createDataFrame(rows, "t string")
+    n = text.text_stats(F.col("t"))["sentence_count"]
+    start = time.monotonic()
+    assert [r.n for r in df.select(n.alias("n")).collect()] == [1, 2, 4, 0, 0]
+    assert time.monotonic() - start < 20
+
+
+def test_spread_moves_small_tables_only(spark):
+    one = spark.range(10).coalesce(1)
+    assert catalog.spread(one).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
+    many = spark.range(0, 10, 1, 9)
+    assert catalog.spread(many) is many
