@@ -25,4 +25,4 @@ def query(sql: str | None = None):
     return add
 
 
-from . import analytics, changes, core, extras, files, inout, subtitles, texts, times  # noqa: E402,F401
+from . import analytics, changes, core, extras, files, inout, speeches, subtitles, texts, times  # noqa: E402,F401
