@@ -9,9 +9,10 @@ covariance of the ``coverage`` of the group that is nearest by the last estimate
 determinant no longer falls.  The start that ends with the least determinant is kept.
 
 *Regularity.* Rates of symbols, repeats and equal lines are zero in most documents, so the nearest
-documents often agree on them exactly.  What one count is worth as noise (:data:`MEASURES`) is added to
-the diagonal, as by the regularised estimate of Boudt and others; where a measure varies, its fitted
-variance and its correlations decide.  Every group's estimate is drawn to the pooled one of its
+documents often agree on them exactly; there the noise of counting (:data:`MEASURES`), which is added to the
+diagonal as by the regularised estimate of Boudt and others, sets the scale.  Length, word length, different words
+and marks vary everywhere: there the fitted variances and correlations decide (how many different words a text
+should have follows from its length).  Every group's estimate is drawn to the pooled one of its
 language with the weight of ``prior`` documents, which fades as the group grows; no size is a switch.
 
 *Verdict.* A document is rejected if its squared Mahalanobis distance exceeds the chi-square quantile
@@ -41,24 +42,28 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from ..catalog import spread
 from ..session import drop_scratch, scratch
 
 SYMBOLS = re.compile(r"[#*$%&|<>]")
-#: Measures of the counts (a hundred words of five characters are added to the first two, whose spread
-#: would otherwise grow as texts get shorter), each with the deviation that counting noise alone may give a document.
+MARKS = re.compile(r"[.,;:!?]")
+#: Measures of the counts (a hundred words of five characters, all different, with a mark to each ten are added where a
+#: spread would otherwise grow as texts get shorter), each with the deviation that counting noise alone may give a document.
 MEASURES = {
     "ln(n_words + 100)": 0.05,
-    "(word_chars + 500) / (n_words + 100)": 0.1,
+    "(word_chars + 500) / (n_words + 100)": 0.05,
     "ln(0.1 + n_symbols / n_words)": 0.2,
     "ln(0.1 + 10 * n_dup_lines / n_words)": 0.3,
     "ln(0.1 + n_repeat_words / n_words)": 0.3,
+    "ln(n_distinct + 100)": 0.02,
+    "ln((n_marks + 10) / (n_words + 100))": 0.1,
 }
 D = len(MEASURES)
-STATS = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long"
+STATS = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, n_distinct long, n_marks long"
 
 
-def text_statistics(text: str | None) -> tuple[int, int, int, int, int]:
-    """The five counts of :data:`STATS` for one whole text."""
+def text_statistics(text: str | None) -> tuple[int, ...]:
+    """The counts of :data:`STATS` for one whole text."""
     text = text or ""
     words = text.encode("utf-8", "surrogatepass").split()  # ASCII white space: exactly the word separators
     n = len(words)
@@ -78,7 +83,7 @@ def text_statistics(text: str | None) -> tuple[int, int, int, int, int]:
                 if w in often:
                     repeat += i + 3 - max(i, last + 1)
                     last = i + 2
-    return n, chars, symbols, dup, repeat
+    return n, chars, symbols, dup, repeat, len(set(words)), len(MARKS.findall(text))
 
 
 def statistics(docs: DataFrame, whole: bool = False) -> DataFrame:
@@ -87,12 +92,13 @@ def statistics(docs: DataFrame, whole: bool = False) -> DataFrame:
     def run(batches):
         for b in batches:
             text = b.column("rest").field("text") if whole else b.column("text")
-            cols = list(zip(*map(text_statistics, text.to_pylist()), strict=True)) or [[]] * 5
+            cols = list(zip(*map(text_statistics, text.to_pylist()), strict=True)) or [[]] * D
             yield pa.RecordBatch.from_arrays(
                 [b.column("doc_id"), b.column("lang"), b.column("source"), *(pa.array(c, pa.int64()) for c in cols), *([b.column("rest")] if whole else [])],
                 names=["doc_id", "lang", "source", *(x.split()[0] for x in STATS.split(", ")), *(["rest"] if whole else [])],
             )
 
+    docs = spread(docs)
     kind = dict(docs.dtypes)["doc_id"]
     row = F.struct(*[docs[c] for c in docs.columns]).alias("rest") if whole else F.col("text")
     cols = docs.select("doc_id", F.col("lang").cast("string").alias("lang"), F.col("source").cast("string").alias("source"), row)
@@ -121,11 +127,13 @@ def chi2_cdf(x: float, k: int) -> float:
 
 def _distance() -> F.Column:
     """Squared Mahalanobis distance of the columns x0.. from the group's estimate (mean, inv)."""
-    return F.expr(" + ".join(f"(x{i} - mean[{i}]) * (x{j} - mean[{j}]) * inv[{i * D + j}]" for i in range(D) for j in range(D)))
+    terms = [f"{1 if i == j else 2} * (x{i} - mean[{i}]) * (x{j} - mean[{j}]) * inv[{i * D + j}]" for i, j in HALF]
+    return F.expr(" + ".join(terms))
 
 
 NOISE = np.diag(np.array(list(MEASURES.values())) ** 2)
 XS = [f"x{i}" for i in range(D)]
+HALF = [(i, j) for i in range(D) for j in range(i, D)]
 #: Share of a group taken as free of outliers when its tail is compared with a normal one.
 TRUSTED = 0.8
 #: Bins to a doubling of the squared distance.
@@ -152,8 +160,17 @@ def _state_batch(rows: list[tuple]) -> pa.RecordBatch:
 
 
 def _moments() -> list[F.Column]:
+    """Sums, and sums of products as the upper half of a square."""
     s = ", ".join(f"sum({x})" for x in XS)
-    return [F.expr(f"array({s})").alias("s"), F.expr("array(" + ", ".join(f"sum({a} * {b})" for a in XS for b in XS) + ")").alias("c")]
+    return [F.expr(f"array({s})").alias("s"), F.expr("array(" + ", ".join(f"sum({XS[i]} * {XS[j]})" for i, j in HALF) + ")").alias("c")]
+
+
+def _square(half: np.ndarray) -> np.ndarray:
+    """The symmetric matrix whose upper half this is."""
+    out = np.zeros((D, D))
+    for v, (i, j) in zip(half, HALF, strict=True):
+        out[i, j] = out[j, i] = v
+    return out
 
 
 #: Estimates are about 500 bytes a row; up to so many they are broadcast (10 MB), else joined by key.
@@ -165,7 +182,7 @@ def _per_group(df: DataFrame, groups: int) -> DataFrame:
 
 
 def starts(rows: DataFrame) -> tuple[DataFrame, int]:
-    """Three first estimates per group of ``rows`` (lang, k, x0..x4), and the number of groups."""
+    """Three first estimates per group of ``rows`` (lang, k, x0, x1, ..), and the number of groups."""
     mid = scratch(rows.groupBy("lang", "k").agg(F.count("*").alias("total"), F.array(*[F.percentile_approx(x, 0.5, 1000) for x in XS]).alias("mid")), "mcd")
     groups = mid.count()
     near = rows.join(_per_group(mid.select("k", "total", "mid"), groups), "k")
@@ -175,7 +192,7 @@ def starts(rows: DataFrame) -> tuple[DataFrame, int]:
         F.first("total").alias("total"), F.first("mid").alias("mid"), *_moments(),
         F.expr("array(" + ", ".join(f"percentile_approx(abs{d}, 0.5, 1000)" for d in dev) + ")").alias("mad"),
         F.percentile_approx("size", 0.5, 1000).alias("size"),
-        F.expr("array(" + ", ".join(f"sum({a} * {b})" for a in unit for b in unit) + ")").alias("u"),
+        F.expr("array(" + ", ".join(f"sum({unit[i]} * {unit[j]})" for i, j in HALF) + ")").alias("u"),
     )
 
     def run(batches):
@@ -183,8 +200,8 @@ def starts(rows: DataFrame) -> tuple[DataFrame, int]:
             out = []
             for r in b.to_pylist():
                 n, mid, mean = r["total"], np.array(r["mid"]), np.array(r["s"]) / r["total"]
-                plain = np.array(r["c"]).reshape(D, D) / n - np.outer(mean, mean)
-                signs = np.array(r["u"]).reshape(D, D) / n * D * r["size"] ** 2
+                plain = _square(r["c"]) / n - np.outer(mean, mean)
+                signs = _square(r["u"]) / n * D * r["size"] ** 2
                 for i, (m, c) in enumerate(((mid, np.diag((1.4826 * np.array(r["mad"])) ** 2)), (mid, signs), (mean, plain))):
                     out.append(_state_row(r["lang"], r["k"], i, n, n, m, c, None))
             yield _state_batch(out)
@@ -196,9 +213,11 @@ def starts(rows: DataFrame) -> tuple[DataFrame, int]:
 
 def concentrate(rows: DataFrame, state: DataFrame, groups: int, coverage: float) -> DataFrame:
     """One step for every start: moments by bin of distance, then of the nearest bins up to ``coverage``."""
-    known = state.select("k", "start", "total", "mean", "inv", F.col("logdet").alias("before"))
+    known = state.select("k", "start", "total", "mean", "cov", "inv", "n", F.col("logdet").alias("before")).withColumnRenamed("n", "size")
     near = rows.join(_per_group(known, 3 * groups), "k").withColumn("bin", F.floor(F.log2(_distance() + 1e-6) * BINS).cast("int"))
-    bins = near.groupBy("lang", "k", "start", "total", "before", "bin").agg(F.count("*").alias("n"), *_moments())
+    bins = near.groupBy("lang", "k", "start", "total", "before", "bin").agg(
+        F.count("*").alias("n"), *_moments(), *[F.first(c).alias("old_" + c) for c in ("mean", "cov", "size")]
+    )
 
     def run(table: pa.Table) -> pa.Table:
         table = table.sort_by("bin")
@@ -207,19 +226,21 @@ def concentrate(rows: DataFrame, state: DataFrame, groups: int, coverage: float)
         k = int(np.searchsorted(n, coverage * total)) + 1
         size = int(n[k - 1])
         s = table.column("s").combine_chunks().flatten().to_numpy().reshape(-1, D)[:k].sum(axis=0)
-        c = table.column("c").combine_chunks().flatten().to_numpy().reshape(-1, D * D)[:k].sum(axis=0).reshape(D, D)
+        c = _square(table.column("c").combine_chunks().flatten().to_numpy().reshape(-1, len(HALF))[:k].sum(axis=0))
         mean = s / size
         cov = (c / size - np.outer(mean, mean)) * consistency(size / total)
         first = lambda x: table.column(x)[0].as_py()
+        if np.linalg.slogdet((cov + cov.T) / 2 + NOISE)[1] > first("before"):  # the share is cut at a bin: a step may overshoot
+            mean, cov, size = np.array(first("old_mean")), np.array(first("old_cov")).reshape(D, D), first("old_size")
         return pa.Table.from_batches([_state_batch([_state_row(first("lang"), first("k"), first("start"), total, size, mean, (cov + cov.T) / 2, first("before"))])])
 
     return bins.groupBy("k", "start").applyInArrow(run, STATE)
 
 
-def mcd(rows: DataFrame, coverage: float = 0.75, steps: int = 20, prior: int = 5) -> tuple[DataFrame, int]:
-    """k, mean, inv per group key of ``rows`` (lang, k, x0..x4), and the number of groups.
+def mcd(rows: DataFrame, coverage: float = 0.75, steps: int = 60, prior: int = 5) -> tuple[DataFrame, int]:
+    """k, mean, inv per group key of ``rows`` (lang, k, x0, x1, ..), and the number of groups.
 
-    Steps go on while any start of any group still moves; groups at rest are not read again.
+    Steps go on while any start of any group still moves, ``steps`` at most (a dozen is usual); groups at rest are not read again.
     """
     state, groups = starts(rows)
     # The starts are not estimates of a nearest share yet: their determinants do not compare.
@@ -254,13 +275,17 @@ def mcd(rows: DataFrame, coverage: float = 0.75, steps: int = 20, prior: int = 5
     return scratch(joined.mapInArrow(run, "k string, mean array<double>, inv array<double>"), "mcd"), groups
 
 
-def judge(docs: DataFrame, tail: float = 1 - 1e-5, coverage: float = 0.75, steps: int = 20, prior: int = 5, whole: bool = False) -> DataFrame:
-    """doc_id, the counts, base_failed, kept and distance2, one row per row of ``docs``; with ``whole`` also ``rest``, the row."""
-    stats = statistics(docs, whole).withColumn("base_failed", base_failed())
+def measured(stats: DataFrame) -> DataFrame:
+    """``stats`` with the measures as columns x0, x1, .. and the group's key ``k``."""
     for i, e in enumerate(MEASURES):
         stats = stats.withColumn(f"x{i}", F.expr(e.replace("n_words", "greatest(n_words, 1)")))
     named = lambda c: F.coalesce(F.concat(F.lit("="), F.col(c)), F.lit("-"))
-    stats = scratch(stats.withColumn("k", F.to_json(F.array(named("lang"), named("source")))), "stats")
+    return stats.withColumn("k", F.to_json(F.array(named("lang"), named("source"))))
+
+
+def judge(docs: DataFrame, tail: float = 1 - 1e-5, coverage: float = 0.75, steps: int = 60, prior: int = 5, whole: bool = False) -> DataFrame:
+    """doc_id, the counts, base_failed, kept and distance2, one row per row of ``docs``; with ``whole`` also ``rest``, the row."""
+    stats = scratch(measured(statistics(docs, whole).withColumn("base_failed", base_failed())), "stats")
     fit = stats.where(~F.col("base_failed")).select("lang", "k", *XS)
     state, groups = mcd(fit, coverage, steps, prior)
     limit = chi2_quantile(tail, D)

@@ -1,13 +1,16 @@
 import math
+import os
 import random
 import re
 
 import numpy as np
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from rostrum.llm import html_text, quality, url_filter
 
+from ..conftest import SF
 from .helpers import documents, frame, rows
 
 PAGES = "page_id long, url string, html string"
@@ -182,10 +185,10 @@ def slow_statistics(text):
     wins = list(zip(words, words[1:], words[2:], strict=False))
     cover = {i + j for i, w in enumerate(wins) if wins.count(w) > 1 for j in range(3)}
     lines = [x for x in text.split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]
-    return len(words), sum(map(len, words)), sum(c in "#*$%&|<>" for c in text), len(lines) - len(set(lines)), len(cover)
+    return len(words), sum(map(len, words)), sum(c in "#*$%&|<>" for c in text), len(lines) - len(set(lines)), len(cover), len(set(words)), sum(c in ".,;:!?" for c in text)
 
 
-@given(st.text(alphabet="ab \n\t\r#|é\x1c\u00a0", max_size=80))
+@given(st.text(alphabet="ab \n\t\r#|.!é\x1c\u00a0", max_size=80))
 @settings(max_examples=200, deadline=None)
 def test_statistics(text):
     assert quality.text_statistics(text) == slow_statistics(text)
@@ -201,7 +204,7 @@ def test_judge(spark):
     got = {r.doc_id: r for r in quality.judge(frame(spark, docs, extra=True)).collect()}
     for i, text, *_ in docs:
         r = got[i]
-        assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) == slow_statistics(text[:4000] if i == 1010 else text) or i == 1010
+        assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words, r.n_distinct, r.n_marks) == slow_statistics(text[:4000] if i == 1010 else text) or i == 1010
         assert r.base_failed == (r.n_words < 50 or 100 * r.n_repeat_words > 50 * r.n_words)
         if i < 600:
             assert r.kept == (i % 10 != 0)
@@ -231,26 +234,47 @@ def slow_mcd(x, coverage=0.75):
 
 
 def test_mcd_equals_brute_force_and_sees_correlation(spark):
-    rng = np.random.default_rng(1)
-    mix = np.eye(5) + np.triu(rng.uniform(0.3, 0.9, (5, 5)), 1)
-    groups = {k: rng.standard_normal((n, 5)) @ mix + i for i, (k, n) in enumerate((("a", 120), ("b", 240)))}
+    rng, D = np.random.default_rng(1), quality.D
+    mix = np.eye(D) + np.triu(rng.uniform(0.3, 0.9, (D, D)), 1)
+    groups = {k: rng.standard_normal((n, D)) @ mix + i for i, (k, n) in enumerate((("a", 120), ("b", 240)))}
     groups["a"][:20] += 12  # outliers that draw plain moments
-    groups["b"][0] = [2.0 * s for s in (1, -1, 1, -1, 1)] + groups["b"].mean(axis=0)  # unremarkable in every measure alone
+    groups["b"][0] = [2.0 * s for s in (1, -1, 1, -1, 1, -1, 1)] + groups["b"].mean(axis=0)  # unremarkable in every measure alone
     data = [("en", k, *map(float, r)) for k, x in groups.items() for r in x]
-    df = spark.createDataFrame(data, "lang string, k string, x0 double, x1 double, x2 double, x3 double, x4 double")
+    df = spark.createDataFrame(data, "lang string, k string, " + ", ".join(f"{c} double" for c in quality.XS))
     state, n = quality.mcd(df, prior=0)
     assert n == 2
     for r in state.collect():
         x = groups[r.k]
         det, mean, cov = slow_mcd(x)
-        got = np.linalg.inv(np.array(r.inv).reshape(5, 5))
+        got = np.linalg.inv(np.array(r.inv).reshape(D, D))
         # The share is cut at a bin of the distance, so a few rows more may count than in brute force.
         assert np.linalg.slogdet(got)[1] <= det + 0.35 and np.abs(np.array(r.mean) - mean).max() < 0.25
         assert np.abs(got - quality.NOISE - cov).max() < 0.3 * np.abs(cov).max()
         if r.k == "b":
-            d = (x[0] - r.mean) @ np.array(r.inv).reshape(5, 5) @ (x[0] - r.mean)
+            d = (x[0] - r.mean) @ np.array(r.inv).reshape(D, D) @ (x[0] - r.mean)
             alone = ((x[0] - x.mean(axis=0)) / x.std(axis=0)) ** 2
-            assert d > quality.chi2_quantile(1 - 1e-5, 5) and alone.max() < quality.chi2_quantile(0.99, 1)
+            assert d > quality.chi2_quantile(1 - 1e-5, D) and alone.max() < quality.chi2_quantile(0.99, 1)
+
+
+def test_correlations_decide_verdicts(spark):
+    """Without them, good documents whose number of different words follows from their length would be rejected."""
+    path = os.path.join(os.path.dirname(SF), "sf0.1")
+    if not os.path.isdir(path):
+        pytest.skip("no such table")
+    docs, labels = (spark.read.parquet(f"{path}/{t}.parquet") for t in ("documents", "labels"))
+    fit = quality.measured(quality.statistics(docs)).where(~quality.base_failed()).join(labels.select("doc_id", "quality"), "doc_id", "left")
+    fit = fit.select("lang", "k", "quality", *quality.XS).toPandas()
+    state, _ = quality.mcd(spark.createDataFrame(fit[["lang", "k", *quality.XS]]))
+    limit, wrong, changed = quality.chi2_quantile(1 - 1e-5, quality.D), [0, 0], 0
+    for r in state.collect():
+        x, inv = fit[fit.k == r.k], np.array(r.inv).reshape(quality.D, quality.D)
+        alone = np.diag(1 / np.diag(np.linalg.inv(inv)))
+        d = [np.einsum("ij,jk,ik->i", x[quality.XS] - r.mean, m, x[quality.XS] - r.mean) for m in (inv, alone)]
+        out = [v > limit * max(1, np.quantile(v, quality.TRUSTED) / quality.chi2_quantile(quality.TRUSTED, quality.D)) for v in d]
+        good = (x.quality == 1).to_numpy()
+        wrong = [w + int((o & good).sum()) for w, o in zip(wrong, out, strict=True)]
+        changed += int((out[0] != out[1]).sum())
+    assert wrong[0] <= 2 and wrong[1] >= wrong[0] + 3 and changed >= 10
 
 
 def test_chi_square():
