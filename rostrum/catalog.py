@@ -9,9 +9,19 @@ TABLES = (
 ).split()
 
 
+def table_path(sf_dir: str, name: str) -> str:
+    return f"{sf_dir.rstrip('/')}/{name}.parquet"
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One table of ``sf_dir``; Catalyst prunes columns and pushes filters into the Parquet scan."""
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    return spark.read.parquet(table_path(sf_dir, name))
+
+
+def stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """One table as a stream of its files; a pattern, since a single file is no base path of a stream."""
+    path = table_path(sf_dir, name)
+    return spark.readStream.schema(table(spark, sf_dir, name).schema).parquet(f"{path[:-1]}[{path[-1]}]")
 
 
 def spread(df: DataFrame) -> DataFrame:

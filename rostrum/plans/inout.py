@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..catalog import table
+from ..catalog import stream, table
 from ..operators import spatial
 from ..session import scratch_path
-from ..sources import readers, sinks, tile_archive, vector_tiles
-from ..streaming import live
+from ..sources import ledger, readers, sinks, tile_archive, vector_tiles
+from ..streaming import live, polling
 from .analytics import _THIN
 from .registry import query
 
@@ -123,3 +123,48 @@ def t01_bounded_dedup(spark, sf_dir):
 def t04_session_gaps(spark, sf_dir):
     e = table(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp"))
     return live.session_counts(e, "ts", ["user_id"], "6 hours").select("user_id", F.unix_seconds("start").alias("start_s"), "n")
+
+
+@query("""WITH c AS (SELECT conv_id, turn, unnest([turn, turn + 1, turn + 2]) AS chunk FROM conversations) SELECT CAST(conv_id AS VARCHAR) AS playlist, 'chunk-' || CAST(chunk AS VARCHAR) AS chunk, CAST(min(turn) AS INT) AS poll FROM c GROUP BY conv_id, chunk""")
+def t01_polled_chunks(spark, sf_dir):
+    """Every turn is a poll of its conversation's playlist that shows three chunks."""
+    polls = stream(spark, sf_dir, "conversations")
+    chunk = F.posexplode(F.transform(F.array(*map(F.lit, range(3))), lambda i: F.concat(F.lit("chunk-"), (F.col("turn") + i).cast("string")))).alias("place", "chunk")
+    polls = polls.select(F.col("turn").cast("int").alias("poll"), F.timestamp_seconds(F.col("turn")).alias("at"), F.col("conv_id").cast("string").alias("playlist"), chunk)
+    out = polling.finished(polling.fresh_chunks(polls), scratch_path(spark, "chunks"), scratch_path(spark, "chunks-checkpoint"))
+    return out.select("playlist", "chunk", "poll")
+
+
+@query("""WITH e AS (SELECT user_id, epoch_us(ts) AS t, lead(epoch_us(ts)) OVER (PARTITION BY user_id ORDER BY ts) AS nxt, max(epoch_us(ts)) OVER () AS top FROM events)
+  SELECT user_id, t AS at_us, 'show' AS action FROM e UNION ALL SELECT user_id, t + 40000000, 'clear' FROM e WHERE nxt - t > 40000000 OR (nxt IS NULL AND (top - 10000000) // 1000 > t // 1000 + 40000)""")
+def t04_overlay_clears(spark, sf_dir):
+    e = stream(spark, sf_dir, "events").select("user_id", F.col("ts").cast("timestamp").alias("ts"))
+    out = polling.finished(polling.overlay(e, "user_id", "ts"), scratch_path(spark, "overlay"), scratch_path(spark, "overlay-checkpoint"))
+    return out.select("user_id", F.unix_micros("at").alias("at_us"), "action")
+
+
+def _answer(broken: bool):
+    """Nothing for every fifth conversation; one in seven fails, always or at the first attempt."""
+
+    def answer(key: str, attempt: int) -> str | None:
+        n = int(key)
+        if n % 5 == 0:
+            return None
+        if n % 7 == 1 and (broken or attempt == 1):
+            raise TimeoutError
+        return f"captions of {n}"
+
+    return answer
+
+
+@query("""WITH k AS (SELECT DISTINCT conv_id AS n FROM conversations), s AS (SELECT *, n % 5 <> 0 AND n % 7 = 1 AS failing FROM k)
+  SELECT CAST(n AS VARCHAR) AS key, CASE WHEN n % 5 = 0 THEN 'none' ELSE 'found' END AS state, CASE WHEN failing THEN 2 ELSE 1 END AS asked, CASE WHEN failing THEN 172800 WHEN n % 2 = 0 THEN 0 ELSE 3600 END AS at_s, CASE WHEN n % 5 <> 0 THEN 'captions of ' || CAST(n AS VARCHAR) END AS payload FROM s""")
+def s09_fetch_ledger(spark, sf_dir):
+    """Three runs: half of the keys, all an hour later, and all after two days, when failures are due again."""
+    keys, path = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("key")), scratch_path(spark, "ledger")
+    ledger.fetch(keys.where("key % 2 = 0"), ledger.Recorded(_answer(True)), path, "1970-01-01 00:00:00")
+    ledger.fetch(keys, ledger.Recorded(_answer(True)), path, "1970-01-01 01:00:00")
+    ledger.fetch(keys, ledger.Recorded(_answer(False)), path, "1970-01-03 00:00:00")
+    rows = ledger.read(spark, path)
+    asked = rows.groupBy("key").agg(F.count("*").cast("int").alias("asked"))
+    return ledger.latest(rows).join(asked, "key").select("key", "state", "asked", F.unix_seconds("at").cast("int").alias("at_s"), "payload")
