@@ -147,8 +147,9 @@ def content_version(text: Column) -> Column:
 
 
 def fnv1a36(text: Column) -> Column:
-    """FNV-1a, 32 bits, of ASCII text, in base 36."""
-    codes = F.transform(F.filter(F.split(text, ""), lambda c: c != ""), lambda c: F.ascii(c).cast("long"))
+    """FNV-1a, 32 bits, over the text's UTF-16 code units, in base 36."""
+    units = F.regexp_extract_all(F.hex(F.encode(text, "UTF-16BE")), F.lit(".{4}"), F.lit(0))
+    codes = F.transform(units, lambda u: F.conv(u, 16, 10).cast("long"))
     h = F.aggregate(codes, F.lit(2166136261).cast("long"), lambda a, c: F.pmod(a.bitwiseXOR(c) * F.lit(16777619), F.lit(1 << 32)))
     return F.lower(F.conv(h.cast("string"), 10, 36))
 

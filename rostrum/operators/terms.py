@@ -36,6 +36,23 @@ def contrast(toks: DataFrame, sides: DataFrame, min_df: int) -> DataFrame:
     return c.crossJoin(F.broadcast(n)).select("term", F.round(F.col("a") / F.col("na") - F.col("b") / F.col("nb"), 9).alias("contrast"))  # one row of totals
 
 
+def contrast_weights(weights: DataFrame, members: DataFrame, n: int) -> DataFrame:
+    """child, term, contrast: the ``n`` terms whose mean weight in a child is most above that in its parent.
+
+    ``weights``: doc_id, term, weight; ``members``: doc_id, child, parent (each child in one parent; rows without either take no part).
+    Documents without a term count with weight 0; ties go to the lesser term, and contrasts of 0 or less are left out.
+    """
+    m = members.where("child IS NOT NULL AND parent IS NOT NULL")
+    sizes = m.groupBy("parent", "child").agg(F.count("*").alias("own"))
+    sizes = sizes.join(sizes.groupBy("parent").agg(F.sum("own").alias("all")), "parent")
+    # One partial sum for each child and term; the parents' sums are over those.
+    c = weights.join(m, "doc_id").groupBy("parent", "child", "term").agg(F.sum("weight").alias("w"))
+    p = c.groupBy("parent", "term").agg(F.sum("w").alias("pw"))
+    both = c.join(p, ["parent", "term"]).join(sizes, ["parent", "child"])
+    d = both.select("child", "term", F.round(F.col("w") / F.col("own") - F.col("pw") / F.col("all"), 9).alias("contrast")).where("contrast > 0")
+    return best_per_group(d, ["child"], [F.desc("contrast"), F.col("term")], n)
+
+
 def diffuse(toks: DataFrame, points: DataFrame, min_df: int, most: float) -> DataFrame:
     """Terms whose documents lie scattered: spread of their points over the spread of all."""
     spread = F.sqrt(F.var_pop("x") + F.var_pop("y"))
@@ -63,7 +80,7 @@ def with_pairs(df: DataFrame, key: str, text: str, least: int) -> DataFrame:
     w = F.regexp_extract_all(F.lower(text), F.lit("[a-zà-ÿ]{%d,}" % least), F.lit(0))
     pairs = F.transform(F.sequence(F.lit(1), F.size("w") - 1), lambda i: F.concat_ws(" ", F.element_at("w", i), F.element_at("w", i + 1)))
     terms = F.when(F.size("w") > 1, F.concat("w", pairs)).otherwise(F.col("w"))
-    return df.select(F.col(key).alias("id"), w.alias("w")).select("id", F.explode(terms).alias("term"))
+    return spread(df.select(key, text)).select(F.col(key).alias("id"), w.alias("w")).select("id", F.explode(terms).alias("term"))
 
 
 def best_match(queries: DataFrame, docs: DataFrame, n_docs: int, query_id: str, doc_id: str, least: float) -> DataFrame:

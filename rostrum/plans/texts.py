@@ -150,8 +150,9 @@ def x11_slugify(spark, sf_dir):
 
 def fnv_reference(s: str) -> str:
     h = 2166136261
-    for c in s.encode("utf-16-le")[::2]:
-        h = (h ^ c) * 16777619 % (1 << 32)
+    raw = s.encode("utf-16-be")
+    for c in zip(raw[::2], raw[1::2], strict=True):
+        h = (h ^ (c[0] << 8 | c[1])) * 16777619 % (1 << 32)
     digits = ""
     while h or not digits:
         h, d = divmod(h, 36)
@@ -164,6 +165,14 @@ def x12_fnv_ids(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", text.fnv1a36(F.col("url")).alias("debate_id"))
 
 
+@query("""WITH c AS (SELECT doc_id, list_transform(string_split(substr(text, 1, 60), ''), lambda c: CAST(unicode(c) AS BIGINT)) AS p FROM documents WHERE text IS NOT NULL),
+  u AS (SELECT doc_id, flatten(list_transform(p, lambda x: CASE WHEN x < 65536 THEN [x] ELSE [55296 + ((x - 65536) >> 10), 56320 + ((x - 65536) & 1023)] END)) AS units FROM c)
+  SELECT doc_id, lower(to_base(list_reduce(list_prepend(CAST(2166136261 AS BIGINT), units), lambda a, x: xor(a, x) * 16777619 % 4294967296), 36)) AS id FROM u WHERE len(units) > 0""")
+def x12_fnv_units(spark, sf_dir):
+    head = F.substr("text", F.lit(1), F.lit(60))
+    return table(spark, sf_dir, "documents").where("text <> ''").select("doc_id", text.fnv1a36(head).alias("id"))
+
+
 @query("SELECT user_id, coalesce(upper(t[1][1]) || lower(substr(t[1], 2)), 'Overig') AS title FROM (SELECT user_id, list_sort(list_distinct(list(event_type))) AS t FROM events GROUP BY 1)")
 def x16_term_title(spark, sf_dir):
     e = table(spark, sf_dir, "events").groupBy("user_id").agg(F.array_sort(F.collect_set("event_type")).alias("t"))
@@ -448,6 +457,20 @@ def c15_contrastive_terms(spark, sf_dir):
     return terms.contrast(terms.tokens(d, "doc_id", "text", 3), d.select("doc_id", (F.col("lang") == "de").alias("inside")), 3).orderBy(F.desc("contrast"), "term").limit(25)
 
 
+@query(r"""WITH w AS (SELECT doc_id, regexp_extract_all(lower(text), '[a-zà-ÿ]{3,}') AS w FROM documents), g AS (SELECT doc_id, unnest(list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]))) AS term FROM w),
+  t AS (SELECT doc_id, term, count(*) AS tf FROM g GROUP BY 1, 2), n AS (SELECT count(*) AS n FROM documents), d AS (SELECT term, count(*) AS df FROM t GROUP BY 1),
+  x AS (SELECT doc_id, term, tf * (ln((1.0 + n) / (1 + df)) + 1) AS w FROM t JOIN d USING (term), n WHERE df >= 3 AND df <= 0.25 * n), l AS (SELECT doc_id, sqrt(sum(w * w)) AS l FROM x GROUP BY 1),
+  m AS (SELECT doc_id, lang AS parent, lang || '/' || source AS child FROM documents), s AS (SELECT parent, child, count(*) AS own FROM m WHERE child IS NOT NULL GROUP BY 1, 2), sp AS (SELECT parent, sum(own) AS every FROM s GROUP BY 1),
+  c AS (SELECT parent, child, term, sum(w / l) AS w FROM x JOIN l USING (doc_id) JOIN m USING (doc_id) WHERE child IS NOT NULL GROUP BY 1, 2, 3), p AS (SELECT parent, term, sum(w) AS pw FROM c GROUP BY 1, 2),
+  r AS (SELECT child, term, round(w / own - pw / every, 9) AS contrast FROM c JOIN p USING (parent, term) JOIN s USING (parent, child) JOIN sp USING (parent))
+  SELECT child, term, contrast FROM r WHERE contrast > 0 QUALIFY row_number() OVER (PARTITION BY child ORDER BY contrast DESC, term) <= 6""")
+def c15_contrast_weights(spark, sf_dir):
+    """Words and pairs that tell the documents of a language and source from those of the language."""
+    d = table(spark, sf_dir, "documents")
+    w = terms.tfidf(terms.with_pairs(d, "doc_id", "text", 3), d.count(), 3, 0.25)
+    return terms.contrast_weights(w, d.select("doc_id", F.col("lang").alias("parent"), F.concat_ws("/", "lang", "source").alias("child")).where("lang IS NOT NULL AND source IS NOT NULL"), 6)
+
+
 @query(f"""WITH t AS (SELECT DISTINCT doc_id, term FROM {_TOK}), p AS (SELECT vec_id AS doc_id, CAST(embedding[1] AS DOUBLE) AS x, CAST(embedding[2] AS DOUBLE) AS y FROM embeddings), g AS (SELECT sqrt(var_pop(x) + var_pop(y)) AS s FROM p)
   SELECT term, df, round(d / s, 7) AS dispersion FROM (SELECT term, count(*) AS df, sqrt(var_pop(x) + var_pop(y)) AS d FROM t JOIN p USING (doc_id) GROUP BY 1 HAVING count(*) >= 5), g WHERE d / s > 0.55""")
 def c14_diffuse_terms(spark, sf_dir):

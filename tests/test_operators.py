@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from rostrum import catalog
 from rostrum.functions import jsons, maths, temporal, text
-from rostrum.operators import aggregates, contingency, facets, graph, intervals, merge, projection, relational, similarity, spans, spatial, validation
+from rostrum.operators import aggregates, contingency, facets, graph, intervals, merge, projection, relational, similarity, spans, spatial, terms, validation
 from rostrum.plans import registry, texts
 
 
@@ -337,3 +337,17 @@ def test_spread_moves_small_tables_only(spark):
     assert catalog.spread(one).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
     many = spark.range(0, 10, 1, 9)
     assert catalog.spread(many) is many
+
+
+def test_fnv_over_utf16_units(spark):
+    words = ["", "a", "é", "日本", "🙂 x", "ÿ" * 300]
+    got = spark.createDataFrame([(w,) for w in words], "t string").select("t", text.fnv1a36(F.col("t")).alias("h")).collect()
+    assert {r.t: r.h for r in got} == {w: texts.fnv_reference(w) for w in words}
+
+
+def test_contrast_of_mean_weights(spark):
+    w = spark.createDataFrame([(1, "a", 1.0), (2, "a", 0.5), (2, "b", 0.5), (3, "b", 1.0), (4, "c", 1.0), (9, "a", 1.0)], "doc_id int, term string, weight double")
+    m = spark.createDataFrame([(1, "x", "p"), (2, "x", "p"), (3, "y", "p"), (5, "y", "p"), (4, "z", "q"), (9, None, "p")], "doc_id int, child string, parent string")
+    got = {(r.child, r.term): r.contrast for r in terms.contrast_weights(w, m, 5).collect()}
+    # a: 1.5 / 2 in x, 1.5 / 4 in p; b: 0.5 / 2 in x and 1 / 2 in y, 1.5 / 4 in p; c: the same in z and q.
+    assert got == {("x", "a"): 0.375, ("y", "b"): 0.125}
