@@ -136,30 +136,6 @@ def pair_similarity(df: DataFrame, cluster: str, key: str, vec: str) -> DataFram
     return d.groupBy(cluster).agg(F.avg(cosine(F.col(vec), F.col("__first"))).alias("similarity"), F.count("*").alias("n"))
 
 
-def nearest_polygon(points: DataFrame, hulls: DataFrame, name: str, most: int = 100_000) -> DataFrame:
-    """id, nearest polygon and distance to its edge (0 inside); polygons are few and their number is checked."""
-    polys = [(r[name], np.array(r["xs"]), np.array(r["ys"])) for r in hulls.orderBy(name).limit(most + 1).collect()]
-    if len(polys) > most:
-        raise ValueError("too many polygons to send to every task")
-    kinds, pk = dict(hulls.dtypes)[name], dict(points.dtypes)["id"]
-
-    def run(batches):
-        for b in batches:
-            p, best, dist = b[["x", "y"]].to_numpy(), [None] * len(b), np.full(len(b), np.inf)
-            for label, xs, ys in polys:
-                a = np.c_[xs, ys]
-                e = np.roll(a, -1, axis=0) - a
-                t = np.clip(((p[:, None] - a) * e).sum(axis=2) / np.maximum((e * e).sum(axis=1), 1e-12), 0, 1)
-                d = np.sqrt((((a + t[..., None] * e) - p[:, None]) ** 2).sum(axis=2).min(axis=1))
-                d[[spatial.contains(x, y, xs, ys) for x, y in p]] = 0
-                for i in np.flatnonzero(d < dist):
-                    best[i] = label
-                dist = np.minimum(dist, d)
-            yield pd.DataFrame({"id": b["id"], name: best, "distance": dist})
-
-    return points.select("id", "x", "y").mapInPandas(run, f"id {pk}, {name} {kinds}, distance double")
-
-
 def semantic_grid(points: DataFrame, cell: float, radius: float, k: int) -> DataFrame:
     """Per cell with enough near points: the dominant label by Gaussian weight of its ``k`` nearest points."""
     centres = spatial.cells(points, cell).select(F.concat_ws("/", "ix", "iy").alias("id"), ((F.col("ix") + 0.5) * cell).alias("x"), ((F.col("iy") + 0.5) * cell).alias("y"))

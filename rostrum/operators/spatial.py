@@ -288,3 +288,63 @@ def smooth_hulls(hulls: DataFrame, name: str, samples: int = 60) -> DataFrame:
 
     kind = dict(hulls.dtypes)[name]
     return hulls.select(name, "xs", "ys").mapInPandas(run, f"{name} {kind}, xs array<double>, ys array<double>")
+
+
+def nearest_polygons(points: DataFrame, polygons: DataFrame, name: str, width: float) -> DataFrame:
+    """id, nearest polygon (name, xs, ys: corners in order) and the distance to its edge, 0 inside; ties go to the lesser name.
+
+    Polygons around a point are found by the cells of their bounding boxes, each filed at the width that it fits in.  Points outside all look for
+    edges in their own and adjacent cells of ``width``, and where the nearest lies beyond a cell's width again in cells twice as
+    wide, until all are settled.  Points without finite coordinates have no polygon; nor has any point if there are no corners.
+    """
+    kind = dict(polygons.dtypes)[name]
+    shape = polygons.where(F.size("xs") > 0).select(F.col(name).alias("name"), *[F.transform(c, lambda v: v.cast("double")).alias(c) for c in ("xs", "ys")])
+    ring = F.transform(F.sequence(F.lit(0), F.size("xs") - 1), lambda i: F.struct(*[F.get(c, (i + k) % F.size("xs")).alias(f"{c[0]}{k}") for k in (0, 1) for c in ("xs", "ys")]))
+    shape = scratch(shape.withColumn("edges", ring), "polygons")
+    finite = lambda c: F.col(c).between(-1e300, 1e300)
+    left = points.where(finite("x") & finite("y")).select("id", F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"))
+
+    # Inside: a box of size s is filed under the up to four cells of the width 2^l * width >= s.
+    box = shape.select("name", "edges", *[f(c).alias(n) for n, f, c in (("lx", F.array_min, "xs"), ("hx", F.array_max, "xs"), ("ly", F.array_min, "ys"), ("hy", F.array_max, "ys"))])
+    level = F.greatest(F.lit(0), F.ceil(F.log2(F.greatest(F.col("hx") - F.col("lx"), F.col("hy") - F.col("ly"), F.lit(width)) / width))).cast("int")
+    box = box.withColumn("level", level)
+    cell = lambda c: F.floor(F.col(c) / (F.pow(F.lit(2.0), "level") * width)).cast("long")
+    filed = box.withColumn("cx", F.explode(F.sequence(cell("lx"), cell("hx")))).withColumn("cy", F.explode(F.sequence(cell("ly"), cell("hy"))))
+    used = box.agg(F.sort_array(F.collect_set("level")).alias("levels"))  # one row, a number for each doubling
+    asked = left.crossJoin(F.broadcast(used)).withColumn("level", F.explode("levels"))
+    near = asked.select("id", "x", "y", "level", cell("x").alias("cx"), cell("y").alias("cy")).join(filed, ["level", "cx", "cy"])
+    near = near.where(F.col("x").between(F.col("lx"), F.col("hx")) & F.col("y").between(F.col("ly"), F.col("hy")))
+    x, y = F.col("x"), F.col("y")
+    crossed = lambda e: ((e["y0"] > y) != (e["y1"] > y)) & (x < e["x0"] + (y - e["y0"]) / (e["y1"] - e["y0"]) * (e["x1"] - e["x0"]))
+    inside = near.where(F.size(F.filter("edges", crossed)) % 2 == 1).groupBy("id").agg(F.min("name").alias("name"))
+    inside = scratch(inside, "inside")
+    settled = [inside.select("id", "name", F.lit(0.0).alias("distance"))]
+    left = scratch(left.join(inside.select("id"), "id", "left_anti"), "outside")
+
+    edges = scratch(shape.select("name", F.inline("edges")), "edges")
+    length = F.greatest(F.abs(F.col("x1") - F.col("x0")), F.abs(F.col("y1") - F.col("y0")))
+    span = edges.agg(F.count("*").alias("n"), F.max(F.greatest(F.abs("x0"), F.abs("y0"))).alias("far"), F.avg(length).alias("long")).first()
+    if span.n:
+        reach = left.agg(F.max(F.greatest(F.abs("x"), F.abs("y"))).alias("far")).first().far or 0.0
+        width = max(width, 2 * span.long)
+        offs = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a in (-1, 0, 1) for b in (-1, 0, 1)])
+        dx, dy = F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0")
+        t = F.least(F.greatest(((x - F.col("x0")) * dx + (y - F.col("y0")) * dy) / F.greatest(dx * dx + dy * dy, F.lit(1e-12)), F.lit(0.0)), F.lit(1.0))
+        d = F.sqrt(F.pow(F.col("x0") + t * dx - x, 2) + F.pow(F.col("y0") + t * dy - y, 2))
+        while not left.isEmpty():
+            at = lambda c: F.floor(c / width).cast("long")  # noqa: E731, B023
+            cells_of = lambda c: F.explode(F.sequence(at(F.least(f"{c}0", f"{c}1")), at(F.greatest(f"{c}0", f"{c}1"))))  # noqa: E731, B023
+            own = edges.withColumn("cx", cells_of("x")).withColumn("cy", cells_of("y"))
+            looked = left.withColumn("o", F.explode(offs)).select("id", "x", "y", (at(x) + F.col("o.a")).alias("cx"), (at(y) + F.col("o.b")).alias("cy"))
+            best = looked.join(own, ["cx", "cy"]).groupBy("id").agg(F.min(F.struct(d.alias("distance"), "name")).alias("m"))
+            last = width > 2 * (span.far + reach) + 1
+            got = scratch(left.join(best if last else best.where(F.col("m.distance") <= width), "id", "left"), "nearest-edges")
+            settled.append(got.where("m IS NOT NULL").select("id", "m.name", "m.distance"))
+            left = got.where("m IS NULL").select("id", "x", "y")
+            if last:
+                break
+            width *= 2
+    out = settled[0]
+    for s in settled[1:]:
+        out = out.unionByName(s.select("id", "name", "distance"))
+    return points.select("id").join(out, "id", "left").select("id", F.col("name").cast(kind).alias(name), "distance")

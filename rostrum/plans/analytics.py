@@ -232,10 +232,8 @@ def j28_v07_hull_overlaps(spark, sf_dir):
 
 @query()
 def j27_nearest_hull(spark, sf_dir):
-    from ..operators.projection import nearest_polygon
-
     p = points(spark, sf_dir).select("id", "label", "x", "y")
-    return nearest_polygon(p.select("id", "x", "y"), spatial.hulls(p, "label"), "label")
+    return spatial.nearest_polygons(p.select("id", "x", "y"), spatial.hulls(p, "label"), "label", 0.5)
 
 
 @query(f"""WITH t AS (SELECT DISTINCT doc_id, term FROM (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[a-zà-ÿ]{{3,}}')) AS term FROM documents)), m AS (SELECT vec_id AS doc_id, label AS cluster FROM embeddings), tot AS (SELECT count(*) AS n FROM m),

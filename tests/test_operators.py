@@ -351,3 +351,30 @@ def test_contrast_of_mean_weights(spark):
     got = {(r.child, r.term): r.contrast for r in terms.contrast_weights(w, m, 5).collect()}
     # a: 1.5 / 2 in x, 1.5 / 4 in p; b: 0.5 / 2 in x and 1 / 2 in y, 1.5 / 4 in p; c: the same in z and q.
     assert got == {("x", "a"): 0.375, ("y", "b"): 0.125}
+
+
+def test_nearest_polygons_equal_all_pairs(spark):
+    rng = np.random.default_rng(8)
+    polys = {}
+    for k in range(12):
+        c, n, r = rng.uniform(-20, 20, 2), rng.integers(3, 9), rng.uniform(0.2, 6)
+        a = np.sort(rng.uniform(0, 2 * np.pi, n))
+        polys[f"p{k:02d}"] = np.c_[c[0] + r * np.cos(a), c[1] + r * np.sin(a)]
+    polys["point"], polys["line"], polys["far"] = np.array([[3.0, 3.0]]), np.array([[0.0, 30.0], [9.0, 30.0]]), np.array([[900.0, 900.0], [901.0, 900.0], [900.0, 901.0]])
+    polys["z-same"] = polys["p00"]
+    pts = np.concatenate([rng.uniform(-30, 30, (300, 2)), [[3.0, 3.0], [500.0, 500.0], [-4000.0, 0.0]]])
+    df = spark.createDataFrame([(i, float(x), float(y)) for i, (x, y) in enumerate(pts)] + [(998, None, 1.0), (999, float("nan"), 1.0)], "id long, x double, y double")
+    shapes = spark.createDataFrame([(k, v[:, 0].tolist(), v[:, 1].tolist()) for k, v in polys.items()] + [("none", [], [])], "name string, xs array<double>, ys array<double>")
+    got = {r.id: (r.name, r.distance) for r in spatial.nearest_polygons(df, shapes, "name", 0.5).collect()}
+    assert got.pop(998) == got.pop(999) == (None, None) and len(got) == len(pts)
+    for i, p in enumerate(pts):
+        best = []
+        for k, v in sorted(polys.items()):
+            e = np.roll(v, -1, axis=0) - v
+            t = np.clip(((p - v) * e).sum(axis=1) / np.maximum((e * e).sum(axis=1), 1e-12), 0, 1)
+            d = float(np.sqrt(((v + t[:, None] * e - p) ** 2).sum(axis=1).min()))
+            best.append((0.0 if spatial.contains(*p, v[:, 0], v[:, 1]) else d, k))
+        want = min(best)
+        assert abs(got[i][1] - want[0]) < 1e-9 and (got[i][0] == want[1] or any(k == got[i][0] and abs(d - want[0]) < 1e-12 for d, k in best))
+    assert {r.name for r in spatial.nearest_polygons(df.where("id < 5"), shapes.where("name = 'none'"), "name", 0.5).collect()} == {None}
+    assert spatial.nearest_polygons(df.where("id < 0"), shapes, "name", 0.5).count() == 0
