@@ -59,3 +59,26 @@ def keep_relations(relations: DataFrame, checks: DataFrame, threshold: float) ->
     """Relations with a check of enough strength (legacy yes/no counts 1/0); a check's scheme replaces theirs."""
     c = checks.select("relation", F.coalesce("strength", F.col("legacy").cast("double")).alias("s"), F.col("scheme").alias("new_scheme"))
     return relations.join(c, "relation").where(F.col("s") >= threshold).withColumn("scheme", F.coalesce("new_scheme", "scheme")).drop("new_scheme", "s")
+
+
+def list_entries(band: DataFrame, edges: DataFrame, loose_nodes: DataFrame) -> DataFrame:
+    """scope, side, place, id, kind, ref_band: what the list of a side and scope shows, one row an entry.
+
+    ``band`` as of :func:`bands`; ``loose_nodes``: node, side.  A band's scope is its id: its argument at place 0, the arguments that support it
+    directly behind it (kind ``kid``, in order of id), or, where the argument belongs to an earlier band, one ``ref`` to that.  Arguments outside all
+    bands have a null scope and no place.  All scopes together are the list of everything.
+    """
+    own = band.where("kind = 'node'")
+    heads = own.select(F.col("band").alias("scope"), "side", F.lit(0).alias("place"), F.col("top").alias("id"), F.lit("node").alias("kind"), F.lit(None).cast(dict(band.dtypes)["band"]).alias("ref_band"))
+    kid = own.join(edges, own["top"] == edges["parent"]).withColumn("place", F.row_number().over(Window.partitionBy("top").orderBy("child")))
+    kids = kid.select(F.col("band").alias("scope"), "side", "place", F.col("child").alias("id"), F.lit("kid").alias("kind"), F.lit(None).alias("ref_band"))
+    home = own.select("top", F.col("band").alias("ref_band"))
+    refs = band.where("kind = 'reference'").join(home, "top").select(F.col("band").alias("scope"), "side", F.lit(0).alias("place"), F.col("top").alias("id"), F.lit("ref").alias("kind"), "ref_band")
+    rest = loose_nodes.select(F.lit(None).alias("scope"), "side", F.lit(None).alias("place"), F.col("node").alias("id"), F.lit("node").alias("kind"), F.lit(None).alias("ref_band"))
+    return heads.unionByName(kids).unionByName(refs).unionByName(rest)
+
+
+def opposition_partners(conflicts: DataFrame) -> DataFrame:
+    """node, partners: for each argument those it stands against, in either direction, sorted and each once."""
+    both = conflicts.select(F.col("a").alias("node"), F.col("b").alias("other")).unionByName(conflicts.select(F.col("b").alias("node"), F.col("a").alias("other")))
+    return both.groupBy("node").agg(F.sort_array(F.collect_set("other")).alias("partners"))

@@ -37,3 +37,15 @@ def medoids(vectors: DataFrame, group: str, n: int = 3, id_col: str = "vec_id",
     s = vectors.join(centroids(vectors, group, vec), group).select(group, id_col, F.round(cosine(F.col(vec), F.col("centroid")), 9).alias("score"))
     w = Window.partitionBy(group).orderBy(F.desc("score"), id_col)
     return s.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= n)
+
+
+def map_metrics(arguments: DataFrame, sources: DataFrame, source: str, cluster: str) -> DataFrame:
+    """cluster, n, median, p90, same_cluster: how far arguments (id, x, y, source) lie from their source (id, x, y) on the map.
+
+    ``same_cluster`` is the share of arguments in their source's cluster; arguments without a source are left out.
+    """
+    s = sources.select(F.col("id").alias(source), F.col("x").alias("sx"), F.col("y").alias("sy"), F.col(cluster).alias("__c"))
+    d = F.sqrt(F.pow(F.col("x") - F.col("sx"), 2) + F.pow(F.col("y") - F.col("sy"), 2))
+    j = arguments.join(s, source).withColumn("__d", d)
+    same = F.avg(F.when(F.col(cluster).eqNullSafe(F.col("__c")), 1.0).otherwise(0.0))
+    return j.groupBy(cluster).agg(F.count("*").alias("n"), F.percentile("__d", F.lit(0.5)).alias("median"), F.percentile("__d", F.lit(0.9)).alias("p90"), same.alias("same_cluster"))

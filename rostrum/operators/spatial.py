@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions.maths import tile, uniform_from_id
 from ..session import scratch
+from .relational import dense_ids
 
 
 def cells(points: DataFrame, size: float, by: list[str] = ()) -> DataFrame:
@@ -153,7 +154,7 @@ def grid_clusters(points: DataFrame, size: float, least: int) -> DataFrame:
         dense = new
         if changed:
             break
-    ids = dense.groupBy("label").agg(F.count("*").alias("n")).select("label", (F.row_number().over(Window.orderBy("label")) - 1).cast("int").alias("cluster"))
+    ids = dense_ids(dense.select("label").distinct(), [F.col("label")], "cluster").select("label", F.col("cluster").cast("int"))
     return c.join(dense.join(ids, "label").select("ix", "iy", "cluster"), ["ix", "iy"], "left").select("id", F.coalesce("cluster", F.lit(-1)).alias("cluster"))
 
 

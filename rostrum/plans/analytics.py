@@ -315,6 +315,33 @@ def c09_tree_navigation(spark, sf_dir):
     return n.select("node").join(e.select(F.col("child").alias("node"), "parent"), "node", "left").join(kids, "node", "left").select("node", "parent", F.coalesce("kids", F.lit(0)).alias("kids"))
 
 
+@query(f"""{_CONF}, b AS (SELECT id, x.top AS pt, y.top AS ct FROM c JOIN t x ON x.node = a JOIN t y ON y.node = b), s AS (SELECT id, 0 AS side, pt AS top FROM b UNION ALL SELECT id, 1, ct FROM b),
+  k AS (SELECT id AS band, CASE side WHEN 0 THEN 'pro' ELSE 'contra' END AS side, top, row_number() OVER (PARTITION BY top ORDER BY id, side) = 1 AS own FROM s), home AS (SELECT top, band AS ref_band FROM k WHERE own), ed AS (SELECT node AS child, node // 5 AS parent FROM n WHERE node % 5 <> 0 AND node // 5 IN (SELECT node FROM n))
+  SELECT band AS scope, side, 0 AS place, top AS id, 'node' AS kind, CAST(NULL AS BIGINT) AS ref_band FROM k WHERE own UNION ALL SELECT band, side, row_number() OVER (PARTITION BY top ORDER BY child), child, 'kid', NULL FROM k JOIN ed ON ed.parent = top WHERE own
+  UNION ALL SELECT band, side, 0, top, 'ref', ref_band FROM k JOIN home USING (top) WHERE NOT own UNION ALL SELECT NULL, CASE WHEN stance = 'F' THEN 'pro' ELSE 'contra' END, NULL, node, 'node', NULL FROM t JOIN n USING (node) WHERE top NOT IN (SELECT top FROM k)""")
+def c09_list_entries(spark, sf_dir):
+    n, e = tree(spark, sf_dir)
+    tops = graph.top_ancestors(e, n)
+    band = graph.bands(conflicts(spark, sf_dir), tops)
+    side = F.when(F.col("stance") == "F", "pro").otherwise("contra").alias("side")
+    return graph.list_entries(band, e, graph.loose(n, tops, band).join(n, "node").select("node", side))
+
+
+@query(f"""{_CONF}, p AS (SELECT a AS node, b AS other FROM c UNION SELECT b, a FROM c) SELECT node, string_agg(CAST(other AS VARCHAR), ',' ORDER BY other) AS partners FROM p GROUP BY 1""")
+def c09_opposition_partners(spark, sf_dir):
+    p = graph.opposition_partners(conflicts(spark, sf_dir))
+    return p.select("node", F.array_join(F.transform("partners", lambda v: v.cast("string")), ",").alias("partners"))
+
+
+@query(f"""WITH p AS {_PTS}, d AS (SELECT a.label, sqrt(pow(a.x - b.x, 2) + pow(a.y - b.y, 2)) AS d, a.label = b.label AS same FROM p a JOIN p b ON b.id = a.id - a.id % 4 WHERE a.id % 4 <> 0)
+  SELECT label, count(*) AS n, round(quantile_cont(d, 0.5), 7) AS median, round(quantile_cont(d, 0.9), 7) AS p90, round(avg(CASE WHEN same THEN 1.0 ELSE 0.0 END), 9) AS same_cluster FROM d GROUP BY 1""")
+def c32_map_metrics(spark, sf_dir):
+    """Every fourth point is a source; the three behind it are its arguments."""
+    p = points(spark, sf_dir)
+    own = p.where("id % 4 <> 0").withColumn("source", F.col("id") - F.col("id") % 4)
+    return similarity.map_metrics(own, p.where("id % 4 = 0"), "source", "label").select("label", "n", *[F.round(c, 7).alias(c) for c in ("median", "p90")], F.round("same_cluster", 9).alias("same_cluster"))
+
+
 @query("""WITH n AS (SELECT o_orderkey AS node, o_orderstatus AS stance FROM orders), c AS (SELECT node AS id, node AS a, node + 1 AS b FROM n WHERE node % 7 = 1)
   SELECT id, a, b, CASE WHEN y.node IS NULL THEN 'unknown node' ELSE 'equal stances' END AS reason FROM c JOIN n x ON x.node = a LEFT JOIN n y ON y.node = b WHERE y.node IS NULL OR x.stance = y.stance""")
 def v04_conflict_rules(spark, sf_dir):
