@@ -100,3 +100,48 @@ def best_match(queries: DataFrame, docs: DataFrame, n_docs: int, query_id: str,
     s = s.join(la.select(F.col("id").alias(query_id), F.col("l").alias("lq")), query_id).join(lb.select(F.col("id").alias(doc_id), F.col("l").alias("ld")), doc_id)
     s = s.select(query_id, doc_id, F.round(F.col("s") / F.col("ld") / F.col("lq"), 7).alias("score")).where(F.col("score") >= least)
     return best_per_group(s, [query_id], [F.desc("score"), F.col(doc_id)])
+
+
+def representatives(members: DataFrame, hulls: DataFrame, near: int = 5) -> DataFrame:
+    """cluster, doc_id: the documents nearest to their cluster's centroid and those on the corners of its hull.
+
+    ``members``: doc_id, cluster, x, y; ``hulls``: cluster, cx, cy, xs, ys with corners that are members' places (of equal places the
+    least doc_id stands for the corner).
+    """
+    m = members.join(hulls.select("cluster", "cx", "cy"), "cluster")
+    d = F.pow(F.col("x") - F.col("cx"), 2) + F.pow(F.col("y") - F.col("cy"), 2)
+    middle = best_per_group(m.withColumn("__d", d), ["cluster"], [F.col("__d"), F.col("doc_id")], near).select("cluster", "doc_id")
+    corners = hulls.where(F.size("xs") >= 3).select("cluster", F.inline(F.arrays_zip(F.col("xs").alias("x"), F.col("ys").alias("y"))))
+    edge = members.join(corners, ["cluster", "x", "y"]).groupBy("cluster", "x", "y").agg(F.min("doc_id").alias("doc_id")).select("cluster", "doc_id")
+    return middle.unionByName(edge).distinct()
+
+
+def hull_anchored_terms(toks: DataFrame, members: DataFrame, hulls: DataFrame, n: int, base: DataFrame | None = None) -> DataFrame:
+    """cluster, term, inside, score: the ``n`` best terms of each cluster on a map.
+
+    The score is compactness (1 - the term's spread over that of all documents, 0.01 at least) x precision x coverage x contrast
+    (``base``: cluster, term, weight, 0.1 at least; 1 without) x (1 + 2 x its share of the representatives).  A term needs 2 documents of
+    the cluster, or from 25 documents on 2 % and 3 at least, and one representative; where a cluster has no such term the representative is not
+    asked for, and then 2 documents are enough.  ``toks``: id, term; ``members``: doc_id, cluster, x, y; only their documents count.
+    """
+    spread_of = F.sqrt(F.var_pop("x") + F.var_pop("y"))
+    t = toks.distinct().join(members.withColumnRenamed("doc_id", "id"), "id")
+    chosen = representatives(members, hulls)
+    sizes = members.groupBy("cluster").agg(F.count("*").alias("size")).join(chosen.groupBy("cluster").agg(F.count("*").alias("reps")), "cluster")
+    every = members.agg(spread_of.alias("all_spread"))
+    marked = t.join(chosen.select("cluster", F.col("doc_id").alias("id"), F.lit(1).alias("rep")), ["cluster", "id"], "left")
+    c = marked.groupBy("cluster", "term").agg(F.count("*").alias("inside"), F.count("rep").alias("rep_df"))
+    g = t.groupBy("term").agg(F.count("*").alias("df"), spread_of.alias("spread"))
+    j = c.where("inside >= 2").join(g, "term").join(sizes, "cluster").crossJoin(F.broadcast(every))  # one row
+    least = F.when(F.col("size") < 25, 2).otherwise(F.greatest(F.lit(3), F.floor(F.col("size") * 0.02)))
+    rung = F.when((F.col("inside") >= least) & (F.col("rep_df") >= 1), 0).when(F.col("inside") >= least, 1).otherwise(2)
+    # Terms of a cluster are many, so the best rung is an aggregate and not a window over them.
+    j = j.withColumn("rung", rung)
+    j = j.join(j.groupBy("cluster").agg(F.min("rung").alias("rung")), ["cluster", "rung"])
+    compact = F.greatest(F.lit(0.01), 1 - F.coalesce(F.try_divide("spread", "all_spread"), F.lit(1.0)))
+    boost = F.lit(1.0)
+    if base is not None:
+        j = j.join(base.select("cluster", "term", F.col("weight").alias("__w")), ["cluster", "term"], "left")
+        boost = F.greatest(F.lit(0.1), F.coalesce("__w", F.lit(0.0)))
+    score = compact * (F.col("inside") / F.col("df")) * (F.col("inside") / F.col("size")) * boost * (1 + 2 * F.col("rep_df") / F.col("reps"))
+    return best_per_group(j.select("cluster", "term", "inside", F.round(score, 9).alias("score")), ["cluster"], [F.desc("score"), F.col("term")], n)

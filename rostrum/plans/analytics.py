@@ -245,6 +245,15 @@ def c13_cluster_terms(spark, sf_dir):
     return terms.cluster_terms(terms.tokens(table(spark, sf_dir, "documents"), "doc_id", "text", 3), m, 8)
 
 
+@query()
+def c13_hull_terms(spark, sf_dir):
+    """Words and pairs for each label of the map, anchored at its middle and its outline."""
+    p = points(spark, sf_dir).select("id", "label", "x", "y")
+    hulls = spatial.hulls(p, "label").withColumnRenamed("label", "cluster")
+    m = p.select(F.col("id").alias("doc_id"), F.col("label").alias("cluster"), "x", "y")
+    return terms.hull_anchored_terms(terms.with_pairs(table(spark, sf_dir, "documents"), "doc_id", "text", 3), m, hulls, 8)
+
+
 @query()
 def c24_semantic_grid(spark, sf_dir):
     from ..operators.projection import semantic_grid

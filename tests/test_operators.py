@@ -378,3 +378,44 @@ def test_nearest_polygons_equal_all_pairs(spark):
         assert abs(got[i][1] - want[0]) < 1e-9 and (got[i][0] == want[1] or any(k == got[i][0] and abs(d - want[0]) < 1e-12 for d, k in best))
     assert {r.name for r in spatial.nearest_polygons(df.where("id < 5"), shapes.where("name = 'none'"), "name", 0.5).collect()} == {None}
     assert spatial.nearest_polygons(df.where("id < 0"), shapes, "name", 0.5).count() == 0
+
+
+def test_hull_anchored_terms_equal_the_definition(spark):
+    rng = np.random.default_rng(6)
+    places = {i: (("a", "b", "c")[i % 3], *rng.normal((8 * (i % 3), 0), 1.0)) for i in range(90)} | {100: ("tiny", 50.0, 50.0), 101: ("tiny", 50.0, 51.0)}
+    vocab = [f"w{k}" for k in range(25)]
+    words = {i: {vocab[int(k)] for k in rng.integers(0, 25, 4)} | {f"own-{c}"} for i, (c, _, _) in places.items()} | {500: {"w1"}}
+    words[100], words[101] = {"x", "only"}, {"x"}
+    for i in list(places)[:90]:  # a word of the middle documents only
+        if abs(places[i][1] - 8 * (i % 3)) + abs(places[i][2]) < 0.5:
+            words[i].add("middle")
+    members = spark.createDataFrame([(i, c, float(x), float(y)) for i, (c, x, y) in places.items()], "doc_id long, cluster string, x double, y double")
+    toks = spark.createDataFrame([(i, w) for i, ws in words.items() for w in ws] + [(0, sorted(words[0])[0])], "id long, term string")
+    hulls = spatial.hulls(members.withColumnRenamed("cluster", "label").withColumnRenamed("doc_id", "id"), "label").withColumnRenamed("label", "cluster")
+    base = spark.createDataFrame([("a", "own-a", 0.05), ("a", "w1", 3.0)], "cluster string, term string, weight double")
+    shape = {r.cluster: r for r in hulls.collect()}
+    spread = lambda ids: float(np.sqrt(np.var([places[i][1] for i in ids]) + np.var([places[i][2] for i in ids])))
+    for weights in (None, base):
+        got = {}
+        for r in terms.hull_anchored_terms(toks, members, hulls, 40, weights).collect():
+            got.setdefault(r.cluster, {})[r.term] = (r.inside, r.score)
+        boost = {} if weights is None else {(r.cluster, r.term): r.weight for r in base.collect()}
+        for c in ("a", "b", "c", "tiny"):
+            own = [i for i, p in places.items() if p[0] == c]
+            h = shape[c]
+            near = sorted(own, key=lambda i: ((places[i][1] - h.cx) ** 2 + (places[i][2] - h.cy) ** 2, i))[:5]
+            corner = {min(i for i in own if places[i][1:] == (x, y)) for x, y in zip(h.xs, h.ys, strict=True)} if len(h.xs) >= 3 else set()
+            reps = set(near) | corner
+            least = 2 if len(own) < 25 else max(3, int(len(own) * 0.02))
+            want = {}
+            for t in {w for i in own for w in words[i]}:
+                inside, rep, every = (sum(t in words[i] for i in ids) for ids in (own, reps, places))
+                if inside < 2:
+                    continue
+                rung = 0 if inside >= least and rep else 1 if inside >= least else 2
+                compact = max(0.01, 1 - spread([i for i in places if t in words[i]]) / spread(list(places)))
+                contrast = 1.0 if weights is None else max(0.1, boost.get((c, t), 0.0))
+                want[t] = (rung, inside, compact * inside / every * inside / len(own) * contrast * (1 + 2 * rep / len(reps)))
+            best = min(r for r, _, _ in want.values())
+            want = {t: (n, pytest.approx(s, abs=1e-8)) for t, (r, n, s) in want.items() if r == best}
+            assert got[c] == want
