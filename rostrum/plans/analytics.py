@@ -128,6 +128,19 @@ def c21_w04_thinning(spark, sf_dir):
     return spatial.thin(points(spark, sf_dir), [0, 1, 2, 3, 4], 20, -10.0, 10.0, F.lit(1.0)).select("z", "tx", "ty", "id", "rank")
 
 
+_SAMPLED = f"""(WITH g AS ({_DENSITY}), q AS (SELECT id, x / 0.25 - 0.5 AS fx, y / 0.25 - 0.5 AS fy FROM {_PTS}), k AS (SELECT id, CAST(floor(fx) AS BIGINT) + a AS ix, CAST(floor(fy) AS BIGINT) + b AS iy,
+  CASE a WHEN 1 THEN fx - floor(fx) ELSE 1 - fx + floor(fx) END * CASE b WHEN 1 THEN fy - floor(fy) ELSE 1 - fy + floor(fy) END AS w FROM q, (SELECT unnest([0, 1]) AS a), (SELECT unnest([0, 1]) AS b))
+  SELECT id, round(sum(w * coalesce(value, 0)), 6) AS d FROM k LEFT JOIN g USING (ix, iy) GROUP BY 1)"""
+
+
+@query("SELECT z, tx, ty, id, rank FROM (" + _THIN.replace(f"ORDER BY -ln({U.format(id='id')}), id) AS rank FROM {_PTS})", f"ORDER BY -ln({U.format(id='id')}) / (1 / (d + 0.01)), id) AS rank FROM {_PTS} JOIN {_SAMPLED} USING (id))") + ")")
+def c21_density_thinning(spark, sf_dir):
+    """Points in dense places have little weight, so thinning leaves them out first."""
+    p = points(spark, sf_dir)
+    d = spatial.sample(p.select("id", "x", "y"), spatial.density(p, 0.25, 1.0), 0.25).select("id", F.round("value", 6).alias("d"))
+    return spatial.thin(p.join(d, "id"), [0, 1, 2, 3, 4], 20, -10.0, 10.0, 1 / (F.col("d") + 0.01)).select("z", "tx", "ty", "id", "rank")
+
+
 @query(f"""WITH t AS ({_THIN}), s AS (SELECT id, x, y FROM t WHERE z = 2), p AS (SELECT p.id, s.id AS sid, pow(p.x - s.x, 2) + pow(p.y - s.y, 2) AS d FROM {_PTS} p, s)
   SELECT sid AS id, count(*) AS point_count FROM (SELECT * FROM p QUALIFY row_number() OVER (PARTITION BY id ORDER BY d, sid) = 1) GROUP BY 1""".replace("[0, 1, 2, 3, 4]", "[2]"))
 def j26_nearest_survivor_counts(spark, sf_dir):
