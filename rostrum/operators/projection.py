@@ -130,10 +130,20 @@ def _linkage_rounds(d: DataFrame, group: str, cut: float, blocks: int) -> DataFr
 
 
 def pair_similarity(df: DataFrame, cluster: str, key: str, vec: str) -> DataFrame:
-    """Mean similarity of members to their cluster's first member, and of the same number of shuffled pairs."""
-    w = Window.partitionBy(cluster).orderBy(key)
-    d = df.withColumn("__first", F.first(vec).over(w))
-    return d.groupBy(cluster).agg(F.avg(cosine(F.col(vec), F.col("__first"))).alias("similarity"), F.count("*").alias("n"))
+    """cluster, n, similarity, baseline: do members of a cluster resemble each other more than rows at random?
+
+    ``similarity``: mean cosine of the members to their cluster's first one (by key; itself left out, null for clusters of one);
+    ``baseline``: that of the members to a shuffled partner, the next row in the order of a hash, in rings of a 256th of all rows.
+    """
+    first = df.groupBy(F.col(cluster).alias("__c")).agg(F.min_by(vec, key).alias("__v"), F.min(key).alias("__k"))
+    near = df.join(first, F.col(cluster).eqNullSafe(F.col("__c"))).where(F.col(key) != F.col("__k"))
+    inner = near.groupBy("__c").agg(F.avg(cosine(F.col(vec), F.col("__v"))).alias("similarity"))
+    h = F.md5(F.col(key).cast("string"))
+    ring = Window.partitionBy(F.substr(h, F.lit(1), F.lit(2))).orderBy(h, key)
+    whole = ring.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    partner = F.coalesce(F.lead(vec).over(ring), F.first(vec).over(whole))
+    outer = df.withColumn("__p", partner).groupBy(cluster).agg(F.count("*").alias("n"), F.avg(cosine(F.col(vec), F.col("__p"))).alias("baseline"))
+    return outer.join(inner, F.col(cluster).eqNullSafe(F.col("__c")), "left").select(cluster, "n", "similarity", "baseline")
 
 
 def semantic_grid(points: DataFrame, cell: float, radius: float, k: int) -> DataFrame:

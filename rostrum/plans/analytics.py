@@ -91,6 +91,20 @@ def c19_agglomerative(spark, sf_dir):
     return linkage(table(spark, sf_dir, "embeddings"), "label", "vec_id", "embedding", 0.5)
 
 
+_COS = "list_inner_product(CAST({a} AS DOUBLE[]), CAST({b} AS DOUBLE[])) / sqrt(list_inner_product(CAST({a} AS DOUBLE[]), CAST({a} AS DOUBLE[])) * list_inner_product(CAST({b} AS DOUBLE[]), CAST({b} AS DOUBLE[])))"
+
+
+@query(f"""WITH e AS (SELECT label, vec_id, embedding AS v, md5(CAST(vec_id AS VARCHAR)) AS h FROM embeddings), f AS (SELECT label, min(vec_id) AS k, arg_min(v, vec_id) AS fv FROM e GROUP BY 1),
+  s AS (SELECT label, avg({_COS.format(a='v', b='fv')}) AS similarity FROM e JOIN f USING (label) WHERE vec_id <> k GROUP BY 1),
+  p AS (SELECT label, v, coalesce(lead(v) OVER w, first_value(v) OVER w) AS pv FROM e WINDOW w AS (PARTITION BY substr(h, 1, 2) ORDER BY h, vec_id)), b AS (SELECT label, count(*) AS n, avg({_COS.format(a='v', b='pv')}) AS baseline FROM p GROUP BY 1)
+  SELECT label, n, round(similarity, 7) AS similarity, round(baseline, 7) AS baseline FROM b LEFT JOIN s USING (label)""")
+def c19_pair_similarity(spark, sf_dir):
+    from ..operators.projection import pair_similarity
+
+    got = pair_similarity(table(spark, sf_dir, "embeddings").select("label", "vec_id", "embedding"), "label", "vec_id", "embedding")
+    return got.select("label", "n", *[F.round(c, 7).alias(c) for c in ("similarity", "baseline")])
+
+
 @query(f"SELECT a.id AS vec_id, round(sqrt(pow(a.x - b.x, 2) + pow(a.y - b.y, 2)), 7) AS distance FROM {_PTS} a JOIN (SELECT label, avg(x) AS x, avg(y) AS y FROM {_PTS} GROUP BY 1) b ON a.label = b.label")
 def c32_distance_to_cluster(spark, sf_dir):
     p = points(spark, sf_dir)
