@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..catalog import stream, table
+from ..functions import table_functions
 from ..operators import spatial
 from ..session import scratch_path
 from ..sources import ledger, readers, sinks, tile_archive, vector_tiles
@@ -21,11 +22,23 @@ def s01_table_scan(spark, sf_dir):
 
 @query("SELECT conv_id, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS INT) AS pos, CAST(turn * 10 AS DOUBLE) AS start, CAST(turn * 10 + 2.5 AS DOUBLE) AS end, role AS text FROM conversations")
 def s10_vtt_parse(spark, sf_dir):
+    return readers.vtt_cues(_vtt(spark, sf_dir), "vtt", "conv_id")
+
+
+@query("SELECT conv_id AS key, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS INT) AS pos, CAST(turn * 10 AS DOUBLE) AS start, CAST(turn * 10 + 2.5 AS DOUBLE) AS end, role AS text FROM conversations")
+def s10_cue_table_function(spark, sf_dir):
+    """The same files line by line through the table function."""
+    table_functions.register(spark)
+    lines = _vtt(spark, sf_dir).select(F.col("conv_id").alias("key"), F.posexplode(F.split("vtt", "\n")).alias("n", "line"))
+    return spark.sql("SELECT * FROM parse_cues(TABLE({lines}))", lines=lines)
+
+
+def _vtt(spark, sf_dir):
+    """A subtitle file per conversation, a cue per turn."""
     c = table(spark, sf_dir, "conversations")
     stamp = lambda ms: F.format_string("%02d:%02d:%02d.%03d", F.floor(ms / 3600000), F.floor(ms / 60000) % 60, F.floor(ms / 1000) % 60, ms % 1000)
     cue = F.concat(F.lit("\n\n"), F.col("turn").cast("string"), F.lit("\n"), stamp(F.col("turn") * 10000), F.lit(" --> "), stamp(F.col("turn") * 10000 + 2500), F.lit(" align:start\n"), F.col("role"))
-    v = c.groupBy("conv_id").agg(F.concat(F.lit("WEBVTT"), F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("turn", cue.alias("c")))), lambda x: x["c"]), "")).alias("vtt"))
-    return readers.vtt_cues(v, "vtt", "conv_id")
+    return c.groupBy("conv_id").agg(F.concat(F.lit("WEBVTT"), F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("turn", cue.alias("c")))), lambda x: x["c"]), "")).alias("vtt"))
 
 
 @query("SELECT page_id, 'v-' || page_id || '.m3u8' AS variant, CASE WHEN page_id % 2 = 0 THEN 'sub.vtt' END AS subtitles FROM pages")

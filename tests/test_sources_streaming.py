@@ -116,3 +116,20 @@ def test_idle_clear(spark, tmp_path):
 def test_sessions(spark, sf, tmp_path):
     _, b = stream(spark, sf, tmp_path)
     assert live.session_counts(b, "ts", ["user_id"], "6 hours").agg(F.sum("n")).first()[0] == b.count()
+
+
+def test_cue_table_function(spark):
+    from pyspark.errors import AnalysisException
+
+    from rostrum.functions import table_functions
+
+    table_functions.register(spark)
+    text = "WEBVTT\n\nNOTE nothing\n\n7\n00:01.500 --> 00:02.000 align:start\nfirst\n  line two \n\n00:00:03.000 --> 01:00:04.250\n00:05.000 --> 00:06.000\nlast"
+    rows = [("a", i, x) for i, x in enumerate(text.split("\n"))] + [("b", 2, "alone"), ("b", 1, "0:07.000 --> 0:08.000"), ("b", 3, None), ("b", 4, "behind"), (None, 1, "0:01.000 --> 0:02.000"), ("c", 0, None)]
+    lines = spark.createDataFrame(rows, "key string, n int, line string").repartition(5)
+    got = [tuple(r) for r in spark.sql("SELECT * FROM parse_cues(TABLE({t})) ORDER BY key, pos", t=lines).collect()]
+    assert got == [(None, 0, 1.0, 2.0, ""), ("a", 0, 1.5, 2.0, "first line two"), ("a", 1, 3.0, 3604.25, ""), ("a", 2, 5.0, 6.0, "last"), ("b", 0, 7.0, 8.0, "alone")]
+    assert spark.sql("SELECT * FROM parse_cues(TABLE({t}))", t=lines.where("key = 'none'")).count() == 0
+    with pytest.raises(AnalysisException, match="key, n and line"):
+        spark.sql("SELECT * FROM parse_cues(TABLE({t}))", t=lines.drop("n")).collect()
+
