@@ -60,8 +60,9 @@ def analyse(counts: DataFrame, row: str, col: str, n: str, **limits) -> Correspo
     cells = t.groupBy(row, col).agg(F.sum(n).alias("n")).collect()
     rows, cols = sorted({x[0] for x in cells}), sorted({x[1] for x in cells})
     m = np.zeros((len(rows), len(cols)))
+    place_r, place_c = ({x: i for i, x in enumerate(names)} for names in (rows, cols))
     for a, b, k in cells:
-        m[rows.index(a), cols.index(b)] = k
+        m[place_r[a], place_c[b]] = k
     return correspondence(m, rows, cols)
 
 

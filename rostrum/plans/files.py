@@ -40,8 +40,11 @@ def transcripts(spark, sf_dir, folders: list[int]) -> DataFrame:
     turns = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("turn", turn.alias("x")))), lambda r: r["x"]), "")
     a = c.groupBy("conv_id").agg(turns.alias("turns")).withColumn("folder", F.col("conv_id") % 10)
     title = F.format_string("<title>Gesprek %d</title>", F.col("conv_id") % 7)
-    xml = F.concat(F.format_string('<meeting><activity id="%d">', "conv_id"), title, F.col("turns"), F.lit("</activity></meeting>"))
-    path = _text(a, xml, "transcripts", "folder", rows_per_file=1)  # a document has one root
+    activity = F.concat(F.format_string('<activity id="%d">', "conv_id"), title, F.col("turns"), F.lit("</activity>"))
+    # A meeting has some fifty activities, so files are neither one an activity nor one a folder.
+    meeting = a.groupBy("folder", F.floor(F.col("conv_id") / 500)).agg(F.sort_array(F.collect_list(F.struct("conv_id", activity.alias("x")))).alias("all"))
+    xml = F.concat(F.lit("<meeting>"), F.array_join(F.transform("all", lambda r: r["x"]), ""), F.lit("</meeting>"))
+    path = _text(meeting, xml, "transcripts", "folder", rows_per_file=1)  # a document has one root
     known = {r.folder for r in spark.read.text(path).select("folder").distinct().collect()}  # ten at most
     paths = [f"{path}/folder={i}" for i in folders if i in known]
     found = readers.transcript_turns(spark, paths)
@@ -102,7 +105,8 @@ def s08_debate_agenda(spark, sf_dir):
     e = table(spark, sf_dir, "events").withColumn("day", F.date_format("ts", "yyyy-MM-dd"))
     real = F.when(F.col("event_id") % 2 == 0, F.date_format("ts", "HH:mm:ss"))
     debate = F.struct(F.col("event_id").cast("string").alias("id"), real.alias("startedAt"), F.lit("12:00:00").alias("startsAt"))
-    days = e.groupBy("day").agg(F.to_json(F.struct(F.collect_list(debate).alias("debates"))).alias("raw"))
+    # A busy day has several pages of a thousand events' numbers each.
+    days = e.groupBy("day", F.floor(F.col("event_id") / 1000)).agg(F.to_json(F.struct(F.collect_list(debate).alias("debates"))).alias("raw"))
     path = _text(days, F.col("raw"), "agenda", "day")
     kept = spark.read.text(path).withColumn("day", F.col("day").cast("string"))
     wanted = kept.where(F.col("day").isin("2024-01-03", "2024-01-05", "1800-01-01"))  # reads two folders
