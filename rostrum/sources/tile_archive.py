@@ -328,7 +328,9 @@ class _Reader(DataSourceReader):
         most = int(self.options.get("leaves", 1))
         return [_Leaf(kept[i : i + most]) for i in range(0, len(kept), most)]
 
-    def read(self, partition: _Leaf):
+    def read(self, partition: _Leaf | None):
+        if partition is None:  # what Spark hands over where there are no partitions
+            return
         a = Archive(self.options["path"])
         h = a.header()
         first, last = FIRST[self.low], FIRST[self.high + 1]
