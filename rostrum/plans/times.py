@@ -218,11 +218,12 @@ def c05_anchored_else_calibrated(spark, sf_dir):
 def c28_selection_score(spark, sf_dir):
     from ..operators.relational import best_per_group
 
-    e = table(spark, sf_dir, "events").select("event_id", "user_id", "event_type", "value", (F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).alias("t"))
-    near = intervals.nearest(e, marks(spark, sf_dir, "signup"), ["user_id"], "t", "t", "event_id", "event_id", 20000.0).select("event_id", F.lit(50).alias("bonus"))
+    e = table(spark, sf_dir, "events").select("event_id", "user_id", "event_type", "value", F.unix_micros(F.col("ts").cast("timestamp")).alias("t"))
+    # In whole microseconds: in seconds as doubles a distance of just the tolerance may come out above it.
+    near = intervals.nearest(e, e.where("event_type = 'signup'"), ["user_id"], "t", "t", "event_id", "event_id", 20_000_000_000).select("event_id", F.lit(50).alias("bonus"))
     w = F.when(F.col("event_type") == "purchase", 300).when(F.col("event_type") == "error", 150).otherwise(0)
-    s = e.join(near, "event_id", "left").select("user_id", "event_id", F.round(F.col("value") + w + F.coalesce("bonus", F.lit(0)), 6).alias("score"))
-    return best_per_group(s, ["user_id"], [F.desc("score"), F.col("event_id")])
+    s = e.join(near, "event_id", "left").select("user_id", "event_id", (F.col("value") + w + F.coalesce("bonus", F.lit(0))).alias("score"))
+    return best_per_group(s, ["user_id"], [F.desc("score"), F.col("event_id")]).withColumn("score", F.round("score", 6))
 
 
 _CH = "(SELECT item_id AS id, unnest(generate_series(item_id % 50, item_id % 50 + {n})) AS pos FROM benchmark)"
