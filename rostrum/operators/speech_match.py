@@ -16,40 +16,49 @@ from pyspark.sql import functions as F
 from ..session import scratch
 from .intervals import drop_nested
 
-#: Classes of parts by length: (least length, gram, step); shorter ones are compared with all speeches of their key.
-CLASSES = ((19, 12, 8), (4, 4, 1))
-
-
-def _index(texts: DataFrame, gram: int, step: int) -> DataFrame:
-    """key, gram, speech: grams at every ``step``-th place, each once a speech."""
-    places = F.when(F.length("text") >= gram, F.sequence(F.lit(1), F.length("text") - gram + 1, F.lit(step)))
-    grams = F.array_distinct(F.transform(places, lambda p: F.substr("text", p, F.lit(gram))))
-    return texts.select("key", "speech", F.explode(grams).alias("gram"))
+#: Classes of parts by length: (least length, gram, step), least = gram + step - 1; shorter ones are compared with all speeches of their key.
+CLASSES = ((19, 12, 8), (11, 8, 4), (6, 4, 3))
+#: The speeches of a key are dealt out to so many tasks for that.
+DEALS = 8
 
 
 def containing(texts: DataFrame, quotes: DataFrame) -> DataFrame:
-    """quote, speech: pairs of one key where the speech (key, speech, text) holds all parts of the quote (key, quote, parts)."""
+    """quote, candidates, speech: number and least of the speeches (key, speech, text) of a quote's key that hold all its parts, if any.
+
+    ``quotes``: key, quote, parts.  Equal quotes of a key are one question.  Grams are known by a hash together with their key, and only
+    those that are asked for stay; every candidate is compared in full.  Files of grams are small and long in memory: no side is broadcast.
+    """
     longest = F.aggregate("parts", F.lit(""), lambda a, p: F.when(F.length(p) > F.length(a), p).otherwise(a))
     sound = quotes.where(F.coalesce((F.size("parts") > 0) & F.forall("parts", lambda p: p.isNotNull()), F.lit(False)))
-    asked = sound.select("key", "quote", longest.alias("needle"))
-    pairs, upper = None, None
+    sound = sound.select(F.col("key").cast(texts.schema["key"].dataType).alias("key"), "quote", "parts")
+    asked = scratch(sound.groupBy("key", "parts").agg(F.min("quote").alias("question")).withColumn("needle", longest), "speech-questions")
+    h = lambda text, place, gram: F.xxhash64("key", F.substr(text, place, F.lit(gram)))
+    n, size = F.length("needle"), F.length("text")
+    stretches, grams, upper = None, [], None
     for least, gram, step in CLASSES:
-        n = F.length("needle")
         mine = asked.where((n >= least) & (n < upper) if upper else n >= least)
         upper = least
-        index = scratch(_index(texts.join(mine.select("key").distinct(), "key", "left_semi"), gram, step), "grams")
         # Stretches of ``step`` neighbouring grams: whatever the place of the part, one of them is indexed.
-        starts = F.sequence(F.lit(1), F.length("needle") - gram - step + 2, F.lit(step))
-        s = mine.select("key", "quote", "needle", F.explode(starts).alias("s"))
-        s = s.select("key", "quote", "s", F.explode(F.transform(F.sequence(F.lit(0), F.lit(step - 1)), lambda o: F.substr("needle", F.col("s") + o, F.lit(gram)))).alias("gram")).distinct()
-        counts = index.groupBy("key", "gram").agg(F.count("*").alias("n"))
-        weighed = s.join(counts, ["key", "gram"], "left").withColumn("cost", F.sum(F.coalesce("n", F.lit(0))).over(Window.partitionBy("key", "quote", "s")))
-        rarest = weighed.withColumn("r", F.dense_rank().over(Window.partitionBy("key", "quote").orderBy("cost", "s"))).where("r = 1 AND n > 0").select("key", "quote", "gram")
-        got = rarest.join(index, ["key", "gram"]).select("key", "quote", "speech").distinct()
-        pairs = got if pairs is None else pairs.unionByName(got)
-    short = asked.where(F.length("needle") < upper).join(texts.select("key", "speech"), "key").select("key", "quote", "speech")
-    cand = pairs.unionByName(short).join(sound.select("key", "quote", "parts"), ["key", "quote"]).join(texts, ["key", "speech"])
-    return cand.where(F.forall("parts", lambda p: F.contains("text", p))).select("quote", "speech")
+        s = mine.select("key", "question", "needle", F.explode(F.sequence(F.lit(1), n - gram - step + 2, F.lit(step))).alias("s"))
+        s = s.select("question", "s", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(0), F.lit(step - 1)), lambda o, g=gram: h(F.col("needle"), F.col("s") + o, g)))).alias("h"))
+        stretches = s if stretches is None else stretches.unionByName(s)
+        places = F.when(size >= gram, F.sequence(F.lit(1), size - gram + 1, F.lit(step))).otherwise(F.array().cast("array<int>"))
+        grams.append(F.transform(places, lambda p, g=gram: h(F.col("text"), p, g)))
+    index = texts.select("speech", F.explode(F.array_distinct(F.concat(*grams))).alias("h"))
+    held = scratch(index.join(stretches.select("h").distinct().hint("merge"), "h", "left_semi"), "grams")
+    counts = held.groupBy("h").agg(F.count("*").alias("n"))
+    weighed = stretches.join(counts.hint("merge"), "h", "left").repartition("question")
+    weighed = weighed.withColumn("cost", F.sum(F.coalesce("n", F.lit(0))).over(Window.partitionBy("question", "s")))
+    rarest = weighed.withColumn("r", F.dense_rank().over(Window.partitionBy("question").orderBy("cost", "s"))).where("r = 1 AND n > 0").select("question", "h")
+    got = held.join(rarest.hint("merge"), "h").select("question", "speech").distinct()
+    parts = asked.select("key", "question", "parts")
+    long = texts.join(got.join(parts.hint("merge"), "question").hint("merge"), ["key", "speech"])
+    few = asked.where(n < upper).select(*parts.columns).withColumn("deal", F.explode(F.sequence(F.lit(0), F.lit(DEALS - 1))))
+    short = texts.withColumn("deal", F.pmod(F.xxhash64("speech"), F.lit(DEALS)).cast("int")).join(few.hint("merge"), ["key", "deal"])
+    holds = F.forall("parts", lambda p: F.contains("text", p))
+    hits = long.where(holds).select("question", "speech").unionByName(short.where(holds).select("question", "speech"))
+    best = hits.groupBy("question").agg(F.count("*").alias("candidates"), F.min("speech").alias("speech"))
+    return sound.join(parts.hint("merge"), ["key", "parts"]).join(best.hint("merge"), "question").select("quote", "candidates", "speech")
 
 
 def match(speeches: DataFrame, quotes: DataFrame) -> DataFrame:
@@ -61,15 +70,14 @@ def match(speeches: DataFrame, quotes: DataFrame) -> DataFrame:
     whole = lambda key: F.col("speaker").isNotNull() & F.col(key).isNotNull()
     q = scratch(quotes.select("quote", "speaker", "day", "year", "parts"), "speech-quotes")
     known = speeches.where(whole("day")).select(day.alias("key")).distinct()
-    by_day = q.where(whole("day")).withColumn("key", day).join(known, "key", "left_semi").select("key", "quote", "parts")
-    rest = q.join(by_day.select("quote"), "quote", "left_anti").where(whole("year")).select(year.alias("key"), "quote", "parts")
-    hits = containing(speeches.where(whole("day")).select(day.alias("key"), "speech", "text"), by_day).unionByName(
+    by_day = q.where(whole("day")).withColumn("key", day).join(known.hint("merge"), "key", "left_semi").select("key", "quote", "parts")
+    rest = q.join(by_day.select("quote").hint("merge"), "quote", "left_anti").where(whole("year")).select(year.alias("key"), "quote", "parts")
+    best = containing(speeches.where(whole("day")).select(day.alias("key"), "speech", "text"), by_day).unionByName(
         containing(speeches.where(whole("year")).select(year.alias("key"), "speech", "text"), rest)
     )
-    best = hits.groupBy("quote").agg(F.count("*").alias("candidates"), F.min("speech").alias("speech"))
     n = F.coalesce("candidates", F.lit(0))
     outcome = F.when(n == 0, "not_found").when(n == 1, "unique").otherwise("ambiguous")
-    return q.select("quote").join(best, "quote", "left").select("quote", outcome.alias("outcome"), n.alias("candidates"), "speech")
+    return q.select("quote").join(best.hint("merge"), "quote", "left").select("quote", outcome.alias("outcome"), n.alias("candidates"), "speech")
 
 
 def _span(part: str):
@@ -87,15 +95,18 @@ def records(speeches: DataFrame, relations: DataFrame, fallacies: DataFrame) ->
     """
     use = relations.where((F.col("kind") == "Support") & (F.col("target") == "Claim") & (F.col("speaker") == F.col("other")))
     text = speeches.select("speech", "text")
-    found = match(speeches, use.withColumn("parts", F.array("dependent", "governor"))).where("speech IS NOT NULL").select("quote", "speech")
-    placed = use.select("quote", "dependent", "governor").join(found, "quote").join(text, "speech")
+    named = fallacies.withColumnRenamed("text", "part")
+    # Both kinds of quotes are looked up together.
+    ask = lambda df, kind, *parts: df.select(F.struct(F.lit(kind).alias("kind"), "quote").alias("quote"), "speaker", "day", "year", F.array(*parts).alias("parts"))
+    every = match(speeches, ask(use, "relation", "dependent", "governor").unionByName(ask(named, "fallacy", "part")))
+    every = scratch(every.where("speech IS NOT NULL").select("quote", "speech"), "speech-matches")
+    answers = lambda kind: every.where(F.col("quote.kind") == kind).select("quote.quote", "speech")
+    placed = use.select("quote", "dependent", "governor").join(answers("relation"), "quote").join(text, "speech")
     (a, b), (c, d) = _span("dependent"), _span("governor")
     spans = placed.groupBy("speech", "governor").agg(F.min(F.least(a, c)).alias("start"), F.max(F.greatest(b, d)).alias("end"))
     spans = spans.groupBy("speech").agg(F.sort_array(F.collect_set(F.struct("start", "end"))).alias("spans"))
-    named = fallacies.withColumnRenamed("text", "part")
-    f = match(speeches, named.withColumn("parts", F.array("part"))).where("speech IS NOT NULL").select("quote", "speech")
     s, e = _span("part")
-    f = named.select("quote", "part", "label").join(f, "quote").join(text, "speech").select("speech", "label", s.alias("start"), e.alias("end")).distinct()
+    f = named.select("quote", "part", "label").join(answers("fallacy"), "quote").join(text, "speech").select("speech", "label", s.alias("start"), e.alias("end")).distinct()
     f = drop_nested(f.withColumn("id", F.lit(0)), ["speech", "label"]).groupBy("speech").agg(F.sort_array(F.collect_list(F.struct("start", "end", "label"))).alias("fallacies"))
     both = spans.join(f, "speech", "full")
     return both.select("speech", *[F.coalesce(c_, F.expr("array()").cast(dict(both.dtypes)[c_])).alias(c_) for c_ in ("spans", "fallacies")])

@@ -54,3 +54,12 @@ def test_records(spark):
     cut = lambda s: text[s.start : s.end]
     assert [[cut(s) for s in r.spans] for r in got] == [["het anders moet, want boeren lijden. Dus stop"], []]
     assert [[(cut(f), f.label) for f in r.fallacies] for r in got] == [[("een dwaas zegt nee", "ad hominem"), ("dwaas", "other")], [("Dus stop", "other")]]
+
+
+def test_no_side_is_broadcast(spark):
+    # Files of grams are far smaller than their rows in memory, so their size says nothing.
+    speeches = spark.createDataFrame([(i, "A", 5, 2020, f"een twee drie vier vijf zes {i}") for i in range(9)], SPEECHES)
+    quotes = spark.createDataFrame([(i, "A", 5 if i % 2 else None, 2020, ["twee drie vier vijf zes", "n"] if i % 3 else ["t"]) for i in range(30)], QUOTES)
+    got = speech_match.match(speeches, quotes)
+    assert {(r.candidates, r.speech) for r in got.collect()} == {(9, 0)}
+    assert "Broadcast" not in got._jdf.queryExecution().executedPlan().toString()
