@@ -2,17 +2,22 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..catalog import spread
+from ..session import scratch
 from .relational import best_per_group
 
 
+def _by_key(df: DataFrame, key: str, text: str) -> DataFrame:
+    """Whole texts dealt out by ``key``: their tokens are many times longer, and counting them per key then moves nothing."""
+    return df.select(F.col(key).alias("id"), F.col(text).alias("text")).repartition("id")
+
+
 def tokens(df: DataFrame, key: str, text: str, least: int) -> DataFrame:
     """One row per token of at least ``least`` letters, lower case."""
-    w = F.regexp_extract_all(F.lower(text), F.lit("[a-zà-ÿ]{%d,}" % least), F.lit(0))
-    return spread(df.select(key, text)).select(F.col(key).alias("id"), F.explode(w).alias("term"))
+    w = F.regexp_extract_all(F.lower("text"), F.lit("[a-zà-ÿ]{%d,}" % least), F.lit(0))
+    return _by_key(df, key, text).select("id", F.explode(w).alias("term"))
 
 
 def _idf(n: int, df: str = "df"):
@@ -24,8 +29,8 @@ def tfidf(toks: DataFrame, n_docs: int, min_df: int = 1, max_df: float = 1.0, ke
     tf = toks.groupBy("id", "term").agg(F.count("*").alias("tf"))
     df = tf.groupBy("term").agg(F.count("*").alias("df")).where((F.col("df") >= min_df) & (F.col("df") <= max_df * n_docs))
     w = tf.join(df, "term").select("id", "term", (F.col("tf") * _idf(n_docs)).alias("w"))
-    norm = w.groupBy("id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("l"))
-    return w.join(norm, "id").select(F.col("id").alias(key), "term", (F.col("w") / F.col("l")).alias("weight"))
+    w = w.withColumn("l", F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy("id"))))
+    return w.select(F.col("id").alias(key), "term", (F.col("w") / F.col("l")).alias("weight"))
 
 
 def contrast(toks: DataFrame, sides: DataFrame, min_df: int) -> DataFrame:
@@ -77,10 +82,10 @@ def cluster_terms(toks: DataFrame, members: DataFrame, n: int, min_df: int = 2)
 
 def with_pairs(df: DataFrame, key: str, text: str, least: int) -> DataFrame:
     """One row per token of at least ``least`` letters and per pair of neighbouring tokens."""
-    w = F.regexp_extract_all(F.lower(text), F.lit("[a-zà-ÿ]{%d,}" % least), F.lit(0))
+    w = F.regexp_extract_all(F.lower("text"), F.lit("[a-zà-ÿ]{%d,}" % least), F.lit(0))
     pairs = F.transform(F.sequence(F.lit(1), F.size("w") - 1), lambda i: F.concat_ws(" ", F.element_at("w", i), F.element_at("w", i + 1)))
     terms = F.when(F.size("w") > 1, F.concat("w", pairs)).otherwise(F.col("w"))
-    return spread(df.select(key, text)).select(F.col(key).alias("id"), w.alias("w")).select("id", F.explode(terms).alias("term"))
+    return _by_key(df, key, text).select("id", w.alias("w")).select("id", F.explode(terms).alias("term"))
 
 
 def best_match(queries: DataFrame, docs: DataFrame, n_docs: int, query_id: str, doc_id: str, least: float) -> DataFrame:
@@ -125,12 +130,12 @@ def hull_anchored_terms(toks: DataFrame, members: DataFrame, hulls: DataFrame, n
     asked for, and then 2 documents are enough.  ``toks``: id, term; ``members``: doc_id, cluster, x, y; only their documents count.
     """
     spread_of = F.sqrt(F.var_pop("x") + F.var_pop("y"))
-    t = toks.distinct().join(members.withColumnRenamed("doc_id", "id"), "id")
-    chosen = representatives(members, hulls)
+    chosen = scratch(representatives(members, hulls), "representatives")
+    own = members.join(chosen.withColumn("rep", F.lit(1)), ["cluster", "doc_id"], "left").withColumnRenamed("doc_id", "id")
+    t = toks.join(own.select("id").distinct(), "id", "left_semi").distinct().join(own, "id")
     sizes = members.groupBy("cluster").agg(F.count("*").alias("size")).join(chosen.groupBy("cluster").agg(F.count("*").alias("reps")), "cluster")
     every = members.agg(spread_of.alias("all_spread"))
-    marked = t.join(chosen.select("cluster", F.col("doc_id").alias("id"), F.lit(1).alias("rep")), ["cluster", "id"], "left")
-    c = marked.groupBy("cluster", "term").agg(F.count("*").alias("inside"), F.count("rep").alias("rep_df"))
+    c = t.groupBy("cluster", "term").agg(F.count("*").alias("inside"), F.count("rep").alias("rep_df"))
     g = t.groupBy("term").agg(F.count("*").alias("df"), spread_of.alias("spread"))
     j = c.where("inside >= 2").join(g, "term").join(sizes, "cluster").crossJoin(F.broadcast(every))  # one row
     least = F.when(F.col("size") < 25, 2).otherwise(F.greatest(F.lit(3), F.floor(F.col("size") * 0.02)))
