@@ -46,13 +46,17 @@ def levels(df: DataFrame, key: str, vec: str, sizes: list[int], seed: int = 42)
     return out
 
 
-def linkage(df: DataFrame, group: str, key: str, vec: str, cut: float, block: int = 2000) -> DataFrame:
+#: Clusters on each side of a tile in which clusters look for their nearest.
+TILE = 8192
+
+
+def linkage(df: DataFrame, group: str, key: str, vec: str, cut: float, block: int = 4000) -> DataFrame:
     """Average-linkage clusters by cosine distance <= ``cut`` within each group: group, key, cluster (its least key).
 
     The average distance of two clusters of unit vectors follows from their sums and sizes, and average
     linkage gives one result in whatever order mutually nearest clusters merge.  So groups of up to ``block``
-    rows are merged in one task, and larger ones in rounds: all clusters look for their nearest, block
-    against block, and all mutual pairs merge.  Both give the same clusters.
+    rows are merged in one task, and larger ones in rounds: clusters look for their nearest, tile
+    against tile, and all mutual pairs merge.  Both give the same clusters.
     """
     d = df.select(group, F.col(key).alias("id"), F.col(vec).cast("array<double>").alias("s"))
     norm = F.greatest(F.sqrt(F.aggregate("s", F.lit(0.0), lambda a, x: a + x * x)), F.lit(1e-12))
@@ -65,68 +69,137 @@ def linkage(df: DataFrame, group: str, key: str, vec: str, cut: float, block: in
 
     def run(g: pd.DataFrame) -> pd.DataFrame:
         g = g.sort_values("id")
-        v = np.stack(g.s.to_numpy())
-        dist = 1 - v @ v.T
-        np.fill_diagonal(dist, np.inf)
-        size, alive, label = np.ones(len(v)), np.ones(len(v), bool), np.arange(len(v))
-        while alive.sum() > 1:
-            i, j = divmod(int(dist.argmin()), len(v))
-            if dist[i, j] > cut:
-                break
-            i, j = min(i, j), max(i, j)
-            row = (dist[i] * size[i] + dist[j] * size[j]) / (size[i] + size[j])
-            dist[i], dist[:, i] = row, row
-            dist[i, i] = np.inf
-            dist[j], dist[:, j] = np.inf, np.inf
-            size[i] += size[j]
-            alive[j] = False
-            label[label == j] = i
+        label = _merged(np.stack(g.s.to_numpy()), np.ones(len(g)), cut)
         return pd.DataFrame({group: g[group], key: g["id"], "cluster": g["id"].to_numpy()[label]})
 
     small = d.where("not large").groupBy(group).applyInPandas(run, schema)
-    most = sizes.agg(F.sum(F.when(large, F.col("rows")))).first()[0]
-    if not most:
+    if sizes.where(large).isEmpty():
         return small
-    return small.unionByName(_linkage_rounds(d.where("large").select(group, "id", "s"), group, cut, -(-most // block)).withColumnRenamed("id", key))
-
-
-def _linkage_rounds(d: DataFrame, group: str, cut: float, blocks: int) -> DataFrame:
-    kinds = dict(d.dtypes)
-    cur = scratch(d.withColumn("n", F.lit(1).cast("long")), "linkage")
-    members = scratch(d.select(group, "id", F.col("id").alias("cluster")), "linkage")
-
-    def nearest(key, a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+    return small.unionByName(_linkage_rounds(d.where("large").select(group, "id", "s"), group, cut, block).withColumnRenamed("id", key))
+
+
+def _merged(v: np.ndarray, size: np.ndarray, cut: float) -> np.ndarray:
+    """For each cluster (mean of its unit vectors, size) the first one of those it ends up with."""
+    dist = v @ v.T
+    np.subtract(1, dist, out=dist)
+    np.fill_diagonal(dist, np.inf)
+    size, label = size.astype(float), np.arange(len(v))
+    # Every row's nearest is kept; after a merge only rows whose nearest took part look again.
+    at = dist.argmin(axis=1)
+    near = dist[label, at]
+    while True:
+        i = int(near.argmin())
+        j = int(at[i])
+        if not near[i] <= cut:
+            return label
+        i, j = min(i, j), max(i, j)
+        row = (dist[i] * size[i] + dist[j] * size[j]) / (size[i] + size[j])
+        dist[i], dist[:, i] = row, row
+        dist[i, i] = np.inf
+        dist[j], dist[:, j] = np.inf, np.inf
+        size[i] += size[j]
+        label[label == j] = i
+        nearer = (row < near) | ((row == near) & (at > i))
+        lost = (at == i) | (at == j)
+        lost[i] = True
+        near[nearer], at[nearer] = row[nearer], i
+        again = np.flatnonzero(lost & np.isfinite(near))
+        at[again] = dist[again].argmin(axis=1)
+        near[again] = dist[again, at[again]]
+        near[j] = np.inf
+
+
+def _nearest(askers: DataFrame, others: DataFrame, group: str, cut: float) -> DataFrame:
+    """group, id, d, other: each asker's nearest cluster within ``cut`` (ties: smaller id); no row without one."""
+    kinds = dict(askers.dtypes)
+
+    def look(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         out = {group: [], "id": [], "d": [], "other": []}
         if len(a) and len(b):
+            b = b.sort_values("id")
+            ids, own = b["id"].to_numpy(), a["id"].to_numpy()
             va, vb = (np.stack(x.s.to_numpy()) / x.n.to_numpy()[:, None] for x in (a, b))
-            ids = b["id"].to_numpy()
-            order = np.argsort(ids)
-            for own, v in zip(a["id"], va, strict=True):
+            place = np.minimum(np.searchsorted(ids, own), len(ids) - 1)
+            for at in range(0, len(a), 512):
+                part = slice(at, at + 512)
+                dist = va[part] @ vb.T
+                np.subtract(1, dist, out=dist)
+                mine = np.flatnonzero(ids[place[part]] == own[part])
+                dist[mine, place[part][mine]] = np.inf
+                rows = np.flatnonzero(dist.min(axis=1) <= cut + 1e-9)
                 # Rounded, so that both sides of a pair see one distance.
-                dist = np.round(1 - vb[order] @ v, 12)
-                dist[ids[order] == own] = np.inf
-                j = int(dist.argmin())
-                if dist[j] <= cut:
-                    for c, x in zip(out, (key[0], own, dist[j], ids[order][j]), strict=True):
-                        out[c].append(x)
+                dist = np.round(dist[rows], 12)
+                j = dist.argmin(axis=1)
+                d = dist[np.arange(len(rows)), j]
+                hit = d <= cut
+                rows, j, d = rows[hit] + at, j[hit], d[hit]
+                for c, x in zip(out, (a[group].to_numpy()[rows], own[rows], d, ids[j]), strict=True):
+                    out[c].extend(x)
         return pd.DataFrame(out)
 
-    while True:
-        mine = F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int")
-        every = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
-        left, right = cur.withColumn("a", mine).withColumn("b", every), cur.withColumn("b", mine).withColumn("a", every)
-        found = left.groupBy(group, "a", "b").cogroup(right.groupBy(group, "a", "b")).applyInPandas(nearest, f"{group} {kinds[group]}, id {kinds['id']}, d double, other {kinds['id']}")
-        best = scratch(found.groupBy(group, "id").agg(F.min(F.struct("d", "other")).alias("m")).select(group, "id", "m.other"), "linkage")
+    most = [df.groupBy(group).count().agg(F.max("count")).first()[0] or 1 for df in (askers, others)]
+    n, m = (-(-x // TILE) for x in most)
+    mine = lambda k: F.pmod(F.xxhash64("id"), F.lit(k)).cast("int")
+    every = lambda k: F.explode(F.sequence(F.lit(0), F.lit(k - 1)))
+    left = askers.withColumn("a", mine(n)).withColumn("b", every(m))
+    right = others.withColumn("b", mine(m)).withColumn("a", every(n))
+    found = left.groupBy(group, "a", "b").cogroup(right.groupBy(group, "a", "b")).applyInPandas(look, f"{group} {kinds[group]}, id {kinds['id']}, d double, other {kinds['id']}")
+    return found.groupBy(group, "id").agg(F.min(F.struct("d", "other")).alias("m")).select(group, "id", "m.d", "m.other")
+
+
+def _linkage_rounds(d: DataFrame, group: str, cut: float, block: int) -> DataFrame:
+    """Merge in rounds until a group has so few clusters left that can merge that one task does the rest.
+
+    Two clusters are never nearer once merged with others than the nearer of their parts was.  So a cluster without another
+    within ``cut`` is done for good, and one whose nearest did not merge keeps it.  Copies are merged before the first round.
+    """
+    kinds = dict(d.dtypes)
+    # Vectors of length zero are at distance 1 from each other too.
+    d = d.withColumn("zero", F.when(F.exists("s", lambda x: x != 0), None).otherwise(F.col("id")))
+    once = scratch(d.groupBy(group, "s", "zero").agg(F.min("id").alias("id"), F.count("*").alias("n")), "linkage")
+    first = once.select(F.col(group).alias("g"), F.col("s").alias("v"), F.col("zero").alias("z"), F.col("id").alias("cluster"))
+    members = d.join(first, d[group].eqNullSafe(F.col("g")) & (F.col("s") == F.col("v")) & F.col("zero").eqNullSafe(F.col("z")))
+    members = scratch(members.select(group, "id", "cluster"), "linkage")
+    cur = once.select(group, "id", F.transform("s", lambda x: x * F.col("n")).alias("s"), "n")
+    best = scratch(_nearest(cur, cur, group, cut), "linkage")
+
+    def rest(g: pd.DataFrame) -> pd.DataFrame:
+        g = g.sort_values("id")
+        n = g.n.to_numpy()
+        label = _merged(np.stack(g.s.to_numpy()) / n[:, None], n, cut)
+        return pd.DataFrame({"g": g[group], "to": g["id"].to_numpy()[label], "gone": g["id"]})
+
+    def renamed(members: DataFrame, merges: DataFrame) -> DataFrame:
+        m = members.join(merges, members[group].eqNullSafe(merges["g"]) & (members["cluster"] == merges["gone"]), "left")
+        return scratch(m.select(members[group], "id", F.coalesce("to", "cluster").alias("cluster")), "linkage")
+
+    while not best.isEmpty():
+        cur = cur.join(best.select(F.col(group).alias("g"), F.col("id").alias("i")), cur[group].eqNullSafe(F.col("g")) & (cur["id"] == F.col("i")), "left_semi")
+        left = scratch(cur.groupBy(F.col(group).alias("g")).agg((F.count("*") <= block).alias("few")), "linkage")
+        few, many = left.where("few"), left.where("not few")
+        of = lambda df, some: df.join(some, df[group].eqNullSafe(some["g"]), "left_semi")
+        last = of(cur, few).groupBy(group).applyInPandas(rest, f"g {kinds[group]}, to {kinds['id']}, gone {kinds['id']}").where("to <> gone")
+        if many.isEmpty():
+            return renamed(members, last)
+        best = scratch(of(best, many), "linkage")
         x, y = best.alias("x"), best.alias("y")
         mutual = F.col(f"x.{group}").eqNullSafe(F.col(f"y.{group}")) & (F.col("x.other") == F.col("y.id")) & (F.col("y.other") == F.col("x.id"))
-        merges = scratch(x.join(y, mutual).where("x.id < x.other").select(F.col(f"x.{group}").alias("g"), F.col("x.id").alias("to"), F.col("x.other").alias("gone")), "linkage")
-        if merges.isEmpty():
-            return members
+        pairs = x.join(y, mutual).where("x.id < x.other").select(F.col(f"x.{group}").alias("g"), F.col("x.id").alias("to"), F.col("x.other").alias("gone"))
+        merges = scratch(pairs, "linkage")
+        if merges.isEmpty():  # ties in a ring: the least pair of each group
+            least = best.groupBy(F.col(group).alias("g")).agg(F.min(F.struct("d", F.least("id", "other").alias("to"), F.greatest("id", "other").alias("gone"))).alias("m"))
+            merges = scratch(least.select("g", "m.to", "m.gone"), "linkage")
+        cur = of(cur, many)
         joined = cur.join(merges, cur[group].eqNullSafe(merges["g"]) & (cur["id"] == merges["gone"]), "left")
         sums = F.reduce(F.collect_list("s"), F.transform(F.first("s"), lambda e: e * 0), lambda t, v: F.zip_with(t, v, lambda p, q: p + q))
         cur = scratch(joined.groupBy(cur[group], F.coalesce("to", "id").alias("id")).agg(sums.alias("s"), F.sum("n").alias("n")), "linkage")
-        m = members.join(merges, members[group].eqNullSafe(merges["g"]) & (members["cluster"] == merges["gone"]), "left")
-        members = scratch(m.select(members[group], "id", F.coalesce("to", "cluster").alias("cluster")), "linkage")
+        members = renamed(members, merges.unionByName(last))
+        moved = scratch(merges.select("g", F.explode(F.array("to", "gone")).alias("i")), "linkage")
+        hit = lambda c: best[group].eqNullSafe(moved["g"]) & (best[c] == moved["i"])
+        kept = best.join(moved, hit("id"), "left_anti").join(moved, hit("other"), "left_anti")
+        ask = scratch(cur.join(kept.select(F.col(group).alias("g"), F.col("id").alias("i")), cur[group].eqNullSafe(F.col("g")) & (cur["id"] == F.col("i")), "left_anti"), "linkage")
+        best = scratch(kept.unionByName(_nearest(ask, cur, group, cut)), "linkage")
+    return members
 
 
 def pair_similarity(df: DataFrame, cluster: str, key: str, vec: str) -> DataFrame:

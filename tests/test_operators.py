@@ -182,6 +182,18 @@ def test_linkage_in_rounds_equals_one_task(spark):
     assert len(one) == 240 and one == rounds and 12 <= len({(k[0], c) for k, c in one.items()}) < 120
 
 
+def test_linkage_of_copies_takes_few_rounds(spark, monkeypatch):
+    from rostrum import session
+
+    steps = []
+    monkeypatch.setattr(projection, "scratch", lambda df, tag: steps.append(tag) or session.scratch(df, tag))
+    v = [(i, 0, [1.0, 0.0]) for i in range(40)] + [(40, 0, [0.9, 0.1]), (41, 0, [0.0, 1.0])] + [(i, 0, [0.0, 0.0]) for i in (42, 43)]
+    df = spark.createDataFrame(v, "vec_id long, label int, embedding array<double>")
+    got = {r.vec_id: r.cluster for r in projection.linkage(df, "label", "vec_id", "embedding", 0.2, block=1).collect()}
+    assert got == {i: 0 for i in range(41)} | {41: 41, 42: 42, 43: 43}
+    assert len(steps) < 30  # the copies do not merge one a round
+
+
 def test_survivors_equal_brute_force(spark):
     p = cloud(spark, 400)
     shown = spatial.thin(p, [4], 1, -12.0, 12.0, F.lit(1.0)).where("x < 0 OR rank % 7 = 0")
