@@ -126,16 +126,42 @@ def survivors(shown: DataFrame, points: DataFrame, zoom: int, lo: float, hi: flo
     return found.groupBy(F.col("m.sid").alias("id")).agg(F.count("*").alias("point_count"))
 
 
-def k_nearest(queries: DataFrame, points: DataFrame, radius: float, k: int) -> DataFrame:
-    """Up to ``k`` points within ``radius`` of each query, by cells as wide as the radius."""
-    cx, cy = F.floor(F.col("x") / radius), F.floor(F.col("y") / radius)
-    offs = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a in (-1, 0, 1) for b in (-1, 0, 1)])
-    q = queries.select(F.col("id").alias("query_id"), F.col("x").alias("qx"), F.col("y").alias("qy"), cx.alias("cx"), cy.alias("cy")).withColumn("o", F.explode(offs))
-    q = q.select("query_id", "qx", "qy", (F.col("cx") + F.col("o.a")).alias("cx"), (F.col("cy") + F.col("o.b")).alias("cy"))
+def k_nearest(queries: DataFrame, points: DataFrame, radius: float, k: int, digits: int | None = None) -> DataFrame:
+    """Up to ``k`` points within ``radius`` of each query, nearest first, then by id; with ``digits``, distances are rounded first.
+
+    Cells are halved from the width of the radius down to a few points each.  A query looks around itself in the finest cells of
+    which the nine about it hold ``k`` points: then the k-th nearest is within three of those cells.  So the pairs grow with the
+    queries, however many points lie within the radius.  Queries on one place look once, and of points on one place ``k`` suffice.
+    """
+    finite = (F.abs("x") < float("inf")) & (F.abs("y") < float("inf"))
+    own = Window.partitionBy("x", "y").orderBy("id")
+    few = scratch(points.where(finite).select("id", "x", "y").withColumn("own", F.row_number().over(own)).where(F.col("own") <= k).drop("own"), "points")
+    asked = scratch(queries.where(finite).select(F.col("x").alias("qx"), F.col("y").alias("qy")).distinct(), "asked")
+    finest = max(2, math.ceil(math.log2(max(few.count(), 1)) / 2) + 2)
+
+    def filed(df: DataFrame, x: str, y: str) -> DataFrame:
+        """A row for each width of cells; a half of the radius is left out, where nine cells of the radius are fewer."""
+        at = df.withColumn("level", F.explode(F.array(F.lit(0), *map(F.lit, range(2, finest + 1)))))
+        cell = lambda c: F.floor(F.col(c) / radius * F.pow(F.lit(2.0), F.col("level")))
+        return at.withColumn("cx", cell(x)).withColumn("cy", cell(y))
+
+    def around(df: DataFrame, reach: Column) -> DataFrame:
+        side = lambda n: F.explode(F.sequence(-reach, reach)).alias(n)
+        return df.select("*", side("a")).select("*", side("b")).withColumn("cx", F.col("cx") + F.col("a")).withColumn("cy", F.col("cy") + F.col("b")).drop("a", "b")
+
+    cells_, counts = filed(asked, "qx", "qy"), filed(few, "x", "y").groupBy("level", "cx", "cy").agg(F.count("*").alias("n"))
+    near = around(cells_.where("level > 0").select("level", "cx", "cy", F.col("cx").alias("ox"), F.col("cy").alias("oy")).distinct(), F.lit(1))
+    full = near.join(counts, ["level", "cx", "cy"]).groupBy("level", F.col("ox").alias("cx"), F.col("oy").alias("cy")).agg(F.sum("n").alias("n")).where(F.col("n") >= k)
+    level = cells_.join(full, ["level", "cx", "cy"], "left").groupBy("qx", "qy").agg(F.max(F.when(F.col("n").isNotNull(), F.col("level")).otherwise(0)).alias("level"))
+    size = F.pow(F.lit(2.0), F.col("level"))
+    q = level.select("qx", "qy", "level", F.floor(F.col("qx") / radius * size).alias("cx"), F.floor(F.col("qy") / radius * size).alias("cy"))
     d = F.sqrt(F.pow(F.col("x") - F.col("qx"), 2) + F.pow(F.col("y") - F.col("qy"), 2))
-    hit = q.join(points.select("id", "x", "y", cx.alias("cx"), cy.alias("cy")), ["cx", "cy"]).withColumn("distance", d).where(F.col("distance") < radius)
-    w = Window.partitionBy("query_id").orderBy("distance", "id")
-    return hit.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", "id", "distance", "rank")
+    reach = F.when(F.col("level") > 0, 3).otherwise(1)
+    hit = around(q, reach).join(filed(few, "x", "y"), ["level", "cx", "cy"]).withColumn("distance", d if digits is None else F.round(d, digits))
+    w = Window.partitionBy("qx", "qy").orderBy("distance", "id")
+    best = hit.where(F.col("distance") < radius).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("qx", "qy", "id", "distance", "rank")
+    back = queries.select(F.col("id").alias("query_id"), F.col("x").alias("qx"), F.col("y").alias("qy"))
+    return back.join(best, ["qx", "qy"]).select("query_id", "id", "distance", "rank")
 
 
 def grid_clusters(points: DataFrame, size: float, least: int) -> DataFrame:

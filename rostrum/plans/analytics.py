@@ -225,7 +225,7 @@ def c23_contours(spark, sf_dir):
   SELECT query_id, id, distance FROM d WHERE distance < 1.2 QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY distance, id) <= 5""")
 def j25_k_nearest_points(spark, sf_dir):
     p = points(spark, sf_dir)
-    return spatial.k_nearest(p.where("label = 0"), p.where("label <> 0"), 1.2, 5).select("query_id", "id", F.round("distance", 7).alias("distance"))
+    return spatial.k_nearest(p.where("label = 0"), p.where("label <> 0"), 1.2, 5, digits=7).select("query_id", "id", "distance")
 
 
 @query()
