@@ -67,12 +67,9 @@ def j12_nearest_start_with_ratio(spark, sf_dir):
     o = table(spark, sf_dir, "orders").select("o_orderkey", F.to_date("o_orderdate").alias("d"), "o_totalprice", (F.col("o_custkey") % 24).alias("h"), "o_orderstatus")
     # Late-night entries are also looked for on the day before, as hours past 24.
     late = F.when(F.col("h") < 6, F.array(F.struct(F.col("d"), F.col("h").alias("at")), F.struct(F.date_sub("d", 1).alias("d"), (F.col("h") + 24).alias("at")))).otherwise(F.array(F.struct(F.col("d"), F.col("h").alias("at"))))
-    a = o.where("o_orderstatus = 'P'").select(F.col("o_orderkey").alias("k"), F.col("o_totalprice").alias("dur"), F.inline(late).alias("day", "at"))
-    c = o.where("o_orderstatus = 'O'").select(F.col("o_orderkey").alias("ck"), F.col("d").alias("day"), F.col("o_totalprice").alias("cdur"), F.col("h").alias("ch"))
-    gap = F.abs(F.col("ch") - F.col("at"))
-    ok = (gap <= 5) & (F.greatest("dur", "cdur") / F.least("dur", "cdur") <= 2)
-    best = a.join(c, "day").where(ok).groupBy("k").agg(F.min(F.struct(gap.alias("gap"), F.col("ck"))).alias("m"))
-    return best.select("k", F.col("m.ck").alias("best"), F.col("m.gap").alias("gap"))
+    a = o.where("o_orderstatus = 'P'").select(F.col("o_orderkey").alias("k"), F.col("o_totalprice").alias("size"), F.inline(late).alias("day", "at"))
+    c = o.where("o_orderstatus = 'O'").select(F.col("o_orderkey").alias("id"), F.col("d").alias("day"), F.col("o_totalprice").alias("size"), F.col("h").alias("at"))
+    return intervals.nearest_of_like_size(a, c, 5, 2.0)
 
 
 @query(r"""WITH b AS (SELECT item_id, DATE '2024-01-01' + CAST(item_id % 5 AS INT) AS d, list_distinct(list_filter(regexp_extract_all(lower(text), '[a-z]+'), lambda x: length(x) > 2)) AS w FROM benchmark), d AS (SELECT doc_id, DATE '2024-01-01' + CAST(doc_id % 5 AS INT) AS d, list_distinct(list_filter(regexp_extract_all(lower(text), '[a-z]+'), lambda x: length(x) > 2)) AS w FROM documents WHERE lang = 'en'),
