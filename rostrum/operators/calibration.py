@@ -24,7 +24,7 @@ from ..session import scratch
 from . import intervals
 
 #: Classes of quotes by length: (least length, gram, step); a quote of at least gram + step - 1 characters holds an indexed gram.
-CLASSES = ((23, 16, 8), (4, 4, 1), (1, 1, 1))
+CLASSES = ((23, 16, 8), (7, 4, 4), (4, 3, 2), (1, 1, 1))
 
 
 def running_cues(cues: DataFrame) -> DataFrame:
@@ -37,7 +37,7 @@ def running_cues(cues: DataFrame) -> DataFrame:
 
 
 def position_index(running: DataFrame, gram: int, step: int) -> DataFrame:
-    """debate, gram, at: the grams of the running text at every ``step``-th place."""
+    """key, at: the grams of the running text at every ``step``-th place, as hashes with their debate."""
     # Each following cue adds at least its space, so as many cues as a gram has characters complete the last grams.
     ahead = Window.partitionBy("debate").orderBy("seq").rowsBetween(1, gram)
     text = F.concat_ws(" ", F.col("t"), F.array_join(F.collect_list("t").over(ahead), " "))
@@ -45,26 +45,28 @@ def position_index(running: DataFrame, gram: int, step: int) -> DataFrame:
     first = F.pmod(-F.col("at"), F.lit(step).cast("long"))
     places = F.when(first <= F.col("n"), F.sequence(first, F.col("n").cast("long"), F.lit(step).cast("long")))
     one = rows.select("debate", "at", "text", F.explode(places).alias("p"))
-    got = one.select("debate", F.substr("text", (F.col("p") + 1).cast("int"), F.lit(gram)).alias("gram"), (F.col("at") + F.col("p")).alias("at"))
-    return got.where(F.length("gram") == gram)
+    gram_ = F.substr("text", (F.col("p") + 1).cast("int"), F.lit(gram))
+    return one.where(F.length(gram_) == gram).select(F.xxhash64("debate", gram_).alias("key"), (F.col("at") + F.col("p")).alias("at"))
 
 
 def candidates(running: DataFrame, needles: DataFrame) -> DataFrame:
-    """debate, id, needle, at: places where a needle could stand."""
+    """debate, id, needle, at: places where a needle could stand (hashes of grams may agree by chance, and places may come twice)."""
     out = None
     upper = None
     for least, gram, step in CLASSES:
         n = F.length("needle")
         mine = needles.where((n >= least) & (n < upper) if upper else n >= least)
         offs = F.explode(F.sequence(F.lit(0), F.lit(step - 1)))
-        asked = mine.select("debate", "id", "needle", offs.alias("o")).withColumn("gram", F.substr("needle", F.col("o") + 1, F.lit(gram)))
+        asked = mine.select("debate", "id", "needle", offs.alias("o"))
+        # The needle itself is added once its places are known; it would go along with each of its grams.
+        asked = asked.select("debate", "id", "o", F.xxhash64("debate", F.substr("needle", F.col("o") + 1, F.lit(gram))).alias("key"))
         # Short quotes need a place for every character: only debates that have any are indexed for them.
         place = running if upper is None else running.join(mine.select("debate").distinct(), "debate", "left_semi")
-        hit = asked.join(position_index(place, gram, step), ["debate", "gram"])
-        hit = hit.select("debate", "id", "needle", (F.col("at") - F.col("o")).alias("at")).where("at >= 0")
+        hit = asked.join(position_index(place, gram, step), "key")
+        hit = hit.select("debate", "id", (F.col("at") - F.col("o")).alias("at")).where("at >= 0")
         out = hit if out is None else out.unionByName(hit)
         upper = least
-    return out
+    return out.join(needles, ["debate", "id"])
 
 
 def find_spans(running: DataFrame, quotes: DataFrame, width: int = 512) -> DataFrame:
