@@ -15,9 +15,11 @@ def split(df: DataFrame, rules: dict[str, Column]) -> tuple[DataFrame, DataFrame
 
 def valid_tags(tags: DataFrame, vocabulary: DataFrame, single: list[str]) -> DataFrame:
     """Tags (arg, grp, tag) that are known; a single-choice group with several tags is dropped whole."""
-    known = tags.join(vocabulary, "tag", "left_semi")
+    known = tags.join(vocabulary, "tag", "left_semi").select("arg", "grp", "tag")
+    # Only single-choice groups are counted; of a null group a lone tag stays.
+    counted = F.coalesce(F.col("grp").isin(single), F.lit(True))
     n = F.count("*").over(Window.partitionBy("arg", "grp"))
-    return known.withColumn("__n", n).where(~F.col("grp").isin(single) | (F.col("__n") == 1)).select("arg", "grp", "tag")
+    return known.where(~counted).unionByName(known.where(counted).withColumn("__n", n).where(F.col("__n") == 1).drop("__n"))
 
 
 def duplicates(df: DataFrame, key: str) -> DataFrame:
