@@ -83,6 +83,38 @@ def test_word_store_starts_anew_when_full():
         assert ids.tolist() == [i for t in texts for i in s.tok.encode(t, add_special_tokens=False).ids]
 
 
+def test_full_word_store_keeps_words_met_again(monkeypatch):
+    import pyarrow as pa
+
+    s = tokenizing.WordStore(tokenizing.tokenizer_path("byte_bpe_50k.json"), True, limit=12)
+    encoded, plain = [], s._encode
+    monkeypatch.setattr(s, "_encode", lambda chunks: encoded.append(chunks) or plain(chunks))
+    for texts in (["x one two"], ["x one two a1 b2 c3"], ["x one d4 e5 f6 two"], ["x g7 one h8 two i9"], ["x two one j0"]):
+        ids, _ = s.encode(pa.array(texts))
+        assert ids.tolist() == [i for t in texts for i in s.tok.encode(t, add_special_tokens=False).ids]
+    assert sorted(encoded[0]) == [" one", " two", "x"] and sum(map(len, encoded)) == 13 and len(s.k1) <= 12
+
+
+def test_new_words_are_encoded_many_to_a_text(monkeypatch):
+    """One text a word would take most of the library's time for each text's own overhead."""
+    import pyarrow as pa
+
+    s = tokenizing.WordStore(tokenizing.tokenizer_path("byte_bpe_50k.json"), True)
+    real, texts = s.tok, []
+
+    class Counted:
+        def __getattr__(self, name):
+            return lambda batch, **k: texts.extend(batch) or getattr(real, name)(batch, **k)
+
+    words = [f"w{i}'s-{i * i}é" if i % 9 else f"line{i}\nnext\t{i}" for i in range(3000)]
+    docs = [" ".join(words), "<|endoftext|> a <|endoftext|>", " led  by\n\n spaces \u3000 ", "", "x", "Ġ ĠĠ Ġa \x1c b"]
+    monkeypatch.setattr(s, "tok", Counted())
+    ids, n = s.encode(pa.array(docs))
+    assert len(texts) < 200
+    for t, got in zip(docs, np.split(ids, np.cumsum(n)[:-1]), strict=True):
+        assert got.tolist() == real.encode(t, add_special_tokens=False).ids
+
+
 @given(st.lists(st.integers(0, 300), max_size=900), st.integers(1, 40), st.integers(1, 7))
 @settings(max_examples=60, deadline=None)
 def test_rans_round_trip(ids, lanes, every):
