@@ -300,6 +300,26 @@ def test_token_counts(spark):
     assert got == {i: len(t.encode(x or "").ids) for i, x in enumerate(data)}
 
 
+def test_token_counts_hold_one_text_at_a_time():
+    """A batch of many texts takes little more memory than one of few: no list of them, or of a text's ids, is built."""
+    import tracemalloc
+
+    import public_tokenizers as p
+    import pyarrow as pa
+
+    from rostrum.functions.tokens import token_counter
+
+    count = token_counter(p.path("byte_bpe_50k.tiktoken"), p.PATTERN).func
+    few = count(pa.array(["one two <|endoftext|> " * 2000, None, ""]))
+    texts = pa.array(["one two <|endoftext|> " * 2000] * 100, pa.string())
+    tracemalloc.start()
+    got = count(texts)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert list(map(int, got)) == [int(few[0])] * 100 and [int(x) for x in few[1:]] == [0, 0]
+    assert peak < 500_000  # 44 kB a text
+
+
 def test_smooth_ring_passes_through_the_corners_of_a_regular_ring():
     a = np.arange(6) * np.pi / 3
     ring = np.column_stack([np.cos(a), np.sin(a)])
