@@ -17,6 +17,7 @@ import numpy as np
 MAGIC = b"RRANS1\0\0"
 _HEAD = struct.Struct("<8sIIIQQIIQ")  # magic, bits, lanes, docs, tokens, first token, checkpoints, every, words
 LOW = np.uint64(1 << 31)
+_LOW32 = np.uint64((1 << 32) - 1)
 
 
 class Table:
@@ -60,24 +61,26 @@ def encode(ids: np.ndarray, docs: np.ndarray, sizes: np.ndarray, first: int, tab
     n = len(ids)
     steps = -(-n // lanes)
     x = np.full(lanes, LOW, np.uint64)
-    bits = np.uint64(table.bits)
     top = np.uint64(63 - table.bits)
-    freq, cum = table.freq, table.cum
+    half, size = np.uint64(32), np.uint64(1 << table.bits)
+    pair = (table.freq << half) | table.cum  # one look-up a token for both
     words: list[np.ndarray] = []
     marks: list[tuple[int, np.ndarray]] = []
     written = 0
     for t in range(steps - 1, -1, -1):
         sym = ids[t * lanes : (t + 1) * lanes]
         k = len(sym)
-        f, y = freq[sym], x[:k]
-        full = (y >> top) >= f
-        if full.any():
-            w = y[full]
+        both, y = pair.take(sym), x[:k]
+        f = both >> half
+        full = np.flatnonzero((y >> top) >= f)
+        if len(full):
+            w = y.take(full)
             words.append(w.astype(np.uint32))
             written += len(w)
-            y = np.where(full, y >> np.uint64(32), y)
-        q = y // f
-        x[:k] = (q << bits) + (y - q * f) + cum[sym]
+            y[full] = w >> half
+        # (q << bits) + (y - q * f) + cum, where y are the first lanes of x
+        y += (y // f) * (size - f)
+        y += both & _LOW32
         if t and t % every == 0:
             marks.append((written, x.copy()))
     stream = np.concatenate(words[::-1]) if words else np.empty(0, np.uint32)
@@ -124,24 +127,27 @@ class Frame:
         """All ids, or those from checkpoint ``section`` (0: the start) to the next one."""
         if section is None:
             return np.concatenate([self.decode(k) for k in range(len(self.marks) + 1)])
-        x = (self.marks[section - 1] if section else self.states).astype(np.uint64)
+        x = (self.marks[section - 1] if section else self.states).astype(np.uint64)  # a copy
         at = int(self.places[section - 1]) if section else 0
         steps = -(-self.n // self.lanes)
         begin, end = section * self.every, min(steps, (section + 1) * self.every) if section < len(self.marks) else steps
         out = np.empty(max(0, min(self.n, end * self.lanes) - begin * self.lanes), np.uint32)
-        bits, mask = np.uint64(self.table.bits), np.uint64((1 << self.table.bits) - 1)
-        freq, cum, slot = self.table.freq, self.table.cum, self.table.slot
+        bits, mask, half = np.uint64(self.table.bits), np.uint64((1 << self.table.bits) - 1), np.uint64(32)
+        slot, words = self.table.slot, self.words
+        pair = (self.table.freq << half) | self.table.cum  # one look-up a token for both
         for t in range(begin, end):
             k = min(self.lanes, self.n - t * self.lanes)
             y = x[:k]
             low = y & mask
-            sym = slot[low]
-            y = freq[sym] * (y >> bits) + low - cum[sym]
-            need = y < LOW
-            m = int(np.count_nonzero(need))
-            if m:
-                y[need] = (y[need] << np.uint64(32)) | self.words[at : at + m].astype(np.uint64)
-                at += m
-            x[:k] = y
+            sym = slot.take(low.view(np.int64))
+            both = pair.take(sym)
+            y >>= bits  # in place: y are the first lanes of x
+            y *= both >> half
+            y += low
+            y -= both & _LOW32
+            need = np.flatnonzero(y < LOW)
+            if len(need):
+                y[need] = (y.take(need) << half) | words[at : at + len(need)]
+                at += len(need)
             out[(t - begin) * self.lanes : (t - begin) * self.lanes + k] = sym
         return out
