@@ -1,4 +1,4 @@
-"""Term statistics on (id, term) rows: tf-idf, contrast, dispersion, cluster terms, best match."""
+"""Term statistics on (id, term) rows: tf-idf, contrast, dispersion, cluster terms."""
 
 from __future__ import annotations
 
@@ -88,25 +88,6 @@ def with_pairs(df: DataFrame, key: str, text: str, least: int) -> DataFrame:
     return _by_key(df, key, text).select("id", w.alias("w")).select("id", F.explode(terms).alias("term"))
 
 
-def best_match(queries: DataFrame, docs: DataFrame, n_docs: int, query_id: str, doc_id: str, least: float) -> DataFrame:
-    """The document most similar to each query by tf-idf cosine over all shared terms, if at least ``least``.
-
-    The few terms of the queries meet the documents' weights, so a common term costs its documents times the
-    queries that hold it, summed where the document's rows already lie.
-    """
-    dt = docs.groupBy("id", "term").agg(F.count("*").alias("tf"))
-    df = dt.groupBy("term").agg(F.count("*").alias("df"))
-    weigh = lambda t: t.join(df, "term").select("id", "term", (F.col("tf") * _idf(n_docs)).alias("w"))
-    a, b = weigh(queries.groupBy("id", "term").agg(F.count("*").alias("tf"))), weigh(dt)
-    la = a.groupBy("id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("l"))
-    lb = b.groupBy("id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("l"))
-    pair = b.select(F.col("id").alias(doc_id), "term", F.col("w").alias("dw")).join(a.select(F.col("id").alias(query_id), "term", F.col("w").alias("qw")), "term")
-    s = pair.groupBy(query_id, doc_id).agg(F.sum(F.col("qw") * F.col("dw")).alias("s"))
-    s = s.join(la.select(F.col("id").alias(query_id), F.col("l").alias("lq")), query_id).join(lb.select(F.col("id").alias(doc_id), F.col("l").alias("ld")), doc_id)
-    s = s.select(query_id, doc_id, F.round(F.col("s") / F.col("ld") / F.col("lq"), 7).alias("score")).where(F.col("score") >= least)
-    return best_per_group(s, [query_id], [F.desc("score"), F.col(doc_id)])
-
-
 def representatives(members: DataFrame, hulls: DataFrame, near: int = 5) -> DataFrame:
     """cluster, doc_id: the documents nearest to their cluster's centroid and those on the corners of its hull.
 

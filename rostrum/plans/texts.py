@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..catalog import spread, table
 from ..functions import maths, temporal, text
 from ..operators import aggregates as agg
-from ..operators import terms
+from ..operators import term_lengths, terms
 from .registry import query
 
 VOWEL = "[aeiouyàáâäèéêëìíîïòóôöùúûü]+"
@@ -467,8 +467,9 @@ def c15_contrastive_terms(spark, sf_dir):
 def c15_contrast_weights(spark, sf_dir):
     """Words and pairs that tell the documents of a language and source from those of the language."""
     d = table(spark, sf_dir, "documents")
+    m = d.select("doc_id", F.col("lang").alias("parent"), F.concat_ws("/", "lang", "source").alias("child")).where("lang IS NOT NULL AND source IS NOT NULL")
     w = terms.tfidf(terms.with_pairs(d, "doc_id", "text", 3), d.count(), 3, 0.25)
-    return terms.contrast_weights(w, d.select("doc_id", F.col("lang").alias("parent"), F.concat_ws("/", "lang", "source").alias("child")).where("lang IS NOT NULL AND source IS NOT NULL"), 6)
+    return terms.contrast_weights(w, m, 6)
 
 
 @query(f"""WITH t AS (SELECT DISTINCT doc_id, term FROM {_TOK}), p AS (SELECT vec_id AS doc_id, CAST(embedding[1] AS DOUBLE) AS x, CAST(embedding[2] AS DOUBLE) AS y FROM embeddings), g AS (SELECT sqrt(var_pop(x) + var_pop(y)) AS s FROM p)
@@ -490,4 +491,4 @@ _PAIRS = "list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || ' '
   SELECT item_id, doc_id, score FROM s WHERE score >= 0.1 QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) = 1""")
 def j30_best_title_match(spark, sf_dir):
     d, b = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
-    return terms.best_match(terms.with_pairs(b, "item_id", "text", 3), terms.with_pairs(d, "doc_id", "text", 3), d.count(), "item_id", "doc_id", 0.1)
+    return term_lengths.best_match(b, d, "item_id", "doc_id", "text", 3, d.count(), 0.1)
