@@ -31,8 +31,14 @@ def containing(texts: DataFrame, quotes: DataFrame) -> DataFrame:
     longest = F.aggregate("parts", F.lit(""), lambda a, p: F.when(F.length(p) > F.length(a), p).otherwise(a))
     sound = quotes.where(F.coalesce((F.size("parts") > 0) & F.forall("parts", lambda p: p.isNotNull()), F.lit(False)))
     sound = sound.select(F.col("key").cast(texts.schema["key"].dataType).alias("key"), "quote", "parts")
-    asked = scratch(sound.groupBy("key", "parts").agg(F.min("quote").alias("question")).withColumn("needle", longest), "speech-questions")
-    h = lambda text, place, gram: F.xxhash64("key", F.substr(text, place, F.lit(gram)))
+    # Quotes may share a number, so a question has one of its own.
+    sound = sound.withColumn("question", F.xxhash64("key", "parts"))
+    asked = scratch(sound.select("key", "parts", "question").distinct().withColumn("needle", longest), "speech-questions")
+
+    def hashed(text, places, gram: int):
+        # Not an argument of the lambda: Spark would give it the index of the place.
+        return F.transform(places, lambda p: F.xxhash64("key", F.substr(text, p, F.lit(gram))))
+
     n, size = F.length("needle"), F.length("text")
     stretches, grams, upper = None, [], None
     for least, gram, step in CLASSES:
@@ -40,10 +46,10 @@ def containing(texts: DataFrame, quotes: DataFrame) -> DataFrame:
         upper = least
         # Stretches of ``step`` neighbouring grams: whatever the place of the part, one of them is indexed.
         s = mine.select("key", "question", "needle", F.explode(F.sequence(F.lit(1), n - gram - step + 2, F.lit(step))).alias("s"))
-        s = s.select("question", "s", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(0), F.lit(step - 1)), lambda o, g=gram: h(F.col("needle"), F.col("s") + o, g)))).alias("h"))
+        s = s.select("question", "s", F.explode(F.array_distinct(hashed(F.col("needle"), F.sequence(F.col("s"), F.col("s") + (step - 1)), gram))).alias("h"))
         stretches = s if stretches is None else stretches.unionByName(s)
         places = F.when(size >= gram, F.sequence(F.lit(1), size - gram + 1, F.lit(step))).otherwise(F.array().cast("array<int>"))
-        grams.append(F.transform(places, lambda p, g=gram: h(F.col("text"), p, g)))
+        grams.append(hashed(F.col("text"), places, gram))
     index = texts.select("speech", F.explode(F.array_distinct(F.concat(*grams))).alias("h"))
     held = scratch(index.join(stretches.select("h").distinct().hint("merge"), "h", "left_semi"), "grams")
     counts = held.groupBy("h").agg(F.count("*").alias("n"))
@@ -58,7 +64,7 @@ def containing(texts: DataFrame, quotes: DataFrame) -> DataFrame:
     holds = F.forall("parts", lambda p: F.contains("text", p))
     hits = long.where(holds).select("question", "speech").unionByName(short.where(holds).select("question", "speech"))
     best = hits.groupBy("question").agg(F.count("*").alias("candidates"), F.min("speech").alias("speech"))
-    return sound.join(parts.hint("merge"), ["key", "parts"]).join(best.hint("merge"), "question").select("quote", "candidates", "speech")
+    return sound.select("quote", "question").join(best.hint("merge"), "question").select("quote", "candidates", "speech")
 
 
 def match(speeches: DataFrame, quotes: DataFrame) -> DataFrame:
@@ -69,12 +75,15 @@ def match(speeches: DataFrame, quotes: DataFrame) -> DataFrame:
     day, year = F.struct("speaker", "day"), F.struct("speaker", "year")
     whole = lambda key: F.col("speaker").isNotNull() & F.col(key).isNotNull()
     q = scratch(quotes.select("quote", "speaker", "day", "year", "parts"), "speech-quotes")
-    known = speeches.where(whole("day")).select(day.alias("key")).distinct()
-    by_day = q.where(whole("day")).withColumn("key", day).join(known.hint("merge"), "key", "left_semi").select("key", "quote", "parts")
-    rest = q.join(by_day.select("quote").hint("merge"), "quote", "left_anti").where(whole("year")).select(year.alias("key"), "quote", "parts")
+    known = speeches.where(whole("day")).select(day.alias("key"), F.lit(True).alias("known")).distinct()
+    q = scratch(q.withColumn("key", F.when(whole("day"), day)).join(known.hint("merge"), "key", "left"), "speech-days")
+    by_day = q.where("known").select("key", "quote", "parts")
+    rest = q.where(F.col("known").isNull() & whole("year")).select(year.alias("key"), "quote", "parts")
     best = containing(speeches.where(whole("day")).select(day.alias("key"), "speech", "text"), by_day).unionByName(
         containing(speeches.where(whole("year")).select(year.alias("key"), "speech", "text"), rest)
     )
+    # Quotes of one number are one quote.
+    best = best.groupBy("quote").agg(F.sum("candidates").alias("candidates"), F.min("speech").alias("speech"))
     n = F.coalesce("candidates", F.lit(0))
     outcome = F.when(n == 0, "not_found").when(n == 1, "unique").otherwise("ambiguous")
     return q.select("quote").join(best.hint("merge"), "quote", "left").select("quote", outcome.alias("outcome"), n.alias("candidates"), "speech")
