@@ -467,9 +467,8 @@ def c15_contrastive_terms(spark, sf_dir):
 def c15_contrast_weights(spark, sf_dir):
     """Words and pairs that tell the documents of a language and source from those of the language."""
     d = table(spark, sf_dir, "documents")
-    m = d.select("doc_id", F.col("lang").alias("parent"), F.concat_ws("/", "lang", "source").alias("child")).where("lang IS NOT NULL AND source IS NOT NULL")
-    w = terms.tfidf(terms.with_pairs(d, "doc_id", "text", 3), d.count(), 3, 0.25)
-    return terms.contrast_weights(w, m, 6)
+    d = d.select("doc_id", "text", F.col("lang").alias("parent"), F.concat("lang", F.lit("/"), "source").alias("child"))
+    return term_lengths.contrast_terms(d, "doc_id", "text", 3, d.count(), 3, 0.25, 6)
 
 
 @query(f"""WITH t AS (SELECT DISTINCT doc_id, term FROM {_TOK}), p AS (SELECT vec_id AS doc_id, CAST(embedding[1] AS DOUBLE) AS x, CAST(embedding[2] AS DOUBLE) AS y FROM embeddings), g AS (SELECT sqrt(var_pop(x) + var_pop(y)) AS s FROM p)
